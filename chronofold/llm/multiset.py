@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ from .common import ID, TEXT, parts, texts
 
 EXACT, LANES, RUN = 4, 128, 3
 #: Words whose hashes a worker remembers; when full, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _words: dict[bytes, bytes] = {}
 
 
@@ -140,6 +139,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     """``docs`` dealt into ascending ranges of ``doc_id``, sorted within each, and before each range's rows the row that precedes it (that
     of the first range is the last of all), marked ``lead``. One shuffle of the texts; before it, a pass over the ids finds the ranges and one finds their last rows.
     """
+    from pyspark.ml.feature import Bucketizer  # here, as workers needn't import it
+
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     docs = texts(docs).withColumn("mix", F.xxhash64(TEXT)).withColumn("place", F.coalesce(F.col(ID).cast("double"), F.lit(float("-inf"))))
     cuts = docs.select(F.percentile_approx(ID, [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
