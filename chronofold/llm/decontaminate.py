@@ -178,4 +178,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have no benchmark item, with their columns; rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark).select(ID).distinct(), ID, "left_anti")
+    return docs.join(contaminated(docs, benchmark).select(ID).distinct(), ID, "left_anti").select(*docs.columns)

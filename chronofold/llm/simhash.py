@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFram
 
 
 def first_of_each(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is its component's smallest; rows without an id stay."""
+    """The rows of ``docs`` whose ``doc_id`` is its component's smallest, with their columns; rows without an id, and rows that share that id, stay."""
     found = near_duplicates(docs, radius, size)
     rest = found.filter(F.col("component_id") != F.col(ID)).select(ID).distinct()
-    return docs.join(rest, ID, "left_anti")
+    return docs.join(rest, ID, "left_anti").select(*docs.columns)
