@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Small kana and their full-size forms; kanji that readers confuse with katakana; ways to write a gender behind a name.
 SMALL_KANA = ("ャュョッァィゥェォゃゅょっぁぃぅぇぉ", "ヤユヨツアイウエオやゆよつあいうえお")
@@ -33,7 +34,7 @@ def fold_text(s: str) -> str:
     return unicodedata.normalize("NFKC", s).translate(str.maketrans(*FOLD))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
