@@ -144,7 +144,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     docs = texts(docs).withColumn("mix", F.xxhash64(TEXT)).withColumn("place", F.coalesce(F.col(ID).cast("double"), F.lit(float("-inf"))))
     cuts = docs.select(F.percentile_approx(ID, [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    splits = [float("-inf"), *sorted({float(x) for x in cuts or []}), float("inf")]
+    splits = [float("-inf"), *sorted({float(x) for x in cuts or [0]}), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="place", outputCol="range", handleInvalid="keep").transform(docs).withColumn("range", F.col("range").cast("int")).drop("place")
     # one row for each range: its last row, and where the next rows are
     last = dict(dealt.groupBy("range").agg(F.max(F.struct(F.coalesce(F.col(ID), F.lit(-(1 << 63))).alias("id"), F.col(ID).isNotNull().alias("has"), "mix")).alias("last")).collect())
