@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,13 @@ def results(found: DataFrame, good: DataFrame, options: Options) -> DataFrame:
 def run(frames: DataFrame, box_reads: DataFrame, observations: DataFrame, entities: DataFrame, items: DataFrame, options: Options) -> DataFrame:
     found = index(frames, box_reads, entities, options)
     return results(found, collect(found, frames, observations, items, options), options)
+
+
+def recollect(stored: DataFrame, frames: DataFrame, observations: DataFrame, items: DataFrame, options: Options) -> DataFrame:
+    """Phase two from a stored index (``files.read_index``): the segments asked for, without phase one. The rate that the index was made with sets the margins."""
+    rate = stored.select("index_fps").first()
+    top = F.element_at("candidates", 1)["name"]
+    found = stored.select(F.concat_ws("x", F.transform("resolution", lambda v: v.cast("string"))).alias("group_id"), F.col("seg_no").alias("segment_no"), F.when(F.size("candidates") > 0, top).alias("entity"), "detail_ts", "list_start", "list_end", F.col("list_frames").cast("long").alias("list_frames"))
+    if rate:
+        options = replace(options, index_fps=rate[0])
+    return results(found, collect(found, frames, observations, items, options), options)

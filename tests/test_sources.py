@@ -89,3 +89,41 @@ def test_corners(spark):
     df = spark.createDataFrame([(1, 0, 0, "t", 0.5, [{"x": k, "y": k} for k in range(4)])], "frame_id int, box_no int, frag_no int, text string, confidence double, box array<struct<x:int,y:int>>")
     r = files.text_corners(df).select(F.col("first_corner.x").alias("a"), F.col("third_corner.x").alias("b")).first()
     assert tuple(r) == (0, 2)
+
+
+def test_offline_jobs(spark, tmp_path):
+    from chronofold.functions.text import ALLOWED
+    from chronofold.plans import offline
+
+    for gen, body in {"New": {"g": {"あ い": {"type": "t2", "pp": "7"}}}, "Old": {"g": {"あい": {"type": "t1", "pp": "5"}}}}.items():
+        (tmp_path / gen).mkdir()
+        put(tmp_path / gen / "l.json", {"waza_list": body})
+    items = offline.build_items(spark, f"{tmp_path}/*/l.json", ["Old", "New"], [("z", "t", 1), ("あ い", "no", 0)])
+    assert [tuple(r) for r in items.orderBy("id").collect()] == [(1, "z", "t", 1), (2, "あ い", "t2", 7)]
+    a = put(tmp_path / "a.json", {"Z": ["x"], "(unknown 1)": ["q"], "Y": ["y"]})
+    merged, new = offline.merge_results(spark, [a], put(tmp_path / "c.jsonl", '{"Z": 1}\n'))
+    assert {r["entity"] for r in merged.collect()} == {"Z", "Y"} and {r["entity"] for r in new.collect()} == {"Y"}
+    diff = offline.compare_names(spark, put(tmp_path / "l.json", ["a", "b"]), put(tmp_path / "r.json", ["b", "c"]))
+    assert {tuple(r) for r in diff.collect()} == {("a", "left"), ("c", "right")}
+    df, seen = offline.observed(items, "items")
+    assert not offline.character_report(df, ALLOWED).filter("char = 'z'").first()["allowed"] and seen.get["rows"] == 2
+
+
+def test_run_from_a_stored_index(spark, tmp_path):
+    from chronofold.cli import parser
+    from chronofold.options import Options
+    from chronofold.plans import recording
+
+    seg = spark.createDataFrame([(0, ["v"], [1280, 720], 1, [(1, "one", 0.9)], 1.0, 2.0, 3.0, 2), (0, ["v"], [1280, 720], 2, [], None, 5.0, 5.0, 1)], f"group_no int, videos array<string>, resolution array<int>, seg_no int, candidates {files.CANDIDATES}, detail_ts double, list_start double, list_end double, list_frames int")
+    path = put(tmp_path / "index.json", files.index_json(seg, 4.0).first()[0])
+    dim = spark.createDataFrame([(1, "one")], "id int, name string")
+    f = [("1280x720", float(k), k, "move_list" if k in (2, 3, 5) else "other", [k * 50], [k * 50], [0], 99.0) for k in range(7)]
+    frames_ = spark.createDataFrame(f, "group_id string, ts double, ord int, read_kind string, header_thumb array<int>, slot_thumb array<int>, box_thumb array<int>, mean_luma double")
+    obs = spark.createDataFrame([("1280x720", 2, 0, "alpha", None), ("1280x720", 5, 0, "gamma", None)], "group_id string, ord int, row_no int, raw string, observed_type string")
+    items = spark.createDataFrame([(1, "alpha", "x", 1), (2, "gamma", "y", 1)], "id int, name string, type string, pp int")
+    got = recording.recollect(files.read_index(spark, path, dim), frames_, obs, items, Options(ascii_names=True)).collect()
+    assert {(r["entity"], tuple(r["items"])) for r in got} == {("one", ("alpha",)), ("(unknown 2)", ("gamma",))}
+    only = recording.recollect(files.read_index(spark, path, dim), frames_, obs, items, Options(ascii_names=True, only="one, 9")).collect()
+    assert [r["entity"] for r in only] == ["one"]
+    with pytest.raises(SystemExit):
+        parser().parse_args(["--fps", "x"])
