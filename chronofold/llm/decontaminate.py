@@ -152,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     table = None
     if n <= MOST_WINDOWS:
         bits = 1 << max(16, int(n * 64).bit_length())  # at most 64 bits a window: 32 MB
-        hashes = np.array([r[0] for r in ours.select("h").distinct().collect()], np.int64).view(np.uint64)
+        hashes = np.asarray(ours.select("h").distinct().toArrow().column("h"), np.int64).view(np.uint64)
         table = np.zeros(bits // 8, np.uint8)
         bit = hashes >> np.uint64(64 - bits.bit_length() + 1)
         np.bitwise_or.at(table, bit >> np.uint64(3), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,9 +229,9 @@ def read_token_index(spark: SparkSession, path: str, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(lists, pa.list_(pa.int64()))] if with_ids else []), names=schema.names)
 
     rows = segments.select("shard", "dict_hash", "first_token", "blob", "doc_ids", "doc_tokens", "offsets").mapInArrow(decode, schema)
-    # one row for each shard; a running sum over them gives where each begins
-    totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n")).groupBy().agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("all"))
-    starts = totals.select(F.explode(F.transform("all", lambda s: F.struct(s["shard"].alias("shard"), F.aggregate(F.filter("all", lambda o: o["shard"] < s["shard"]), F.lit(0).cast("long"), lambda a, o: a + o["n"]).alias("base")))).alias("s")).select("s.*")
+    # one row for each shard, of which there are as many as partitions; a running sum over them gives where each begins
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return rows.join(F.broadcast(starts), "shard").select(ID, (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_bytes", "dict_hash", *(["ids"] if with_ids else []))
 
 
