@@ -6,7 +6,8 @@ pass runs a transducer that rewrites disguises to plain characters and remembers
 * homoglyphs: full-width, Greek and Cyrillic look-alikes, other digits and typographic hyphens, dots and at signs, one for one;
   zero-width characters vanish;
 * ``at`` and ``dot`` in brackets, or between words of an address, in several languages: ``name (at) host [dot] org``, ``name AT host DOT org``;
-* spelled digits (``four seven``, ``double three``, ``oh``), in runs.
+* spelled digits (``four seven``, ``double three``, ``oh``), and figures with spelled dots, in runs;
+* the letters O and l or I for 0 and 1, where figures outnumber them twice over.
 
 The same detectors run over the rewritten text; spans that touch rewritten characters are mapped back to the source by the edit list
 (two binary searches), and kept unless they overlap a base span of their kind. Base spans are never changed.
@@ -64,7 +65,8 @@ _GAP = r"(?:[ ,]{1,2}|-|\.|[ ]?(?:dash|hyphen|minus|dot|point|punkt|punto)[ ])"
 SPELLED = re.compile(rf"(?<!\w)(?:(?:\+|plus )[ ]?)?{_UNIT}(?:{_GAP}{_UNIT})+(?!\w)", re.I)
 #: What tells cheaply that a text may have such a run: two such words side by side.
 _WORDS = frozenset(w.encode() for w in DIGITS)
-_BESIDE = _WORDS | {w.encode() for w in (*REPEATS, *"dash hyphen minus dot point punkt punto".split())}
+_DOTS = frozenset(w.encode() for w in "dot point punkt punto".split())
+_BESIDE = _WORDS | _DOTS | {w.encode() for w in (*REPEATS, *"dash hyphen minus".split())}
 _PLAIN = bytes(32 if chr(c) in ",.-+\t\r\n" else c for c in range(256))
 SPELLED_PARTS = re.compile(rf"(?P<plus>\+|plus )|(?:(?P<times>{'|'.join(REPEATS)})[ -])?(?P<word>{_DIGIT})(?!\w)|(?P<digits>[0-9]+)|(?P<dot>\.|[ ]?(?:dot|point|punkt|punto)[ ])|(?P<dash>-|[ ]?(?:dash|hyphen|minus)[ ])|(?P<gap>[ ,]+)", re.I)
 
@@ -74,7 +76,7 @@ BRACKETED = re.compile(r"[\[({<][ ]*(?:(?P<at>at|ät|arroba|arobase|@)|(?P<dot>d
 
 
 def _bare(at: str, dot: str) -> re.Pattern:
-    return re.compile(rf"(?<![\w.%+-])[\w.%+-]+?(?:{at})[\w-]+(?:(?:{dot})[\w-]+){{0,3}}(?:{dot}){_ENDS}", re.I)
+    return re.compile(rf"(?<![\w.%+-])(?:[\w%+-]+(?:{dot})){{0,2}}[\w.%+-]+?(?:{at})[\w-]+(?:(?:{dot})[\w-]+){{0,3}}(?:{dot}){_ENDS}", re.I)
 
 
 #: Words for the sign must come with words for the dot: "look at example.com" is prose. A sign set apart by blanks may have either dot.
@@ -195,14 +197,30 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _digits(text: str) -> Iterator[tuple[int, int, str]]:
     words = text.lower().encode().translate(_PLAIN).split()
-    if _WORDS.isdisjoint(words) or not any((a in _WORDS and (b in _BESIDE or b.isdigit())) or (b in _WORDS and (a in _BESIDE or a.isdigit())) for a, b in zip(words, words[1:], strict=False)):
+    if _WORDS.isdisjoint(words) and _DOTS.isdisjoint(words):
+        return
+    beside = ((a, b) for x, y in zip(words, words[1:], strict=False) for a, b in ((x, y), (y, x)))
+    if not any(a in _WORDS and (b in _BESIDE or b.isdigit()) or a in _DOTS and b.isdigit() for a, b in beside):
         return
     for m in SPELLED.finditer(text):
         yield from _spelled(m)
 
 
+#: Letters for digits within a long number.
+LETTERED_HINT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
+LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OoIl](?:[\x20().-]{0,2}[0-9OoIl]){7,18}(?![A-Za-z0-9])")
+LETTER = re.compile(r"[OoIl]")
+
+
+def _lettered(text: str) -> Iterator[tuple[int, int, str]]:
+    if LETTERED_HINT.search(text):
+        for m in LETTERED.finditer(text):
+            if len(found := LETTER.findall(m[0])) * 2 < len(NOT_DIGIT.sub("", m[0])):
+                yield from ((m.start() + p.start(), m.start() + p.end(), "0" if p[0] in "Oo" else "1") for p in LETTER.finditer(m[0]) if found)
+
+
 #: The transducer's layers, each over the text that the last one left.
-LAYERS = (_strange, _brackets, _addresses, _digits)
+LAYERS = (_strange, _brackets, _addresses, _digits, _lettered)
 
 
 def hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

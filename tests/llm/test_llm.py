@@ -169,7 +169,7 @@ def test_pii_base_is_the_plain_patterns():
     assert pii.detect(texts[-2]) == pii.detect(texts[-1]) == []
 
 
-@pytest.mark.parametrize(("text", "found"), [("write jane.doe at example dot com now", "email:jane.doe at example dot com"), ("x (at) host [dot] org", "email:x (at) host [dot] org"), ("j＠ｅｘａｍｐｌｅ.com", "email:j＠ｅｘａｍｐｌｅ.com"), ("jo​hn@exаmple.com", "email:jo​hn@exаmple.com"), ("one nine two dot one six eight dot one dot one", "ip:one nine two dot one six eight dot one dot one"), ("ring plus four nine one seven one double two three four five six", "phone:plus four nine one seven one double two three four five six"), ("4111-1111 1111—1111", "card:4111-1111 1111—1111"), ("He was at home dot the end", ""), ("Look at example.com", ""), ("say one two three", ""), ("meet at and. It is", "")])
+@pytest.mark.parametrize(("text", "found"), [("write jane.doe at example dot com now", "email:jane.doe at example dot com"), ("x (at) host [dot] org", "email:x (at) host [dot] org"), ("j＠ｅｘａｍｐｌｅ.com", "email:j＠ｅｘａｍｐｌｅ.com"), ("jo​hn@exаmple.com", "email:jo​hn@exаmple.com"), ("one nine two dot one six eight dot one dot one", "ip:one nine two dot one six eight dot one dot one"), ("ring plus four nine one seven one double two three four five six", "phone:plus four nine one seven one double two three four five six"), ("4111-1111 1111—1111", "card:4111-1111 1111—1111"), ("host 192 dot 168 dot 1 dot 1 up", "ip:192 dot 168 dot 1 dot 1"), ("jane dot doe at mail dot example dot com", "email:jane dot doe at mail dot example dot com"), ("card 4lll 1111 1111 1111.", "card:4lll 1111 1111 1111"), ("+49 3O 1234567", "phone:+49 3O 1234567"), ("Oil 10 lot IO 12", ""), ("He was at home dot the end", ""), ("Look at example.com", ""), ("say one two three", ""), ("meet at and. It is", "")])
 def test_pii_disguises(text, found):
     base, spans = pii.find(text)
     assert ",".join(f"{pii.KINDS[k]}:{text[a:z]}" for k, a, z in spans) == found and not base
