@@ -33,11 +33,11 @@ MOST_WINDOWS = 1 << 22
 CACHE_WORDS = 100_000
 
 # Words that are units behind a number; number words.
-UNITS = "% kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft foot feet inch inches yard yards meter meters metre metres kilometers kilometres l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h m/s °c °f degrees dollar dollars usd euro euros eur pound pounds cent cents percent items people points jahre tage stunden minuten heures jours ans horas días años"
+UNITS = "kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft foot feet inch inches yard yards meter meters metre metres kilometers kilometres l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h m/s °c °f degrees dollar dollars usd euro euros eur pound pounds cent cents percent items people points jahre tage stunden minuten heures jours ans horas días años"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million half dozen"
 _UNITS, _NUMBERS = (frozenset(x.encode() for x in v.split()) for v in (UNITS, NUMBERS))
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac\xc2\xa3]*[0-9][0-9.,:/]*(?:%|[a-z]{1,3})?$")
-_EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%$+")
+_EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
 _WORD, _NUM, _UNIT, _NAME, _SKIP, _STOP = 1, 2, 4, 8, 16, 32
 ENTRY = np.dtype([("word", "<u8"), ("flags", "u1")])
