@@ -17,12 +17,14 @@ are ignored.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import ID, TEXT, texts
 
@@ -30,7 +32,7 @@ WINDOW = 5
 #: Shares of an item's windows that must be found, and of its slots that must be consistent.
 COVERAGE, CONSISTENT = 0.6, 0.8
 MOST_WINDOWS = 1 << 22
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 
 # Words that are units behind a number; number words.
 UNITS = "kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft foot feet inch inches yard yards meter meters metre metres kilometers kilometres l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h m/s °c °f degrees dollar dollars usd euro euros eur pound pounds cent cents percent items people points jahre tage stunden minuten heures jours ans horas días años"
@@ -42,32 +44,37 @@ _EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 _WORD, _NUM, _UNIT, _NAME, _SKIP, _STOP = 1, 2, 4, 8, 16, 32
 ENTRY = np.dtype([("word", "<u8"), ("flags", "u1")])
 PLACEHOLDERS = {_NUM: 0x9D39247E33776D41, _UNIT: 0x2AF7398005AAA5C7, _NAME: 0x44DB015024623547}
-_LINE = b"\x00"
+_LINE, _AFTER_STOP, _STOPS = b"\x00", b"#$%&*|\"')]", (b".", b"!", b"?", b":")
 _known: dict[bytes, bytes] = {}
 
 
+_pack = struct.Struct("<QB").pack
+
+
 def _bare(word: bytes) -> bytes:
-    return word.strip(_EDGES).decode().lower().encode()
+    own = word.strip(_EDGES)
+    return own.lower() if own.isascii() else own.decode().lower().encode()
 
 
 def _entry(word: bytes) -> bytes:
-    from xxhash import xxh64_intdigest
-
-    bare = _bare(word)
-    flags = 0
-    if word == _LINE or not bare:
-        flags = _SKIP | (_STOP if word == _LINE else 0)
+    """A word's ENTRY."""
+    own = word.strip(_EDGES)
+    if own.isalpha():  # of ASCII letters
+        bare, flags = own.lower(), _NAME if own[:1].isupper() and own[1:].islower() else 0
     else:
-        if bare in _NUMBERS or _NUMBER.match(bare):
+        text = own.decode()
+        bare, flags = text.lower().encode(), _NAME if text[:1].isupper() and text[1:].islower() else 0
+        if _NUMBER.match(bare):
             flags |= _NUM
-        if bare in _UNITS:
-            flags |= _UNIT
-        own = word.strip(_EDGES).decode()
-        if own[:1].isupper() and own[1:].islower():
-            flags |= _NAME
-    if word.rstrip(b"#$%&*|\"')]")[-1:] in (b".", b"!", b"?", b":"):
+    if not bare or word == _LINE:
+        flags = _SKIP
+    elif bare in _NUMBERS:
+        flags |= _NUM
+    if bare in _UNITS:
+        flags |= _UNIT
+    if len(own) < len(word) and word.rstrip(_AFTER_STOP)[-1:] in _STOPS or word == _LINE:
         flags |= _STOP
-    return np.array([(xxh64_intdigest(bare), flags)], ENTRY).tobytes()
+    return _pack(xxh64_intdigest(bare), flags)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
