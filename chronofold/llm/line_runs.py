@@ -114,7 +114,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     told = scratch.save(told.select(*PLACE, "size", "level", "r", "r2"))
     same = ["level", "size", "r", "r2"]
     place = F.struct(*PLACE)
-    first = told.groupBy(*same).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").drop("hi")
+    # written first: a join of tables, unlike one with an aggregate of the same shuffle, lets Spark split a run that many documents share
+    first = scratch.save(told.groupBy(*same).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").drop("hi"))
     copies = told.join(first, same).filter(place > F.col("lo")).select("doc", "mix", F.col("line").alias("start"), (F.col("line") + F.col("size")).alias("end"))
     w = Window.partitionBy("doc", "mix").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
