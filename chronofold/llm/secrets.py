@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives. DataFrame operations and JVM models only.
 
-Candidates are unbroken runs of 16 or more token characters with a digit. Each gets features: length, classes of characters and changes
+Candidates are unbroken runs of 16 or more token characters with a digit, "=" only at their end, so that ``KEY=`` stands before a value
+and not in it; and whatever is assigned to a key word, of 4 or more characters, with or without digits and in any characters. Each gets features: length, classes of characters and changes
 between them, common letter pairs, coverage by words of code and prose, whether it stands in a path or URL or looks like an identifier
 of a known kind, and the words around it. A random forest trained on labelled findings keeps the secrets.
 
@@ -8,7 +9,9 @@ Labelled findings are a parameter, rows of ``before``, ``candidate``, ``after``
 of common kinds in assignments, and look-alikes that scanners report wrongly (commit ids, checksums, UUIDs, file names, card and order
 numbers, placeholders, dates), all from a hash of the row's number. At most ``TRAINING_ROWS`` rows are learnt from.
 
-Texts without a candidate are dropped by one pattern at the scan; only lines with a candidate are cut up further.
+Made findings are cut out of lines by ``candidates`` itself, so they have the form that a scan gives.
+
+Texts without a candidate are dropped by two patterns at the scan; only lines with a candidate are cut up further.
 
 Defined cases: null and empty texts have no findings; a null ``doc_id`` is kept; repeated rows give repeated findings; findings labelled
 all alike, or none, leave every candidate with that label's score (0.5 without any); an empty table gives no rows; other columns are
@@ -30,13 +33,20 @@ TRAINING_ROWS = 6000
 CUT = 0.5
 TREES, DEPTH = 40, 9
 #: A run's start is looked for once, and its digit without going back: time is linear in the text.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9_+/=.-]{16,}"
+_RUN = "A-Za-z0-9_+/.-"
+CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z_+/.-]*+[0-9])(?:[{_RUN}]{{16,}}|[{_RUN}]{{15}}(?==(?![{_RUN}=]))|[{_RUN}]{{14}}(?===(?![{_RUN}=])))(?:={{1,2}}(?![{_RUN}=]))?"
 
 # Words beside secrets, words beside look-alikes, words of code and prose, common letter pairs.
 KEYS = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret"
 BENIGN = "commit|sha1|sha256|sha|md5|checksum|digest|uuid|guid|etag|rev|revision|version|build|order|invoice|card|phone|isbn|tracking|serial|example|image|file|path|src|href|url|integrity|parcel|id"
 WORDS = "config|test|main|handler|user|data|name|file|image|http|www|com|org|static|asset|index|page|module|version|release|build|install|package|node|server|client|service|manager|factory|controller|example|placeholder|changeme|dummy|sample|your|the|and|with|from|for|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|report|final|draft|copy|photo|video|document|backup|update"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
+#: A key word and its sign; what is assigned to one, in quotes up to the same quote; both as Java reads them.
+ASSIGNMENT = rf"(?i:{KEYS})(?:[_-][A-Za-z0-9]{{1,12}})?[\"']?[ \t]{{0,3}}(?::=|=>|[=:])[ \t]{{0,3}}"
+#: Without quotes a value ends at white space, a comma, a semicolon or a query's next name; closing brackets at its end aren't its own.
+_BARE = r"(?:[^\s\"'`,;&]|&(?![A-Za-z0-9_-]+=))"
+ASSIGNED = "|".join([*(rf"(?<={ASSIGNMENT}{q})[^{q}\n]{{4,200}}(?={q})" for q in "\"'`"), rf"(?<=[=:> \t])(?<={ASSIGNMENT}){_BARE}{{4,}}(?<![.:)}}\]>])"])
+SCAN = f"{ASSIGNED}|{CANDIDATE}"
 
 
 def features(before: Column, c: Column, after: Column) -> dict[str, Column]:
@@ -72,10 +82,11 @@ def features(before: Column, c: Column, after: Column) -> dict[str, Column]:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line`` and ``start`` (from 0, code points within the line), ``before``, ``candidate``, ``after``."""
-    hit = F.lit(CANDIDATE)
-    lines = texts(docs).filter(F.col("text").rlike(CANDIDATE)).select(ID, F.posexplode(F.split("text", "\n", -1)).alias("line", "one")).filter(F.col("one").rlike(CANDIDATE))
+    hit = F.lit(SCAN)
+    has = lambda c: F.col(c).rlike(CANDIDATE) | F.col(c).rlike(ASSIGNMENT)
+    lines = texts(docs).filter(has("text")).select(ID, F.posexplode(F.split("text", "\n", -1)).alias("line", "one")).filter(has("one"))
     # the pieces between candidates; a candidate's place follows from the lengths before it
-    cut = lines.select(ID, "line", F.split("one", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("one", hit, F.lit(0)).alias("found"))
+    cut = lines.select(ID, "line", F.split("one", SCAN, -1).alias("gaps"), F.regexp_extract_all("one", hit, F.lit(0)).alias("found"))
     each = cut.select(ID, "line", "gaps", "found", F.posexplode("found").alias("k", "candidate"))
     size = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
     return each.select(ID, "line", (size(F.col("gaps"), F.col("k") + 1) + size(F.col("found"), F.col("k"))).alias("start"), F.element_at("gaps", F.col("k") + 1).alias("before"), "candidate", F.element_at("gaps", F.col("k") + 2).alias("after"))
@@ -89,28 +100,35 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     digits = F.regexp_replace(F.translate(r(2), "abcdef", "123456"), "^0", "4")
     hex_ = r(3)
     prose = pick(["thonder that ", "la reelle de ", "und der enge ", "the report of ", "see also "], "prose")
-    key = pick(["token", "api_key", "secret", "password", "access_key", "client_secret", "auth_token", "TOKEN", "apikey"], "key")
+    key = pick(["token", "api_key", "secret", "password", "access_key", "client_secret", "auth_token", "TOKEN", "apikey", "API_KEY", "export SECRET", "x?token"], "key")
     sign = pick([' = "', ': "', "='", " = '", ": ", "=", '":"'], "sign")
     close = pick(['"', '"', "'", "'", "", "", '"'], "sign")
-    secret = pick(range(6), "kind").cast("int")
-    alike = pick(range(11), "kind").cast("int")
-    good = [F.substring(hex_, 1, 40), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(hex_, 1, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), F.upper(F.substring(hex_, 1, 40)), F.concat(F.lit("sk-"), F.substring(base64, 1, 32))]
+    secret = pick(range(12), "kind").cast("int")
+    alike = pick(range(14), "kind").cast("int")
+    letters = F.translate(F.substring(base64, 1, 48), "0123456789", "qKzWxjVbHd")
+    # a token that tells its kind needs no key word
+    alone = secret.isin(2, 3, 5) & pick([True, False, False], "alone")
+    good = [
+        F.substring(hex_, 1, 40), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(hex_, 1, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), F.upper(F.substring(hex_, 1, 40)), F.concat(F.lit("sk-"), F.substring(base64, 1, 32)),
+        F.substring(letters, 1, 24), F.concat(pick(["hunter", "dragon", "Summer", "winter", "Qwerty", "monkey"], "word"), F.substring(digits, 1, F.lit(1) + F.length(F.substring(digits, 1, 1)))), F.concat(F.substring(letters, 1, 4), pick(["!", "$", "%", "@", ":", "#"], "mark"), F.substring(base64, 9, 6)), F.substring(base64, 1, 12), F.concat(F.substring(base64, 1, 30), F.lit("==")), F.concat(F.substring(base64, 1, 43), F.lit("=")),
+    ]
     uuid = F.concat_ws("-", *(F.substring(hex_, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     name = F.concat(pick(["main", "image", "report-final", "index.page", "user_handler", "package"], "name"), F.lit("-"), F.substring(digits, 1, 4))
     bad = [
         (F.lit("commit "), F.substring(hex_, 1, 40), F.lit(" fixes")), (F.lit('sha256: "'), F.substring(hex_, 1, 64), F.lit('"')), (F.lit('id = "'), uuid, F.lit('"')), (F.lit("/static/"), F.concat(name, F.lit("."), F.substring(hex_, 1, 16), F.lit(".js")), F.lit('"')),
         (prose, F.substring(digits, 1, 16), F.lit(" and")), (F.lit("order "), F.substring(digits, 1, 18), F.lit(".")), (F.concat(key, sign), F.concat(pick(["xxxxxxxxxxxxxxxx", "your-token-here-", "changeme-example", "0000000000000000", "placeholder-1234"], "filler"), F.lit("1")), close),
         (F.lit("on "), F.concat(F.lit("2023-01-"), F.substring(digits, 1, 2), F.lit("T10.00.00-report")), F.lit(" ")), (prose, F.concat(name, F.lit("ControllerFactory"), F.substring(digits, 1, 2)), F.lit("(")), (F.lit("mail "), F.concat(name, F.lit(".mail.example.com")), F.lit(" ")), (F.lit("(checksum "), F.substring(hex_, 1, 32), F.lit(")")),
+        (F.concat(key, pick([": ", " = ", "=", ' = "'], "ask")), pick("required please expired invalid string None null true false undefined password changeme missing rotated nothing should reset empty optional unknown about never given default hidden vergessen obligatoire".split(), "plain"), pick([" ", " ", " ", '" '], "ask")),
+        (F.concat(key, pick([": ", " = ", "="], "ask2")), pick(["os.environ", "$TOKEN", "${PASSWORD}", "config.password", "self.token", "request.headers", "settings.SECRET", "String", "process.env.KEY", "********", "%s", "https://example.com/login", "xxxxxxxx"], "code"), F.lit(" ")),
+        (F.lit("?page="), F.concat(name, F.lit("-index-page")), F.lit("&")),
     ]
     is_secret = F.pmod("id", F.lit(2)) == 0
     chosen = lambda options, at: F.element_at(F.array(*options), at + 1)
-    out = spark.range(0, rows, 1, 4)
-    return out.select(
-        F.when(is_secret, F.concat(prose, key, sign)).otherwise(F.concat(prose, chosen([b[0] for b in bad], alike))).alias("before"),
-        F.when(is_secret, chosen(good, secret)).otherwise(chosen([b[1] for b in bad], alike)).alias("candidate"),
-        F.when(is_secret, F.concat(close, F.lit(" "))).otherwise(chosen([b[2] for b in bad], alike)).alias("after"),
-        F.when(is_secret, 1.0).otherwise(0.0).alias("label"),
+    made = spark.range(0, rows, 1, 4).select(
+        F.col("id").alias(ID),
+        F.when(is_secret, F.concat(prose, F.when(alone, "").otherwise(F.concat(key, sign)), chosen(good, secret), F.when(alone, "").otherwise(close), F.lit(" "))).otherwise(F.concat(prose, *(chosen([b[k] for b in bad], alike) for k in range(3)))).alias("text"),
     )
+    return candidates(made).select("before", "candidate", "after", F.when(F.pmod(ID, F.lit(2)) == 0, 1.0).otherwise(0.0).alias("label"))
 
 
 def _featured(rows: DataFrame) -> tuple[DataFrame, list[str]]:
