@@ -3,7 +3,9 @@
 Texts become templates: numbers, units behind numbers and names (capitalised words within a sentence) are replaced by typed placeholders,
 other words lose case and the punctuation around them; tokens that are punctuation alone vanish. Windows of ``WINDOW`` template tokens
 are hashed and hash-joined with the benchmark's windows. An item is found in a document if enough of its windows are there and its slots
-are consistent: a value of the item stands for one value of the document wherever it occurs. So a question with other numbers or names is
+are consistent: a value of the item stands for one value of the document wherever it occurs. A document may have a window at several
+places, so the item is laid over it at each offset that a window gives, every window at its place nearest to that offset, and the best
+offset counts. So a question with other numbers or names is
 caught as long as they are exchanged throughout.
 
 Before the join, a bit table of the benchmark's window hashes drops windows that can't match; it is built only while the benchmark has at
@@ -137,7 +139,7 @@ def _rows(id_name: str, table: np.ndarray | None):
                 if not len(found):
                     continue
                 ids += [doc_id] * len(found)
-                at += found.tolist()
+                at += (found + (xxh64_intdigest((text or "").encode()) >> 42 << 32)).tolist()  # rows that share an id stay apart
                 hashes += h[found].tolist()
                 places = np.flatnonzero(slots)
                 lo, hi = np.searchsorted(places, found), np.searchsorted(places, found + WINDOW)
@@ -148,13 +150,56 @@ def _rows(id_name: str, table: np.ndarray | None):
     return run
 
 
+def consistency(hits: list[dict], n_windows: int, coverage: float) -> tuple[float, bool]:
+    """The share of an item's slot values that stand for one value of the document, at the best offset; whether all values are the same.
+
+    ``hits`` has the item's and the document's occurrences (``at``, ``slots``) of each window that both have. Windows further from an
+    offset than the item is long don't count there, if those that are near reach ``coverage``.
+    """
+    places = [np.sort(np.array([o["at"] for o in h["occ"]])) for h in hits]
+    values = [{o["at"]: o["slots"] for o in h["occ"]} for h in hits]
+    length = 1 + max(o["at"] for h in hits for o in h["item_occ"])
+    offsets, counts = np.unique(np.concatenate([(p[:, None] - np.array([o["at"] for o in h["item_occ"]])[None, :]).ravel() for p, h in zip(places, hits, strict=True)]), return_counts=True)
+    best = (-1.0, False)
+    for d in offsets[np.argsort(-counts, kind="stable")].tolist():
+        laid = []
+        for k, (p, h) in enumerate(zip(places, hits, strict=True)):
+            for o in h["item_occ"]:
+                i = int(np.searchsorted(p, o["at"] + d))
+                near = min(p[max(i - 1, 0) : i + 1].tolist(), key=lambda x: abs(x - o["at"] - d))
+                laid.append((k, abs(near - o["at"] - d) <= length, o["slots"], values[k][near]))
+        if len({k for k, close, _, _ in laid if close}) >= n_windows * coverage:
+            laid = [x for x in laid if x[1]]
+        meant: dict[str, set[str]] = {}
+        for _, _, ours, theirs in laid:
+            for a, b in zip(ours, theirs, strict=True):
+                meant.setdefault(a, set()).add(b)
+        share = sum(len(v) == 1 for v in meant.values()) / len(meant) if meant else 1.0
+        best = max(best, (share, all(v == {a} for a, v in meant.items())))
+        if best == (1.0, True):
+            break
+    return best
+
+
+def _judge(coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [consistency(hits, n, coverage) for hits, n in zip(b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.bool_())], names=[ID, "item_id", "n_windows", "n_found", "slot_consistency", "same_values"])
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, item_id: str = "item_id", item_text: str = TEXT) -> DataFrame:
     """Pairs ``doc_id``, ``item_id`` of documents and the items they have, with ``n_windows`` (distinct, of the item), ``n_found``,
     ``coverage``, ``slot_consistency`` and ``same_values`` (no slot has another value: not only the template is there).
     """
     spark = docs.sparkSession
     items = texts(benchmark, item_id, item_text).filter(F.col(ID).isNotNull()).withColumnRenamed(ID, "item_id")
-    ours = items.mapInArrow(_rows("item_id", None), "item_id long, at long, h long, slots array<string>").dropDuplicates(["item_id", "h"]).withColumnRenamed("slots", "item_slots").drop("at").persist()
+    occurrences = F.collect_set(F.struct("at", "slots"))
+    schema = "long, at long, h long, slots array<string>"
+    # an item's own places count from its start
+    ours = items.dropDuplicates().mapInArrow(_rows("item_id", None), f"item_id {schema}").withColumn("at", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).groupBy("item_id", "h").agg(occurrences.alias("item_occ")).persist()
     n = ours.count()
     table = None
     if n <= MOST_WINDOWS:
@@ -168,19 +213,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(ID, table and table.value)(batches)
 
-    theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} long, at long, h long, slots array<string>").select(ID, "h", "slots")
+    theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} {schema}")
     total = ours.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     side = ours.join(total, "item_id")
-    # one row for each window of an item that a document has, however often
-    hits = theirs.join(F.broadcast(side) if n <= 100_000 else side, "h").groupBy(ID, "item_id", "n_windows", "h").agg(F.first("item_slots").alias("item_slots"), F.min("slots").alias("slots"))
-    pairs = hits.groupBy(ID, "item_id", "n_windows").agg(F.count("*").alias("n_found"), F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))).alias("pairs")).filter(F.col("n_found") >= F.col("n_windows") * coverage)
-    # values of the item, the document's values for each, and how often: an item's windows bound these lists
-    used = pairs.withColumn("keys", F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    steady = F.filter("keys", lambda k: F.size(F.array_distinct(F.transform(F.filter("pairs", lambda p: p["item_slots"].eqNullSafe(k)), lambda p: p["slots"]))) == 1)
-    share = F.when(F.size("keys") == 0, F.lit(1.0)).otherwise(F.size(steady) / F.size("keys"))
-    return used.select(
-        ID, "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), share.alias("slot_consistency"), F.forall("pairs", lambda p: p["item_slots"].eqNullSafe(p["slots"])).alias("same_values")
-    ).filter(F.col("slot_consistency") >= consistent)
+    # one row for each window of an item that a document has, with its places in both
+    places = side.select("item_id", "h", "n_windows")
+    hits = theirs.join(F.broadcast(places) if n <= 100_000 else places, "h").groupBy(ID, "item_id", "n_windows", "h").agg(occurrences.alias("occ"))
+    many = hits.groupBy(ID, "item_id", "n_windows").agg(F.count("*").alias("n_found"), F.collect_list(F.struct("h", "occ")).alias("found")).filter(F.col("n_found") >= F.col("n_windows") * coverage)
+    theirs_of = side.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "item_occ"))).alias("places"))
+    both = many.join(F.broadcast(theirs_of) if n <= 100_000 else theirs_of, "item_id")
+    pairs = both.select(ID, "item_id", "n_windows", "n_found", F.transform("found", lambda f: F.struct(F.col("places")[f["h"]].alias("item_occ"), f["occ"].alias("occ"))).alias("hits"))
+    judged = pairs.mapInArrow(_judge(coverage), f"{ID} long, item_id long, n_windows long, n_found long, slot_consistency double, same_values boolean")
+    return judged.select(ID, "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "slot_consistency", "same_values").filter(F.col("slot_consistency") >= consistent)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
