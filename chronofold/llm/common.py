@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +26,35 @@ def texts(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which every executor sees. Set here only where the session has none, as in tests."""
+    """The folder in ``spark.checkpoint.dir``, which every executor sees. Set here only where a local session has none, as in tests; a
+    cluster without one is an error, as its machines wouldn't see each other's files.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofold-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
 class Scratch:
-    """Tables in the shared folder that cut a plan's lineage; each survives the loss of executors."""
+    """Tables in the shared folder that cut a plan's lineage; each survives the loss of executors.
+
+    Tables that no later plan reads are dropped by their operator; the rest, which a result still reads, go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark, self.n = spark, 0
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        fs, at = self._at(self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def path(self) -> str:
         self.n += 1
@@ -47,16 +64,64 @@ class Scratch:
         path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self
+        out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later plan reads."""
-        if path := self.paths.pop(id(df), None):
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads; others are left alone."""
+        for df in tables:
+            if path := getattr(df, "_scratch_path", None):
+                fs, at = self._at(path)
+                fs.delete(at, True)
+
+
+#: The longest word, in bytes, that a worker's cache keeps.
+CACHED_BYTES = 64
+
+
+def looked_up(known: dict, words: list[bytes], make: Callable[[list[bytes]], Iterable], most: int) -> list:
+    """The value of each word: from ``known``, or by ``make`` for the distinct words that it lacks.
+
+    Words of up to ``CACHED_BYTES`` are remembered, at most ``most`` of them; then the cache starts anew. So its memory is bounded in bytes,
+    however long unbroken words are.
+    """
+    found = list(map(known.get, words))
+    if None not in found:
+        return found
+    new = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
+    made = dict(zip(new, make(new), strict=True))
+    out = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+    short = {w: x for w, x in made.items() if len(w) <= CACHED_BYTES}
+    if len(known) + len(short) > most:
+        known.clear()
+    if len(short) <= most:
+        known.update(short)
+    return out
+
+
+def summed(rows: DataFrame, make: Callable) -> np.ndarray | None:
+    """The sum, over all rows, of the arrays that ``make(batch)`` gives for an Arrow batch; None without rows.
+
+    Partitions are summed where they are, their sums in one task, in an order that doesn't depend on the tasks'; one array comes to the driver.
+    """
+
+    def run(batches):
+        yield from one((make(b) for b in batches if b.num_rows), None)
+
+    def add(batches):
+        sums = sorted((k, bytes(v)) for b in batches for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from one((np.frombuffer(v, float) for _, v in sums), -1)
+
+    def one(arrays, part):
+        total = None
+        for a in arrays:
+            total = a.astype(float) if total is None else total + a
+        if total is not None:
+            part = TaskContext.get().partitionId() if part is None else part
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    got = rows.mapInArrow(run, "part int, sums binary").repartition(1).mapInArrow(add, "part int, sums binary").first()
+    return np.frombuffer(got["sums"], float) if got else None
 
 
 def parts(spark: SparkSession) -> int:

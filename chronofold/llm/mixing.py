@@ -27,7 +27,9 @@ DIMS = ("source", "lang", "topic")
 #: Where no targets are given, a value's target share goes with its token share to this power: rare values count for more.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 KEEP = 0.5
-ROUNDS, PER_TABLE, TOLERANCE = 60, 5, 1e-12
+MOST_ROUNDS, PER_TABLE, TOLERANCE, SETTLED = 500, 5, 1e-12, 1e-5
+#: Rounds that the SQL takes, which can't stop by itself.
+SQL_ROUNDS = 100
 BROADCAST_CELLS = 100_000
 SEED = "mix"
 #: Topics by marks that a text has; the first that fits.
@@ -63,14 +65,19 @@ def _shares(cells: DataFrame, targets: dict[str, dict[str, float]] | None) -> Da
     return cells
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (``source``, ``lang``, ``topic``, ``tokens``) with ``raked``: shares of all tokens that fit the targets."""
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``cells`` (``source``, ``lang``, ``topic``, ``tokens``) with ``raked``: shares of all tokens that fit the targets.
+
+    Rounds go on until none moves a share by ``TOLERANCE``. Targets that contradict each other (a source that only has one language, and
+    the two wish for different shares) settle too, with the last marginal met and the others as near as raking brings them. What hasn't
+    settled after ``MOST_ROUNDS`` is an error, unless it moves by less than ``SETTLED``.
+    """
     scratch = Scratch(cells.sparkSession, "rake")
     total = F.sum("tokens").over(Window.partitionBy())
     now = scratch.save(_shares(cells.coalesce(1), targets).withColumn("raked", F.col("tokens") / F.nullif(total, F.lit(0.0))))
-    for at in range(0, rounds, PER_TABLE):
-        step = now.coalesce(1)  # the cells are one task's rows: the windows below need no exchange
-        for _ in range(min(PER_TABLE, rounds - at)):
+    for _ in range(0, MOST_ROUNDS, PER_TABLE):
+        step = now.drop("before").coalesce(1)  # the cells are one task's rows: the windows below need no exchange
+        for _ in range(PER_TABLE):
             step = step.withColumn("before", F.col("raked"))
             for d in DIMS:
                 have = F.sum("raked").over(Window.partitionBy(d))
@@ -78,12 +85,13 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         new = scratch.save(step)
         moved = new.agg(F.max(F.abs(F.col("raked") - F.col("before")))).first()[0]
         scratch.drop(now)
-        now = new.drop("before")
-        now._scratch = scratch
-        scratch.paths[id(now)] = scratch.paths.pop(id(new))
+        now = new
         if moved is None or moved < TOLERANCE:
             break
-    return now
+    else:
+        if moved > SETTLED:
+            raise ValueError(f"the targets don't settle: after {MOST_ROUNDS} rounds a share still moves by {moved:.2g}")
+    return now.drop("before")
 
 
 def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -111,9 +119,7 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 def _with_probability(docs: DataFrame, targets, keep: float, topic_of: Column | None) -> tuple[DataFrame, DataFrame]:
     measured = _measured(docs, topic_of)
     cells = measured.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    table = calibrate(rake(cells, targets), keep)
-    scratch = Scratch(docs.sparkSession, "cells")
-    table = scratch.save(table)
+    table = Scratch(docs.sparkSession, "cells").save(calibrate(rake(cells, targets), keep))
     return measured, F.broadcast(table) if table.count() <= BROADCAST_CELLS else table
 
 
@@ -123,19 +129,20 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     return measured.join(cells, list(DIMS)).filter(draw(F.col(ID)) < F.col("probability")).select(ID, *DIMS, "n_tokens", "probability", "weight")
 
 
-def sample_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
-    """The sampled rows of ``docs`` with their own columns."""
-    _, cells = _with_probability(docs, targets, keep, None)
-    cell = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")] + [topic(F.coalesce(F.col(TEXT), F.lit(""))).alias("topic")]
-    cells = cells.select(F.struct(*DIMS).alias("_cell"), F.col("probability").alias("_probability"))
-    return docs.withColumn("_cell", F.struct(*cell)).join(cells, "_cell").filter(draw(F.col(ID)) < F.col("_probability")).select(*docs.columns)
+def sample_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topic_of: Column | None = None) -> DataFrame:
+    """The sampled rows of ``docs`` with their own columns, whatever their names: each row travels as one struct beside its cell."""
+    _, cells = _with_probability(docs, targets, keep, topic_of)
+    cell = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")), (topic(F.coalesce(F.col(TEXT), F.lit(""))) if topic_of is None else topic_of).alias("topic"))
+    rows = docs.select(F.struct("*").alias("row"), cell.alias("cell"))
+    cells = cells.select(F.struct(*DIMS).alias("cell"), "probability")
+    return rows.join(cells, "cell").filter(draw(F.col(f"row.{ID}")) < F.col("probability")).select("row.*")
 
 
 def _sql_literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def mix_sql(documents: str = "documents", keep: float = KEEP, rounds: int = ROUNDS) -> str:
+def mix_sql(documents: str = "documents", keep: float = KEEP, rounds: int = SQL_ROUNDS) -> str:
     """DuckDB SQL for ``mix`` with tempered targets, its numbers rounded as the query rounds them."""
     case = "CASE " + " ".join(f"WHEN contains(x, {_sql_literal(mark)}) THEN '{name}'" for name, mark in TOPICS) + " ELSE 'prose' END"
     goal = ", ".join(f"CASE WHEN own_{d} > 0 THEN (own_{d} / total) ** {TEMPER[d]} ELSE 0 END AS wish_{d}" for d in DIMS)

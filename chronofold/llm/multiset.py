@@ -6,8 +6,9 @@ subtracting it. Two groups of lanes:
 
 * ``EXACT`` lanes modulo 2**64, from BLAKE2b of the whole paragraph: equal multisets of paragraphs have equal lanes, others differ but
   for a collision.
-* ``LANES`` lanes modulo 2**16: the sum, over the paragraph's runs of three words, of vectors of +1 and -1 hashed from the run. The
-  squared length of a difference estimates in how many runs two documents differ, which gives their likeness.
+* ``LANES`` lanes modulo 2**32: the sum, over the paragraph's runs of three words, of vectors of +1 and -1 hashed from the run. The
+  squared length of a difference estimates in how many runs two documents differ, which gives their likeness. A lane only wraps once
+  a text has 2**31 runs, more than a text can hold.
 
 Defined cases: a null or empty text is one empty paragraph; the next document of the last is the first, so a table of one document is
 its own next; rows with the same ``doc_id`` follow by their texts' hash, then text; rows with a null id come last in descending order;
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, parts, texts
+from .common import ID, TEXT, looked_up, parts, texts
 
 EXACT, LANES, RUN = 4, 128, 3
 #: Words whose hashes a worker remembers; when full, it starts anew.
@@ -39,17 +40,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    found = list(map(_words.get, words))
-    if None in found:
-        from xxhash import xxh64_digest
+    from xxhash import xxh64_digest
 
-        new = {w for w, x in zip(words, found, strict=True) if x is None}
-        if len(_words) + len(new) > CACHE_WORDS:
-            _words.clear()
-            new = set(words)
-        _words.update((w, xxh64_digest(w)) for w in new)
-        found = map(_words.__getitem__, words)
-    return np.frombuffer(b"".join(found), "<u8")
+    return np.frombuffer(b"".join(looked_up(_words, words, lambda new: map(xxh64_digest, new), CACHE_WORDS)), "<u8")
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:
@@ -66,7 +59,7 @@ class Fingerprint:
 
     def __init__(self, exact: np.ndarray | None = None, lanes: np.ndarray | None = None) -> None:
         self.exact = np.zeros(EXACT, np.uint64) if exact is None else exact
-        self.lanes = np.zeros(LANES, np.uint16) if lanes is None else lanes
+        self.lanes = np.zeros(LANES, np.uint32) if lanes is None else lanes
 
     @classmethod
     def of(cls, paragraphs: list[bytes]) -> Fingerprint:
@@ -91,7 +84,7 @@ class Fingerprint:
             y = x[a : a + step]
             wide = np.stack([_mix(y + np.uint64((0xD1B54A32D192ED03 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)) for k in range(LANES // 64)], axis=1)
             ones = _ones(np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(y), -1), axis=1, bitorder="little"))
-            out.lanes += (2 * ones - len(y)).astype(np.uint16)
+            out.lanes += (2 * ones - len(y)).astype(np.uint32)
         return out
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
@@ -106,18 +99,18 @@ class Fingerprint:
     __hash__ = None
 
     def hex(self) -> str:
-        return self.exact.astype("<u8").tobytes().hex() + self.lanes.astype("<u2").tobytes().hex()
+        return self.exact.astype("<u8").tobytes().hex() + self.lanes.astype("<u4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, s: str) -> Fingerprint:
         raw = bytes.fromhex(s)
-        return cls(np.frombuffer(raw[: 8 * EXACT], "<u8").copy(), np.frombuffer(raw[8 * EXACT :], "<u2").copy())
+        return cls(np.frombuffer(raw[: 8 * EXACT], "<u8").copy(), np.frombuffer(raw[8 * EXACT :], "<u4").copy())
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints, about the shared part of the runs of words otherwise, 0 for nothing in common."""
         if self == other:
             return 1.0
-        a, b, d = (x.view(np.int16).astype(float) for x in (self.lanes, other.lanes, self.lanes - other.lanes))
+        a, b, d = (x.view(np.int32).astype(float) for x in (self.lanes, other.lanes, self.lanes - other.lanes))
         size = a @ a + b @ b
         return float(min(1.0, max(0.0, 1 - (d @ d) / size))) if size else 0.0
 

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, TEXT, Scratch, parts, texts
+from .common import ID, TEXT, Scratch, looked_up, parts, texts
 
 END_ID = 1
 SEGMENT_BYTES = 4 << 20
 #: The dictionary is trained on at most so many documents, each of at most so many characters (it serves short documents). A document
 #: that isn't among them is encoded just as well: training decides on sizes, never on content.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8000, 64 << 10
-#: Words that a worker remembers the ids of; when full, it starts anew.
+#: Words of up to ``common.CACHED_BYTES`` that a worker remembers the ids of; when full, it starts anew.
 CACHE_WORDS = 700_000
 
 SEGMENTS = T.StructType(
@@ -80,26 +80,17 @@ class WordEncoder:
         raw = text.encode()
         if b"<|" in raw:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.cut(b" ", raw.lower()).split()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            new = list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None))
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-            ids = map(self.known.__getitem__, words)
-        return b"".join(ids)
-
-    def learn(self, words: list[bytes]) -> None:
+        return b"".join(looked_up(self.known, self.cut(b" ", raw.lower()).split(), self.learn, CACHE_WORDS))
+
+    def learn(self, words: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(words), 2000):
             some = [w.decode() for w in words[at : at + 2000]]
             starts = np.cumsum([0, *(len(w) + 1 for w in some)])
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             cuts = np.searchsorted(np.array([x[0] for x in found.offsets], np.int64), starts)
-            for k, w in enumerate(words[at : at + 2000]):
-                self.known[w] = ids[cuts[k] : cuts[k + 1]].tobytes()
+            for k in range(len(some)):
+                yield ids[cuts[k] : cuts[k + 1]].tobytes()
 
 
 @lru_cache(2)
