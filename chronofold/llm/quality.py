@@ -4,8 +4,8 @@ Each whole text gives a vector of statistics (shares of kinds of characters, len
 Fourier features, which approximate a Gaussian kernel; the normal equations of ridge regression are summed by partition and solved once
 on the driver; isotonic regression over rows that the ridge hasn't seen turns scores into probabilities.
 
-Labels are learnt from a bounded sample (``SAMPLE`` rows or so of the labelled ones; all when there are fewer): the driver gets
-``PARTIALS`` sums of ``FEATURES``-squared numbers and the calibration rows' scores, whatever the input's size. Every document is scored.
+Labels are learnt from a bounded sample (``SAMPLE`` rows or so of the labelled ones; all when there are fewer): the driver gets one sum of
+``FEATURES``-squared numbers and the calibration rows' scores, whatever the input's size. Every document is scored.
 
 Defined cases: null and empty texts have a vector of zeros and a score like any other; labels that are null are left out; a document
 with several labels counts with their mean; without labels, or with labels of one kind only, the score is the labels' mean (0.5 without
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, bounded_sample, held_out, texts
+from .common import ID, TEXT, bounded_sample, held_out, summed, texts
 
 SAMPLE = 20_000
 FEATURES = 192
@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
         return QualityModel(0.5 if prior[0] is None else float(prior[0]))
     fold = F.pmod(F.xxhash64(F.lit("calibration"), ID), F.lit(4)).cast("int")
     rows = texts(docs).join(F.broadcast(known), ID).select(TEXT, "y", fold.alias("fold"))  # at most about ``sample`` ids are broadcast
-    rows = _vectors(rows).coalesce(PARTIALS).persist()
+    # the scan keeps its tasks; only the sample's vectors move, in an order that doesn't depend on them
+    rows = _vectors(rows).repartition(PARTIALS, "x").sortWithinPartitions("x", "y").persist()
     try:
         return _solve(rows, float(prior[0]))
     finally:
@@ -162,33 +163,23 @@ def _matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, b.column(1).to_numpy(), b.column(2).to_numpy()
 
 
-def _summed(rows: DataFrame, make) -> np.ndarray:
-    """The sum, over all rows, of the arrays that ``make(x, y, fold)`` gives for a batch: one partial sum for each partition comes to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                part = make(*_matrix(b))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()], pa.binary())], names=["sums"])
-
-    return sum(np.frombuffer(r[0], float) for r in rows.mapInArrow(run, "sums binary").collect())
-
-
 def _solve(rows: DataFrame, prior: float) -> QualityModel:
-    moments = _summed(rows, lambda x, y, fold: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
-    if np.ndim(moments) == 0:
+    def spread(b: pa.RecordBatch) -> np.ndarray:
+        x, _, _ = _matrix(b)
+        return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+    moments = summed(rows, spread)
+    if moments is None:
         return QualityModel(prior)
     mean = moments[1 : STATISTICS + 1] / moments[0]
     features = Fourier(mean, np.sqrt(np.maximum(moments[STATISTICS + 1 :] / moments[0] - mean**2, 0)) + 1e-6)
 
-    def normal(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    def normal(b: pa.RecordBatch) -> np.ndarray:
+        x, y, fold = _matrix(b)
         z = features(x[fold > 0])
         return np.concatenate([(z.T @ z).ravel(), z.T @ y[fold > 0], [len(z)]])
 
-    sums, d = _summed(rows, normal), FEATURES + 1
+    sums, d = summed(rows, normal), FEATURES + 1
     gram, right, n = sums[: d * d].reshape(d, d), sums[d * d : -1], sums[-1]
     weights = np.linalg.solve(gram + RIDGE * max(n, 1) / d * np.eye(d), right)
 
