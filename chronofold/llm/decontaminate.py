@@ -1,19 +1,29 @@
 """Benchmark decontamination by template windows.
 
-Texts become templates: numbers, units behind numbers and names (capitalised words within a sentence) are replaced by typed placeholders,
-other words lose case and the punctuation around them; tokens that are punctuation alone vanish. Windows of ``WINDOW`` template tokens
-are hashed and hash-joined with the benchmark's windows. An item is found in a document if enough of its windows are there and its slots
-are consistent: a value of the item stands for one value of the document wherever it occurs. A document may have a window at several
-places, so the item is laid over it at each offset that a window gives, every window at its place nearest to that offset, and the best
-offset counts. So a question with other numbers or names is
-caught as long as they are exchanged throughout.
+Texts become templates: numbers, units behind numbers and names are replaced by typed placeholders, a run of names by one; other words
+lose case and the punctuation around them; tokens that are punctuation alone vanish. A template has two forms:
+
+* plain: a name is a capitalised word within a sentence that isn't one of ``COMMON``;
+* open: capitalised words that begin a sentence are names too, and in documents so is every word that no benchmark item has as a plain
+  word. So a name is found at the start of a sentence, and in texts that are written in capitals or without any.
+
+Windows of ``WINDOW`` template tokens of either form are hashed and hash-joined with the benchmark's windows. An item is found in a
+document if enough of its windows, told by their places in the item, are there and its slots are consistent: a value of the item stands
+for one value of the document wherever it occurs. A document may have a window at several places, so the item is laid over it at each
+offset that a window gives, every window at its place nearest to that offset, and the best offset counts. So a question with other numbers
+or names is caught as long as they are exchanged throughout, in each of its variants.
+
+A text of fewer than ``WINDOW`` template tokens has one window, its whole template: a short item is found where it is the whole document.
+Short templates of placeholders alone have none.
 
 Before the join, a bit table of the benchmark's window hashes drops windows that can't match; it is built only while the benchmark has at
 most ``MOST_WINDOWS`` windows, and beyond that all windows go to the join, with the same result.
 
-Defined cases: null and empty texts, and items of fewer than ``WINDOW`` tokens, have no windows and never match; items and documents
-without an id are left out of the result; repeated items or documents count once for each id; an empty table gives no rows; other columns
-are ignored.
+Defined cases: null and empty texts have no windows and never match; items and documents without an id are left out of the result;
+repeated items or documents count once for each id, and an item id with several texts is found
+where one of them is; an item written in
+capitals has its names as plain words; an empty table gives no rows; other columns are ignored, and kept by ``drop_contaminated``. A whole
+text is held at once, with 9 bytes for each word beside it.
 """
 
 from __future__ import annotations
@@ -21,6 +31,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +39,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ID, TEXT, texts
+from .common import ID, TEXT, Scratch, looked_up, texts
 
 WINDOW = 5
 #: Shares of an item's windows that must be found, and of its slots that must be consistent.
 COVERAGE, CONSISTENT = 0.6, 0.8
 MOST_WINDOWS = 1 << 22
+#: Bits of the tables of windows and of words, for each entry, and at most (32 MB).
+ENTRY_BITS, MOST_BITS = 512, 1 << 28
 CACHE_WORDS = 250_000
 
-# Words that are units behind a number; number words.
-UNITS = "kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft foot feet inch inches yard yards meter meters metre metres kilometers kilometres l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h m/s °c °f degrees dollar dollars usd euro euros eur pound pounds cent cents percent items people points jahre tage stunden minuten heures jours ans horas días años"
-NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million half dozen"
-_UNITS, _NUMBERS = (frozenset(x.encode() for x in v.split()) for v in (UNITS, NUMBERS))
+# Words that are units behind a number; number words; words that are no names though they begin sentences.
+UNITS = (
+    "kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft foot feet inch inches yard yards meter meters metre metres kilometers "
+    "kilometres l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks "
+    "month months year years mph kmh km/h m/s °c °f degrees dollar dollars usd euro euros eur pound pounds cent cents percent items people "
+    "points jahre tage stunden minuten heures jours ans horas días años"
+)
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million half dozen"
+)
+COMMON = (
+    "a an the this that these those and but or nor so if when while where who what which why how is are was were do does did can could "
+    "will would shall should may might must he she it they we you i his her its their our your my in on at by for from of to with as after "
+    "before since until then there here not no all some each every any both first later "
+    "le la les un une des et mais ou si quand où qui que quel quelle il elle ils elles nous vous je ce cette ces dans sur avec pour par de du "
+    "der die das ein eine und aber oder wenn wo wer was welche wie er sie es wir ihr ich in im auf mit für von zu "
+    "el los las una y pero o cuando donde quien cual como él ella nosotros este esta estos en con para por del"
+)
+_UNITS, _NUMBERS, _COMMON = (frozenset(x.encode() for x in v.split()) for v in (UNITS, NUMBERS, COMMON))
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac\xc2\xa3]*[0-9][0-9.,:/]*(?:%|[a-z]{1,3})?$")
 _EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
-_WORD, _NUM, _UNIT, _NAME, _SKIP, _STOP = 1, 2, 4, 8, 16, 32
+_NUM, _UNIT, _NAME, _SKIP, _STOP, _STRANGE = 1, 2, 4, 8, 16, 32
 ENTRY = np.dtype([("word", "<u8"), ("flags", "u1")])
 PLACEHOLDERS = {_NUM: 0x9D39247E33776D41, _UNIT: 0x2AF7398005AAA5C7, _NAME: 0x44DB015024623547}
 _LINE, _AFTER_STOP, _STOPS = b"\x00", b"#$%&*|\"')]", (b".", b"!", b"?", b":")
-_known: dict[bytes, bytes] = {}
+_pack = struct.Struct("<QB").pack
 
 
-_pack = struct.Struct("<QB").pack
+class Bits:
+    """A set of hashes as a table of bits: it may have a hash that isn't in the set, and never lacks one that is."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.bits = min(MOST_BITS, 1 << max(16, int(len(hashes) * ENTRY_BITS).bit_length()))
+        self.table = np.zeros(self.bits // 8, np.uint8)
+        at = self._at(hashes)
+        np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        self.tag = xxh64_intdigest(self.table.tobytes())
+
+    def _at(self, hashes: np.ndarray) -> np.ndarray:
+        return _mix(hashes) >> np.uint64(65 - self.bits.bit_length())
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = self._at(hashes)
+        return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _bare(word: bytes) -> bytes:
@@ -58,16 +102,18 @@ def _bare(word: bytes) -> bytes:
     return own.lower() if own.isascii() else own.decode().lower().encode()
 
 
-def _entry(word: bytes) -> bytes:
-    """A word's ENTRY."""
+def _entry(word: bytes) -> tuple[int, int]:
+    """A word's hash and flags."""
     own = word.strip(_EDGES)
     if own.isalpha():  # of ASCII letters
-        bare, flags = own.lower(), _NAME if own[:1].isupper() and own[1:].islower() else 0
+        bare, name = own.lower(), own[:1].isupper() and own[1:].islower()
+        flags = 0
     else:
         text = own.decode()
-        bare, flags = text.lower().encode(), _NAME if text[:1].isupper() and text[1:].islower() else 0
-        if _NUMBER.match(bare):
-            flags |= _NUM
+        bare, name = text.lower().encode(), text[:1].isupper() and text[1:].islower()
+        flags = _NUM if _NUMBER.match(bare) else 0
+    if name and bare not in _COMMON:
+        flags |= _NAME
     if not bare or word == _LINE:
         flags = _SKIP
     elif bare in _NUMBERS:
@@ -76,7 +122,19 @@ def _entry(word: bytes) -> bytes:
         flags |= _UNIT
     if len(own) < len(word) and word.rstrip(_AFTER_STOP)[-1:] in _STOPS or word == _LINE:
         flags |= _STOP
-    return _pack(xxh64_intdigest(bare), flags)
+    return xxh64_intdigest(bare), flags
+
+
+def _entries(words: list[bytes], vocabulary: Bits | None) -> list[bytes]:
+    made = [_entry(w) for w in words]
+    strange = ~vocabulary.has(np.array([h for h, _ in made], np.uint64)) if vocabulary is not None else np.zeros(len(made), bool)
+    return [_pack(h, f | _STRANGE if s else f) for (h, f), s in zip(made, strange.tolist(), strict=True)]
+
+
+@lru_cache(4)
+def _cache(tag: int) -> dict[bytes, bytes]:
+    """Entries that a worker remembers, for each vocabulary."""
+    return {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,72 +142,100 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Codes of the template's tokens, which of them are slots, and the words."""
+class Form:
+    """A template in one form: codes of its tokens, which are slots, and the words that each token stands for."""
+
+    __slots__ = ("codes", "slots", "starts", "ends", "words")
+
+    def __init__(self, codes: np.ndarray, slots: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> None:
+        self.codes, self.slots, self.starts, self.ends, self.words = codes, slots, starts, ends, words
+
+    def value(self, token: int) -> str:
+        """What stands in a slot."""
+        own = b" ".join(x for w in self.words[self.starts[token] : self.ends[token]] if w != _LINE and (x := _bare(w)))
+        return own.decode() if len(own) <= 64 else f"{xxh64_intdigest(own):016x}"
+
+
+def template(text: str | None, vocabulary: Bits | None = None) -> list[Form]:
+    """The template's plain form, and its open form where that is another one."""
     words = (text or "").encode().replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
-    entries = list(map(_known.get, words))
-    if None in entries:
-        new = {w for w, e in zip(words, entries, strict=True) if e is None}
-        if len(_known) + len(new) > CACHE_WORDS:
-            _known.clear()
-            new = set(words)
-        _known.update((w, _entry(w)) for w in new)
-        entries = map(_known.__getitem__, words)
+    entries = looked_up(_cache(vocabulary.tag if vocabulary else 0), words, lambda new: _entries(new, vocabulary), CACHE_WORDS)
     all_ = np.frombuffer(b"".join(entries), ENTRY)
     flags = all_["flags"]
     first = np.append(True, (flags[:-1] & _STOP) > 0)[: len(flags)]  # of a sentence
     kept = np.flatnonzero((flags & _SKIP) == 0)
     # a token of punctuation alone may end a sentence for the word that follows it
-    flags, codes, first = flags[kept], all_["word"][kept].copy(), first[kept]
+    flags, plain, first = flags[kept], all_["word"][kept], first[kept]
     number = (flags & _NUM) > 0
     unit = ((flags & _UNIT) > 0) & np.append(False, number[:-1])[: len(number)] & ~number
-    name = ((flags & _NAME) > 0) & ~first & ~number & ~unit
-    for where, kind in ((number, _NUM), (unit, _UNIT), (name, _NAME)):
-        codes[where] = PLACEHOLDERS[kind]
-    slots = number | unit | name
-    return codes, slots, [words[k] for k in kept] if slots.any() else words if len(kept) == len(words) else []
-
-
-def windows(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all windows, as signed longs."""
-    n = len(codes) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    free = ~number & ~unit
+    capital = ((flags & _NAME) > 0) & free
+    name = capital & ~first
+    open_ = capital | ((flags & _STRANGE) > 0) & free
+    out = []
+    for names in (name, open_) if (open_ != name).any() else (name,):
+        codes = plain.copy()
+        for where, kind in ((number, _NUM), (unit, _UNIT), (names, _NAME)):
+            codes[where] = PLACEHOLDERS[kind]
+        at = np.flatnonzero(~(names & np.append(False, names[:-1])[: len(names)]))  # the first of a run of names
+        ends = np.append(kept, len(words))[np.append(at[1:], len(kept))] if len(at) else at
+        out.append(Form(codes[at], (number | unit | names)[at], kept[at], ends, words))
+    return out
+
+
+def windows(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Hashes of all windows; of the whole template if it is shorter and has a plain word."""
+    size, salt = WINDOW, 0
+    if len(codes) < WINDOW:
+        if slots.all():
+            return np.zeros(0, np.uint64)
+        size, salt = len(codes), len(codes)
+    n = len(codes) - size + 1
+    h = np.full(n, salt, np.uint64)
+    for k in range(size):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
-    return h.view(np.int64)
+    return h
+
 
+ROWS = "long, form int, at long, h long, slots array<string>"
+_ROW_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
 
-def _rows(id_name: str, table: np.ndarray | None):
-    """Windows of each text that ``table`` (bits of hashes) doesn't rule out, with the values of their slots."""
-    shift = np.uint64(64 - int(len(table) * 8).bit_length() + 1) if table is not None else None
+
+def _rows(id_name: str, table: Bits | None, vocabulary: Bits | None):
+    """Windows of each text that ``table`` doesn't rule out: the form they are of, their places and the values of their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, hashes, values = [], [], [], []
+            out = [[] for _ in _ROW_TYPES]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes, slots, words = template(text)
-                h = windows(codes)
-                if table is None:
-                    found = np.arange(len(h))
-                else:
-                    bit = h.view(np.uint64) >> shift
-                    found = np.flatnonzero(table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(found):
-                    continue
-                ids += [doc_id] * len(found)
-                at += (found + (xxh64_intdigest((text or "").encode()) >> 42 << 32)).tolist()  # rows that share an id stay apart
-                hashes += h[found].tolist()
-                places = np.flatnonzero(slots)
-                lo, hi = np.searchsorted(places, found), np.searchsorted(places, found + WINDOW)
-                values += [[_bare(words[p]).decode() for p in places[a:z]] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(hashes, pa.int64()), pa.array(values, pa.list_(pa.string()))], names=[id_name, "at", "h", "slots"])
+                for k, form in enumerate(template(text, vocabulary)):
+                    h = windows(form.codes, form.slots)
+                    found = np.arange(len(h)) if table is None else np.flatnonzero(table.has(h))
+                    if not len(found):
+                        continue
+                    out[0] += [doc_id] * len(found)
+                    out[1] += [k] * len(found)
+                    out[2] += (form.starts[found] + (xxh64_intdigest((text or "").encode()) >> 42 << 32)).tolist()  # rows that share an id stay apart
+                    out[3] += h[found].view(np.int64).tolist()
+                    places = np.flatnonzero(form.slots)
+                    lo, hi = np.searchsorted(places, found), np.searchsorted(places, found + WINDOW)
+                    out[4] += [[form.value(p) for p in places[a:z]] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _ROW_TYPES, strict=True)], names=[id_name, "form", "at", "h", "slots"])
 
     return run
 
 
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hashes = {h for t in b.column(0).to_pylist() for form in template(t)[:1] for h in form.codes[~form.slots].tolist()}
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(hashes), np.uint64).view(np.int64))], names=["h"])
+
+
+def _hashes(rows: DataFrame) -> np.ndarray:
+    return np.asarray(rows.select("h").distinct().toArrow().column("h"), np.int64).view(np.uint64)
+
+
 def consistency(hits: list[dict], n_windows: int, coverage: float) -> tuple[float, bool]:
     """The share of an item's slot values that stand for one value of the document, at the best offset; whether all values are the same.
 
@@ -163,16 +249,16 @@ def consistency(hits: list[dict], n_windows: int, coverage: float) -> tuple[floa
     best = (-1.0, False)
     for d in offsets[np.argsort(-counts, kind="stable")].tolist():
         laid = []
-        for k, (p, h) in enumerate(zip(places, hits, strict=True)):
+        for p, v, h in zip(places, values, hits, strict=True):
             for o in h["item_occ"]:
                 i = int(np.searchsorted(p, o["at"] + d))
                 near = min(p[max(i - 1, 0) : i + 1].tolist(), key=lambda x: abs(x - o["at"] - d))
-                laid.append((k, abs(near - o["at"] - d) <= length, o["slots"], values[k][near]))
-        if len({k for k, close, _, _ in laid if close}) >= n_windows * coverage:
+                laid.append((o["at"], abs(near - o["at"] - d) <= length, o["slots"], v[near]))
+        if len({at for at, close, _, _ in laid if close}) >= n_windows * coverage:
             laid = [x for x in laid if x[1]]
         meant: dict[str, set[str]] = {}
         for _, _, ours, theirs in laid:
-            for a, b in zip(ours, theirs, strict=True):
+            for a, b in zip(ours, theirs, strict=False):
                 meant.setdefault(a, set()).add(b)
         share = sum(len(v) == 1 for v in meant.values()) / len(meant) if meant else 1.0
         best = max(best, (share, all(v == {a} for a, v in meant.items())))
@@ -185,46 +271,53 @@ def _judge(coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [consistency(hits, n, coverage) for hits, n in zip(b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.bool_())], names=[ID, "item_id", "n_windows", "n_found", "slot_consistency", "same_values"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in range(4)), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.bool_())],
+                names=[ID, "item_id", "n_windows", "n_found", "slot_consistency", "same_values"],
+            )
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, item_id: str = "item_id", item_text: str = TEXT) -> DataFrame:
-    """Pairs ``doc_id``, ``item_id`` of documents and the items they have, with ``n_windows`` (distinct, of the item), ``n_found``,
+    """Pairs ``doc_id``, ``item_id`` of documents and the items they have, with ``n_windows`` (places in the item), ``n_found``,
     ``coverage``, ``slot_consistency`` and ``same_values`` (no slot has another value: not only the template is there).
     """
     spark = docs.sparkSession
-    items = texts(benchmark, item_id, item_text).filter(F.col(ID).isNotNull()).withColumnRenamed(ID, "item_id")
+    scratch = Scratch(spark, "items")
+    items = texts(benchmark, item_id, item_text).filter(F.col(ID).isNotNull()).withColumnRenamed(ID, "item_id").dropDuplicates()
+    each = scratch.save(items.mapInArrow(_rows("item_id", None, None), f"item_id {ROWS}").withColumn("item_text", F.shiftright("at", 32)))
     occurrences = F.collect_set(F.struct("at", "slots"))
-    schema = "long, at long, h long, slots array<string>"
+    item = ["item_id", "item_text"]
     # an item's own places count from its start
-    ours = items.dropDuplicates().mapInArrow(_rows("item_id", None), f"item_id {schema}").withColumn("at", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).groupBy("item_id", "h").agg(occurrences.alias("item_occ")).persist()
+    own = F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "slots")
+    ours = scratch.save(each.groupBy(*item, "h").agg(F.collect_set(own).alias("item_occ")))
+    # the forms may differ in how many places they have: a run of names is one
+    total = scratch.save(each.groupBy(*item, "form").agg(F.countDistinct("at").alias("n")).groupBy(*item).agg(F.min("n").alias("n_windows")))
     n = ours.count()
-    table = None
-    if n <= MOST_WINDOWS:
-        bits = 1 << max(16, int(n * 64).bit_length())  # at most 64 bits a window: 32 MB
-        hashes = np.asarray(ours.select("h").distinct().toArrow().column("h"), np.int64).view(np.uint64)
-        table = np.zeros(bits // 8, np.uint8)
-        bit = hashes >> np.uint64(64 - bits.bit_length() + 1)
-        np.bitwise_or.at(table, bit >> np.uint64(3), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-        table = spark.sparkContext.broadcast(table)
+    table = spark.sparkContext.broadcast(Bits(_hashes(ours))) if n <= MOST_WINDOWS else None
+    vocabulary = spark.sparkContext.broadcast(Bits(_hashes(items.select(TEXT).mapInArrow(_plain_words, "h long"))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _rows(ID, table and table.value)(batches)
+        return _rows(ID, table and table.value, vocabulary.value)(batches)
 
-    theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} {schema}")
-    total = ours.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    side = ours.join(total, "item_id")
+    small = n <= 100_000  # windows, of at most WINDOW slots of 64 bytes each
+    theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} {ROWS}")
     # one row for each window of an item that a document has, with its places in both
-    places = side.select("item_id", "h", "n_windows")
-    hits = theirs.join(F.broadcast(places) if n <= 100_000 else places, "h").groupBy(ID, "item_id", "n_windows", "h").agg(occurrences.alias("occ"))
-    many = hits.groupBy(ID, "item_id", "n_windows").agg(F.count("*").alias("n_found"), F.collect_list(F.struct("h", "occ")).alias("found")).filter(F.col("n_found") >= F.col("n_windows") * coverage)
-    theirs_of = side.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "item_occ"))).alias("places"))
-    both = many.join(F.broadcast(theirs_of) if n <= 100_000 else theirs_of, "item_id")
-    pairs = both.select(ID, "item_id", "n_windows", "n_found", F.transform("found", lambda f: F.struct(F.col("places")[f["h"]].alias("item_occ"), f["occ"].alias("occ"))).alias("hits"))
+    places = ours.select(*item, "h", F.transform("item_occ", lambda o: o["at"]).alias("ats")).join(total, item)
+    pair = [ID, *item, "n_windows"]
+    hits = theirs.join(F.broadcast(places) if small else places, "h").groupBy(*pair, "h").agg(occurrences.alias("occ"), F.first("ats").alias("ats"))
+    found = F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long")
+    many = hits.groupBy(*pair).agg(found.alias("n_found"), F.collect_list(F.struct("h", "occ")).alias("found"))
+    many = many.filter(F.col("n_found") >= F.col("n_windows") * coverage)
+    theirs_of = ours.groupBy(*item).agg(F.map_from_entries(F.collect_list(F.struct("h", "item_occ"))).alias("places"))
+    both = many.join(F.broadcast(theirs_of) if small else theirs_of, item)
+    laid = F.transform("found", lambda f: F.struct(F.col("places")[f["h"]].alias("item_occ"), f["occ"].alias("occ")))
+    pairs = both.select(ID, "item_id", "n_windows", F.least("n_found", "n_windows").alias("n_found"), laid.alias("hits"))
     judged = pairs.mapInArrow(_judge(coverage), f"{ID} long, item_id long, n_windows long, n_found long, slot_consistency double, same_values boolean")
-    return judged.select(ID, "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "slot_consistency", "same_values").filter(F.col("slot_consistency") >= consistent)
+    columns = [(F.col("n_found") / F.col("n_windows")).alias("coverage"), "slot_consistency", "same_values", "n_windows", "n_found"]
+    best = judged.filter(F.col("slot_consistency") >= consistent).groupBy(ID, "item_id").agg(F.max(F.struct(*columns)).alias("best"))
+    return best.select(ID, "item_id", "best.n_windows", "best.n_found", "best.coverage", "best.slot_consistency", "best.same_values")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
