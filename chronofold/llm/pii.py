@@ -10,7 +10,8 @@ pass runs a transducer that rewrites disguises to plain characters and remembers
 * the letters O and l or I for 0 and 1, where figures outnumber them twice over.
 
 The same detectors run over the rewritten text; spans that touch rewritten characters are mapped back to the source by the edit list
-(two binary searches), and kept unless they overlap a base span of their kind. Base spans are never changed.
+(two binary searches), and kept unless a base span of their kind has them whole; one that reaches beyond a base span stands beside it.
+Base spans are never changed.
 
 Spans are code points, end exclusive. Defined cases: null and empty texts have no spans; a null ``doc_id`` is kept; rows repeat as they
 are; an empty table gives no rows; other columns are ignored. Time is linear in the text for every detector.
@@ -76,7 +77,8 @@ BRACKETED = re.compile(r"[\[({<][ ]*(?:(?P<at>at|ät|arroba|arobase|@)|(?P<dot>d
 
 
 def _bare(at: str, dot: str) -> re.Pattern:
-    return re.compile(rf"(?<![\w.%+-])(?:[\w%+-]+(?:{dot})){{0,2}}[\w.%+-]+?(?:{at})[\w-]+(?:(?:{dot})[\w-]+){{0,3}}(?:{dot}){_ENDS}", re.I)
+    # a chain of dotted parts is entered at its beginning only, so that one without a sign is read once
+    return re.compile(rf"(?<![\w.%+-])(?<! dot )(?<! punkt )(?<! punto )(?:[\w%+-]+(?:{dot}))*+[\w.%+-]+?(?:{at})[\w-]+(?:(?:{dot})[\w-]+)*(?:{dot}){_ENDS}", re.I)
 
 
 #: Words for the sign must come with words for the dot: "look at example.com" is prose. A sign set apart by blanks may have either dot.
@@ -128,6 +130,8 @@ class Rewritten:
     def __init__(self, source: str, edits: list[tuple[int, int, str]]) -> None:
         out, self.starts, self.sources, at, n = [], [], [], 0, 0
         for a, z, new in edits:
+            if not at <= a <= z <= len(source):
+                raise ValueError(f"edits must ascend without overlap: {a}:{z} after {at}")
             out += [source[at:a], new]
             n += a - at
             self.starts.append(n)  # of the replacement in the new text
@@ -153,7 +157,11 @@ def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
     """Edits that turn a run of spelled digits into figures; gaps between single digits close, other separators become plain."""
     if not any(c.isalpha() for c in m[0]):
         return  # figures as they stand
-    for p in SPELLED_PARTS.finditer(m[0]):
+    parts = list(SPELLED_PARTS.finditer(m[0]))
+    units = [bool(p["word"]) for p in parts if p["word"] or p["digits"]]
+    if sum(units) == 1 and (units[0] or units[-1]) and not any(p["dot"] for p in parts):
+        return  # a single word beside figures may be an article or the next sentence
+    for p in parts:
         a, z = m.start() + p.start(), m.start() + p.end()
         if p["plus"]:
             yield a, z, "+"
@@ -174,13 +182,15 @@ def _strange(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _brackets(text: str) -> Iterator[tuple[int, int, str]]:
+    used = 0  # blanks between two signs go with the first
     for m in BRACKETED.finditer(text):
         a, z = m.span()
-        while a and text[a - 1] == " ":
+        while a > used and text[a - 1] == " ":
             a -= 1
         while z < len(text) and text[z] == " ":
             z += 1
         yield a, z, "@" if m["at"] else "."
+        used = z
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
@@ -223,20 +233,26 @@ def _lettered(text: str) -> Iterator[tuple[int, int, str]]:
 LAYERS = (_strange, _brackets, _addresses, _digits, _lettered)
 
 
-def hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that only the rewritten text shows, in the source's positions."""
+def rewritten(text: str) -> tuple[str, list[Rewritten]]:
+    """The text without disguises, and each layer's way back."""
     now, back = text, []
     for layer in LAYERS:
         if found := list(layer(now)):
             back.append(Rewritten(now, found))
             now = back[-1].text
+    return now, back
+
+
+def hidden(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans that only the rewritten text shows, in the source's positions."""
+    now, back = rewritten(text)
     if not back:
         return []
     out = []
     for kind, a, z in detect(now):
         for step in reversed(back):
             a, z = step.source(a, False), step.source(z, True)
-        if not any(k == kind and s < z and a < e for k, s, e in base):
+        if not any(k == kind and s <= a and z <= e for k, s, e in base):
             out.append((kind, a, z))
     return out
 
@@ -252,11 +268,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``doc_id``, counts of all spans by kind, ``base_sha256``, ``spans``, ``n_added``: one row for each row of ``docs``."""
+    """``doc_id``, counts of all spans by kind, ``base_sha256``, ``spans``, ``n_added``, ``n_spans``: one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[] for _ in range(7)]
+            cols = [[] for _ in range(8)]
             for text in b.column(1).to_pylist():
                 base, spans = find(text)
                 for k in range(4):
@@ -264,10 +280,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 cols[4].append(hashlib.sha256(written(base).encode()).hexdigest())
                 cols[5].append(written(spans))
                 cols[6].append(len(spans) - len(base))
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                cols[7].append(len(spans))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[ID, *NAMES])
 
-    return texts(docs).mapInArrow(run, f"{ID} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return texts(docs).mapInArrow(run, f"{ID} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
-NAMES = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+NAMES = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
