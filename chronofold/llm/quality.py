@@ -136,9 +136,9 @@ def _vectors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [np.array(statistics(t)).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1), b.column(2)], names=["x", "y", "fold"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1), b.column(2), b.column(3)], names=["x", "y", "fold", ID])
 
-    return docs.mapInArrow(run, "x binary, y double, fold int")
+    return docs.mapInArrow(run, f"x binary, y double, fold int, {ID} long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> QualityModel:
@@ -149,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
     if prior[0] is None or prior[1] == prior[2]:
         return QualityModel(0.5 if prior[0] is None else float(prior[0]))
     fold = F.pmod(F.xxhash64(F.lit("calibration"), ID), F.lit(4)).cast("int")
-    rows = texts(docs).join(F.broadcast(known), ID).select(TEXT, "y", fold.alias("fold"))  # at most about ``sample`` ids are broadcast
-    # the scan keeps its tasks; only the sample's vectors move, in an order that doesn't depend on them
-    rows = _vectors(rows).repartition(PARTIALS, "x").sortWithinPartitions("x", "y").persist()
+    rows = texts(docs).join(F.broadcast(known), ID).select(TEXT, "y", fold.alias("fold"), ID)  # at most about ``sample`` ids are broadcast
+    # the scan keeps its tasks; only the sample's vectors move, in an order that doesn't depend on them, dealt by id so that copies spread
+    rows = _vectors(rows).repartition(PARTIALS, ID).sortWithinPartitions(ID, "x", "y").drop(ID).persist()
     try:
         return _solve(rows, float(prior[0]))
     finally:
