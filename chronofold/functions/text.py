@@ -6,6 +6,7 @@ Spark has no Unicode normalisation: ``nfkc`` is the one Arrow UDF here, to be ap
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,16 +54,30 @@ def entity_fold(c: Column) -> Column:
 
 
 def base_and_form(c: Column, ascii_only: bool = False) -> tuple[Column, Column]:
-    """``name (form)`` as its base and its form, from the first opening bracket to the last closing one; without brackets the form is empty."""
+    """``name (form)`` as its base and its form, from the first opening bracket to the last closing one; without brackets the form is empty.
+    Neither has white space at its ends.
+    """
     s = c if ascii_only else nfkc(c)
-    pattern = r"(?s)^([^(]*)\((.*)\)\s*$"
+    pattern = rf"(?s)^([^(]*)\((.*)\){_BLANK}*$"
     has = s.rlike(pattern)
-    return F.when(has, F.regexp_extract(s, pattern, 1)).otherwise(s), F.when(has, F.regexp_extract(s, pattern, 2)).otherwise("")
+    return strip(F.when(has, F.regexp_extract(s, pattern, 1)).otherwise(s)), strip(F.when(has, F.regexp_extract(s, pattern, 2)).otherwise(""))
+
+
+#: White space as Python has it: Unicode's, and four separators of ASCII.
+_BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end."""
+    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
+
+
+@lru_cache(1)
+def _digits() -> tuple[str, str, str]:
+    """Digits that aren't decimal (superscripts, circled ones); the decimal ones beyond ASCII, and their values: by Unicode's own properties."""
+    found = [c for c in map(chr, range(0x80, 0x20000)) if c.isdigit()]
+    decimal = [c for c in found if c.isdecimal()]
+    return "".join(c for c in found if not c.isdecimal()), "".join(decimal), "".join(str(unicodedata.decimal(c)) for c in decimal)
 
 
 def char_category(c: Column) -> Column:
@@ -73,9 +88,9 @@ def char_category(c: Column) -> Column:
         .when(code.between(0x30A1, 0x30FA), "katakana")
         .when(c == "ー", "chouon")
         .when(c == "・", "middle_dot")
-        .when(c.rlike(r"^\p{Nd}$") | code.between(0xB2, 0xB3) | (code == 0xB9), "digit")
+        .when(c.rlike(rf"^[\p{{Nd}}{_digits()[0]}]$"), "digit")
         .when(c.isin("(", ")", "（", "）"), "paren")
-        .when(c.rlike(r"(?U)^[\s\x1c-\x1f]$"), "space")
+        .when(c.rlike(f"^{_BLANK}$"), "space")
         .otherwise("other")
     )
 
@@ -91,7 +106,9 @@ def only_allowed(c: Column, allowed: str = ALLOWED) -> Column:
 
 
 def int_or_zero(c: Column) -> Column:
-    return F.coalesce(F.when(strip(c).rlike("^[+-]?[0-9]+$"), strip(c).try_cast("int")), F.lit(0))
+    """A whole number in any script's decimal digits, single underscores between them allowed; 0 for what is none or doesn't fit an int."""
+    plain = F.translate(strip(c), *_digits()[1:])
+    return F.coalesce(F.when(plain.rlike("^[+-]?[0-9]+(?:_[0-9]+)*$"), F.replace(plain, F.lit("_")).try_cast("int")), F.lit(0))
 
 
 def spelling_key(c: Column, ascii_only: bool = False) -> Column:

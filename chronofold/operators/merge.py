@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COVERAGE = 0.9
+#: Segment numbers that one task carries a name over.
+STRETCH = 10_000
 UNKNOWN = "(unknown)"
 
 
@@ -29,16 +31,31 @@ def merge_files(rows: DataFrame) -> DataFrame:
     return new.select("entity", F.row_number().over(Window.partitionBy("entity").orderBy("file_ord", "pos")).alias("pos"), "item")
 
 
+def anchors(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``anchor``, the last name that isn't unknown up to each, in order of ``seg_no``.
+
+    Stretches of ``STRETCH`` numbers are windows of their own; what a stretch ends with is carried on over one row for each stretch, so no
+    task holds all segments.
+    """
+    rows = segments.withColumn("stretch", F.floor(F.col("seg_no") / STRETCH))
+    name = F.when(F.col("name") != UNKNOWN, F.col("name"))
+    own = F.last(name, ignorenulls=True).over(Window.partitionBy("stretch").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy("stretch").agg(F.max_by("name", F.when(name.isNotNull(), F.col("seg_no"))).alias("end"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("stretch", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    return rows.withColumn("own", own).join(F.broadcast(carried), "stretch").withColumn("anchor", F.coalesce("own", "carried")).drop("own", "carried", "stretch")
+
+
 def containment_merge(segments: DataFrame, least: float = COVERAGE) -> DataFrame:
     """From ``seg_no``, ``name``, ``items`` (arrays): an unknown segment joins the last named one before it if ``least`` of the smaller list is in the larger; the union is compared with the next.
 
-    Runs of one name meet in one fold over arrays, a name at a time; nothing is collected. Returns ``entity``, ``items``, ``merged`` (numbers of the segments it took in).
+    Segments of one name meet in one fold over arrays, a name at a time: the fold depends on its order. Unknown segments before any name
+    stay as they are. Returns ``entity``, ``items``, ``merged`` (numbers of the segments it took in), ``seg_no`` (its first segment).
     """
-    w = Window.orderBy("seg_no") if "group_id" not in segments.columns else Window.partitionBy("group_id").orderBy("seg_no")
-    named = segments.withColumn("anchor", F.last(F.when(F.col("name") != UNKNOWN, F.col("name")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    named = anchors(segments)
     known = F.col("name") != UNKNOWN
     part = F.struct("seg_no", "items")
-    by = named.groupBy("anchor").agg(F.array_sort(F.collect_list(F.when(known, part))).alias("own"), F.array_sort(F.collect_list(F.when(~known, part))).alias("rest"))
+    by = named.filter("anchor is not null").groupBy("anchor").agg(F.array_sort(F.collect_list(F.when(known, part))).alias("own"), F.array_sort(F.collect_list(F.when(~known, part))).alias("rest"))
     start = F.array_distinct(F.flatten(F.transform("own", lambda s: s["items"])))
 
     def step(acc: Column, x: Column) -> Column:
@@ -51,10 +68,10 @@ def containment_merge(segments: DataFrame, least: float = COVERAGE) -> DataFrame
 
     kind = dict(segments.dtypes)
     zero = F.struct(start.alias("items"), F.array().cast(f"array<{kind['seg_no']}>").alias("merged"), F.array().cast(f"array<struct<seg_no:{kind['seg_no']},items:{kind['items']}>>").alias("left"))
-    folded = by.filter("anchor is not null").withColumn("acc", F.aggregate("rest", zero, step))
-    out = folded.select(F.col("anchor").alias("entity"), "acc.items", "acc.merged")
-    alone = folded.select(F.explode("acc.left").alias("u")).unionByName(by.filter("anchor is null").select(F.explode("rest").alias("u")))
-    return out.unionByName(alone.select(keyed_entity(F.lit(None).cast("string"), F.col("u.seg_no")).alias("entity"), F.array_distinct("u.items").alias("items"), F.array().cast(f"array<{kind['seg_no']}>").alias("merged")))
+    folded = by.withColumn("acc", F.aggregate("rest", zero, step))
+    out = folded.select(F.col("anchor").alias("entity"), "acc.items", "acc.merged", F.element_at("own", 1)["seg_no"].alias("seg_no"))
+    alone = folded.select(F.explode("acc.left").alias("u")).unionByName(named.filter("anchor is null").select(part.alias("u")))
+    return out.unionByName(alone.select(keyed_entity(F.lit(None).cast("string"), F.col("u.seg_no")).alias("entity"), F.array_distinct("u.items").alias("items"), F.array().cast(f"array<{kind['seg_no']}>").alias("merged"), "u.seg_no"))
 
 
 def not_collected(merged: DataFrame, collected: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
@@ -20,6 +20,7 @@ COLOURS = {
 MOST_COLOUR_DISTANCE = 2500
 TEMPLATE_DISTANCE, ROW_DISTANCE = 5.0, 12.0
 ROW_SHAPE, ROW_LIMIT = (24, 96), 1024
+MOST_TEMPLATES, MOST_COLOURS = 1000, 1000
 
 
 def reference_colours(spark: SparkSession) -> DataFrame:
@@ -31,7 +32,9 @@ def nearest_colour(samples: DataFrame, colours: DataFrame, most: float = MOST_CO
 
     The colours become one array literal of a handful of rows: the join is an expression, without shuffle or join.
     """
-    rows = [tuple(r) for r in colours.select("ord", "type", "b", "g", "r").orderBy("ord").collect()]
+    rows = [tuple(r) for r in colours.select("ord", "type", "b", "g", "r").orderBy("ord").limit(MOST_COLOURS + 1).collect()]
+    if not 0 < len(rows) <= MOST_COLOURS:
+        raise ValueError(f"from 1 to {MOST_COLOURS} reference colours")
     near = F.least(*[F.struct(similarity.squared_distance([F.col("cb"), F.col("cg"), F.col("cr")], [F.lit(b), F.lit(g), F.lit(r)]).alias("d2"), F.lit(o).alias("ord"), F.lit(t).alias("type")) for o, t, b, g, r in [*rows, rows[0]]])
     return samples.withColumn("near", near).withColumn("type", F.when(F.col("near.d2") <= most, F.col("near.type"))).withColumn("d2", F.col("near.d2")).drop("near")
 
@@ -42,10 +45,17 @@ def median_colour(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classify_by_templates(frames: DataFrame, templates: DataFrame, most: float = TEMPLATE_DISTANCE) -> DataFrame:
-    """``frames`` (``frame_id``, ``thumb``) with the ``kind`` of the nearest template (``ord``, ``kind``, ``ref``) if nearer than ``most``; null otherwise, for a reader to decide. Templates are capped when learnt."""
-    pairs = frames.select("frame_id", "thumb").crossJoin(F.broadcast(templates)).withColumn("d", similarity.mean_abs_diff(F.col("thumb"), F.col("ref")))
-    best = pairs.groupBy("frame_id").agg(F.min(F.struct("d", "ord", "kind")).alias("best"))
-    return frames.join(best, "frame_id", "left").withColumn("distance", F.col("best.d")).withColumn("kind", F.when(F.col("best.d") < most, F.col("best.kind"))).drop("best")
+    """``frames`` with the ``kind`` of the nearest template (``ord``, ``kind``, ``ref``) if nearer than ``most``; null otherwise, for a reader to decide.
+
+    The templates, capped when learnt and checked here, travel as one array in one broadcast row: no frame is multiplied or shuffled.
+    """
+    n = templates.count()
+    if n > MOST_TEMPLATES:
+        raise ValueError(f"{n} templates; at most {MOST_TEMPLATES} fit one row")
+    known = templates.agg(F.collect_list(F.struct("ord", "kind", "ref")).alias("known"))
+    near = F.array_min(F.transform("known", lambda t: F.struct(similarity.mean_abs_diff(F.col("thumb"), t["ref"]).alias("d"), t["ord"].alias("ord"), t["kind"].alias("kind"))))
+    best = frames.crossJoin(F.broadcast(known)).withColumn("best", near).drop("known")
+    return best.withColumn("distance", F.col("best.d")).withColumn("kind", F.when(F.col("best.d") < most, F.col("best.kind"))).drop("best")
 
 
 def nearest_box(results: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -53,45 +63,72 @@ def nearest_box(results: DataFrame, boxes: DataFrame) -> DataFrame:
     return results.join(boxes, "frame_id").groupBy("frame_id", "res_no").agg(F.min_by("box_no", F.struct(F.abs(F.col("cy") - F.col("by")), "box_no")).alias("box_no"))
 
 
+def _placed(rows: DataFrame, by: str, count: str) -> DataFrame:
+    """``rows`` with their place ``k`` in their frame, and how many the frame has."""
+    w = Window.partitionBy("frame_id")
+    return rows.withColumns({"k": F.row_number().over(w.orderBy(by)), count: F.count("*").over(w)})
+
+
 def zip_boxes(results: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Results and boxes of a frame by their places in order, where their numbers agree."""
-    return results.join(boxes, (results.frame_id == boxes.frame_id) & (results.res_no == boxes.box_no)).select(results.frame_id, "res_no", "box_no")
+    """Results and boxes of a frame by their places in order, where the frame has as many of either; other frames give nothing."""
+    r, b = _placed(results.select("frame_id", "res_no"), "res_no", "n_results"), _placed(boxes.select("frame_id", "box_no"), "box_no", "n_boxes")
+    return r.join(b, ["frame_id", "k"]).filter("n_results = n_boxes").select("frame_id", "res_no", "box_no")
 
 
-def row_texts(rows: DataFrame, limit: int = ROW_LIMIT, most: float = ROW_DISTANCE) -> DataFrame:
-    """Online leader clustering of row thumbs by segment: a row within ``most`` (strict, by grid cells) of a known one takes its text, else it is read and remembered, up to ``limit``.
+def assign_boxes(results: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each result's box: by place where a frame has as many results as boxes, else the nearest. Results in frames without boxes go."""
+    count = lambda rows, name: rows.groupBy("frame_id").agg(F.count("*").alias(name))
+    odd = count(results, "n_results").join(count(boxes, "n_boxes"), "frame_id").filter("n_results <> n_boxes").select("frame_id")
+    return zip_boxes(results, boxes).unionByName(nearest_box(results.join(odd, "frame_id", "left_semi"), boxes))
+
+
+LEADER = "segment_id long, ord long, leader long, is_leader boolean"
 
-    ``rows``: ``segment_id``, ``ord``, ``thumb``, ``text`` (what a reader gives). Adds ``cached_text`` and ``was_cached``. The order within a
-    segment matters, so a segment is one group.
+
+def row_leaders(rows: DataFrame, limit: int = ROW_LIMIT, most: float = ROW_DISTANCE) -> DataFrame:
+    """Online leader clustering of row thumbs by segment: a row within ``most`` (strict, by grid cells) of a known one follows it, else it leads and is remembered, up to ``limit``.
+
+    ``rows``: ``segment_id``, ``ord`` (unique in a segment), ``thumb``. Returns ``segment_id``, ``ord``, ``leader`` (the ``ord`` whose text the row
+    has; its own if it leads), ``is_leader``. So only leaders need a reader. The order within a segment matters, so a segment's thumbs, some
+    dozens of rows a frame, are one group.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        store, texts, out = np.zeros((0, *ROW_SHAPE), np.int16), [], []
-        for thumb, read in zip(pdf["thumb"], pdf["text"], strict=True):
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        store, names, leader = np.zeros((0, *ROW_SHAPE), np.int16), [], []
+        rows = rows.sort_values("ord", kind="stable")
+        for at, thumb in zip(rows["ord"], rows["thumb"], strict=True):
             one = np.asarray(thumb, np.int16).reshape(ROW_SHAPE)
-            if len(texts):
+            if names:
                 far = similarity.cell_max_all(store, one)
                 best = int(far.argmin())
                 if far[best] < most:
-                    out.append((texts[best], True))
+                    leader.append(names[best])
                     continue
-            if len(texts) < limit:
+            if len(names) < limit:
                 store = np.concatenate([store, one[None]])
-                texts.append(read)
-            out.append((read, False))
-        return pd.DataFrame({"segment_id": pdf["segment_id"], "ord": pdf["ord"], "cached_text": [o[0] for o in out], "was_cached": [o[1] for o in out]})
+                names.append(at)
+            leader.append(at)
+        return pd.DataFrame({"segment_id": rows["segment_id"], "ord": rows["ord"], "leader": leader, "is_leader": [a == b for a, b in zip(rows["ord"], leader, strict=True)]})
+
+    return rows.select("segment_id", "ord", "thumb").groupBy("segment_id").applyInPandas(fold, LEADER)
 
-    return rows.groupBy("segment_id").applyInPandas(fold, "segment_id long, ord long, cached_text string, was_cached boolean")
+
+def row_texts(rows: DataFrame, limit: int = ROW_LIMIT, most: float = ROW_DISTANCE) -> DataFrame:
+    """``row_leaders`` for rows that have a ``text`` (what a reader gives): ``segment_id``, ``ord``, ``cached_text`` (the leader's), ``was_cached``."""
+    led = row_leaders(rows, limit, most)
+    texts = rows.select("segment_id", F.col("ord").alias("leader"), F.col("text").alias("cached_text"))
+    return led.join(texts, ["segment_id", "leader"]).select("segment_id", "ord", "cached_text", (~F.col("is_leader")).alias("was_cached"))
 
 
 def learn_templates(frames: DataFrame, limit: int = 32, most: float = TEMPLATE_DISTANCE) -> DataFrame:
-    """Online template learning by group: frames (``group_id``, ``ts``, ``thumb``, ``read_kind``) in order; once a detail and a list template are known, near ones classify a frame, and all others are read and remembered by kind."""
+    """Online template learning by group: frames (``group_id``, ``ts``, ``thumb``, ``read_kind``) in order; once a detail and a list template are
+    known, near ones classify a frame, and all others are read and remembered by kind, up to ``limit``. ``learnt`` marks the remembered ones.
+    """
 
     def fold(batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         pdf = batches.sort_values("ts", kind="stable")
         known: dict[str, list[np.ndarray]] = {}
-        kinds, by_template = [], []
+        kinds, by_template, learnt = [], [], []
         for thumb, read in zip(pdf["thumb"], pdf["read_kind"], strict=True):
             one, kind = np.asarray(thumb, np.int32), None
             if "detail" in known and "move_list" in known:
@@ -99,12 +136,14 @@ def learn_templates(frames: DataFrame, limit: int = 32, most: float = TEMPLATE_D
                 d, k = min(near, key=lambda x: x[0])
                 kind = k if d < most else None
             by_template.append(kind is not None)
+            learnt.append(False)
             if kind is None:
                 kind = read
                 own = known.setdefault(kind, [])
                 if len(own) < limit and all(np.abs(one - t).mean() >= most for t in own):
                     own.append(one)
+                    learnt[-1] = True
             kinds.append(kind)
-        return pd.DataFrame({"group_id": pdf["group_id"], "ts": pdf["ts"], "kind": kinds, "by_template": by_template})
+        return pd.DataFrame({"group_id": pdf["group_id"], "ts": pdf["ts"], "kind": kinds, "by_template": by_template, "learnt": learnt})
 
-    return frames.groupBy("group_id").applyInPandas(fold, "group_id string, ts double, kind string, by_template boolean")
+    return frames.groupBy("group_id").applyInPandas(fold, "group_id string, ts double, kind string, by_template boolean, learnt boolean")

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Below which grey a pixel is dark; saturation and value of an icon's colour; the share of dark pixels that makes a line of text.
+DARK_BELOW, COLOURED, BRIGHT, GREYISH, TEXT_SHARE = 120, 50, 120, 45, 0.02
+
+
 def profiles(pixels: DataFrame) -> DataFrame:
     """By frame and height: mean saturation and value, share of dark pixels."""
-    return pixels.groupBy("frame_id", "y").agg(F.avg("sat").alias("sat"), F.avg("val").alias("val"), F.avg((F.col("gray") < 120).cast("int")).alias("dark"))
+    return pixels.groupBy("frame_id", "y").agg(F.avg("sat").alias("sat"), F.avg("val").alias("val"), F.avg((F.col("gray") < DARK_BELOW).cast("int")).alias("dark"))
 
 
 def icon_like(rows: DataFrame) -> DataFrame:
     """Coloured, or bright and grey."""
-    return rows.withColumn("icon", ((F.col("sat") > 50) | ((F.col("val") > 120) & (F.col("sat") < 45))).cast("int"))
+    return rows.withColumn("icon", ((F.col("sat") > COLOURED) | ((F.col("val") > BRIGHT) & (F.col("sat") < GREYISH))).cast("int"))
 
 
 def comb_phase(rows: DataFrame, spacing: int) -> DataFrame:
@@ -29,7 +33,7 @@ def icon_rows(rows: DataFrame, phase: DataFrame, spacing: int, row_h: int, ys: t
     return at.withColumn("text_top", F.greatest(F.lit(ys[0]), "icon_top")).filter((F.col("text_top") >= vtop) & (F.col("text_top") + row_h <= vbot)).select("frame_id", "text_top", "icon_top")
 
 
-def text_band(rows: DataFrame, least: float = 0.02) -> DataFrame:
+def text_band(rows: DataFrame, least: float = TEXT_SHARE) -> DataFrame:
     """The centre of the longest run of dark heights, the first on ties; frames without one are left out."""
     dark = rows.filter(F.col("dark") > least)
     island = dark.withColumn("island", F.col("y") - F.row_number().over(Window.partitionBy("frame_id").orderBy("y")))

@@ -29,6 +29,11 @@ def segments(timeline: DataFrame) -> DataFrame:
     return kept.select("group_id", "seg", F.row_number().over(so).alias("segment_no"), "entity", F.when(F.col("entity").isNotNull(), F.col("entry_ts")).alias("detail_ts"), "list_start", "list_end", "list_frames")
 
 
+def with_lists(found: DataFrame, lists: DataFrame) -> DataFrame:
+    """``found`` with the ``items`` of ``lists`` (``group_id``, ``segment_no``, ``items``); an empty array for a segment without list frames or items."""
+    return found.join(lists, ["group_id", "segment_no"], "left").withColumn("items", F.when(F.col("list_start").isNotNull() & F.col("items").isNotNull(), F.col("items")).otherwise(F.array().cast("array<string>")))
+
+
 def number_segments(found: DataFrame, group_no: str = "group_no") -> DataFrame:
     """A running number over all groups, from 1: group totals are summed, so only one row a group meets in one task."""
     own = F.row_number().over(Window.partitionBy(group_no).orderBy("segment_no"))

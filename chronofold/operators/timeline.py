@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, TimestampNTZType, TimestampType
 
 from ..functions.similarity import mean_abs_diff
 
@@ -34,11 +36,29 @@ def thin(frames: DataFrame, fps: float) -> DataFrame:
     return frames.withColumn("step", step).filter(F.col("frame_idx") % F.col("step") == 0)
 
 
-def in_range(frames: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Frames of [start, end) on the joined timeline; the bounds reach the scan."""
+def valid_rate(c: Column) -> Column:
+    """Whether a target rate is finite and positive: ``check_rates`` for a column."""
+    c = c.cast("double")
+    return F.coalesce((c > 0) & (c < float("inf")) & ~F.isnan(c), F.lit(False))
+
+
+def in_range(frames: DataFrame, start: float | None = None, end: float | None = None, column: str = "ts") -> DataFrame:
+    """Frames of [start, end) seconds on the joined timeline.
+
+    The bounds are written in the column's own type (seconds as a double or whole number, or a timestamp as seconds since 1970), so they
+    reach the scan.
+    """
+    kind = frames.schema[column].dataType
+
+    def bound(seconds: float) -> Column:
+        if isinstance(kind, (TimestampType, TimestampNTZType)):
+            at = datetime(1970, 1, 1, tzinfo=None if isinstance(kind, TimestampNTZType) else UTC) + timedelta(seconds=seconds)
+            return F.lit(at).cast(kind)
+        return F.lit(math.ceil(seconds) if isinstance(kind, IntegralType) else float(seconds)).cast(kind)
+
     if start is not None:
-        frames = frames.filter(F.col("ts") >= start)
-    return frames if end is None else frames.filter(F.col("ts") < end)
+        frames = frames.filter(F.col(column) >= bound(start))
+    return frames if end is None else frames.filter(F.col(column) < bound(end))
 
 
 def offsets(videos: DataFrame) -> DataFrame:
@@ -80,8 +100,24 @@ def layout(width: Column, height: Column, base: dict = LAYOUT) -> list[Column]:
     return out
 
 
-def _in_order(*more: str):
-    return Window.partitionBy("group_id").orderBy("ts", *more)
+def resolved(width: int, height: int, base: dict = LAYOUT) -> dict:
+    """The layout of one resolution as plain numbers, as ``layout`` gives it in columns."""
+    sx, sy = width / 1280, height / 720
+    out = {}
+    for k, v in base.items():
+        if k == "move_slot_ys":
+            out[k] = tuple(int(y * sy) for y in v)
+        elif isinstance(v, tuple):
+            out[k] = (int(v[0] * sx), int(v[1] * sy), max(1, int(v[2] * sx)), max(1, int(v[3] * sy)))
+        else:
+            one = int(v * (sx if k.endswith(("_x", "_w")) else sy))
+            out[k] = max(1, one) if k in _SIZED else one
+    return out
+
+
+def _in_order(frames: DataFrame):
+    """A group's frames by time; those of one time by ``ord``, where there is one."""
+    return Window.partitionBy("group_id").orderBy("ts", *(c for c in ("ord",) if c in frames.columns))
 
 
 def similar(now: Column, before: Column, most: float = SAME_FRAME) -> Column:
@@ -89,16 +125,21 @@ def similar(now: Column, before: Column, most: float = SAME_FRAME) -> Column:
     return F.coalesce(mean_abs_diff(now, before) < most, F.lit(False))
 
 
+def changed_headers(frames: DataFrame) -> DataFrame:
+    """Marks (``changed``) frames whose header isn't that of the frame before: those whose kind must be read."""
+    return frames.withColumn("changed", ~similar(F.col("header_thumb"), F.lag("header_thumb").over(_in_order(frames))))
+
+
 def carry_kind(frames: DataFrame) -> DataFrame:
     """``kind`` of each frame: what a reader says (``read_kind``), or the kind before while the header stays the same from frame to frame."""
-    w = _in_order()
+    w = _in_order(frames)
     same = similar(F.col("header_thumb"), F.lag("header_thumb").over(w))
     return frames.withColumn("same", same).withColumn("kind", F.last(F.when(~F.col("same"), F.col("read_kind")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("same")
 
 
 def to_read(frames: DataFrame) -> DataFrame:
     """Marks for the costly readers. ``vote``: list frames whose rows need reading (not a still after a list frame). ``box_read``: bright other frames whose box changed since the last bright other frame in a row."""
-    w = _in_order()
+    w = _in_order(frames)
     before = F.lag("kind").over(w)
     still = (before == "move_list") & similar(F.col("slot_thumb"), F.lag("slot_thumb").over(w))
     bright = (F.col("kind") == "other") & (F.col("mean_luma") > DARK)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
+from .functions.recognize import Reader, default_reader
 from .operators.timeline import check_rates
 
 
 @dataclass(frozen=True)
 class Options:
+    """``fps``: of the frames whose rows are read. ``index_fps``: of the frames that segments are found in. ``auto_entity``: the score from which an
+    entity needs no review; ``no_prompt``: take the best candidate and leave doubtful items out, without review.
+    """
+
     fps: float = 5.0
     index_fps: float = 5.0
     start: float | None = None
@@ -21,6 +29,11 @@ class Options:
     no_prompt: bool = True
     only: str | None = None
     ascii_names: bool = False
+    verbose: bool = False
+    #: Makes the reader of texts, once for each task.
+    reader: Callable[[], Reader] = default_reader
+    #: Gets every row read (``segment_id``, ``ord``, ``row_no``, ``crop``, ``text``, ``observed_type``), as a DataFrame.
+    row_sink: Callable[[DataFrame], None] | None = None
 
     def __post_init__(self) -> None:
         check_rates(self.fps, self.start, self.end)

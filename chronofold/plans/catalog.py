@@ -7,7 +7,6 @@ picture's brightness), ``part`` holds observed texts and, with distinct names, t
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +74,8 @@ def thin_frames(spark, d):
 
 @query(f"SELECT event_id, {SECONDS} AS ts FROM events WHERE {SECONDS} >= 1704070800 AND {SECONDS} < 1704110400")
 def time_range(spark, d):
-    """A half-open range of seconds."""
-    return timeline.in_range(t(spark, d, "events").select("event_id", (F.expr(MICROS) / 1000000.0).alias("ts")), 1704070800.0, 1704110400.0)
+    """A half-open range of seconds, in the column's own type."""
+    return timeline.in_range(t(spark, d, "events"), 1704070800.0, 1704110400.0).select("event_id", (F.expr(MICROS) / 1000000.0).alias("ts"))
 
 
 @query("""SELECT p_partkey, greatest(1, trunc(228 * ((640 + p_size * 10) / 1280.0))::INT) AS slot_w, trunc(220 * ((360 + p_size * 5) / 720.0))::INT AS first_y, greatest(1, trunc(9 * ((640 + p_size * 10) / 1280.0))::INT) AS icon_w, trunc(80 * ((640 + p_size * 10) / 1280.0))::INT AS header_x FROM part""")
@@ -87,23 +86,23 @@ def scaled_layout(spark, d):
     return cols.select("p_partkey", F.col("move_slot_w").alias("slot_w"), F.col("move_slot_ys")[0].alias("first_y"), F.col("type_icon_w").alias("icon_w"), F.col("header.x").alias("header_x"))
 
 
-@query("""WITH v AS (SELECT o_custkey % 20 AS group_id, o_orderkey AS video_seq, (o_orderkey % 997) + 1 AS frame_count, CASE WHEN o_orderkey % 5 = 0 THEN 30.0 ELSE 25.0 END AS fps, o_custkey % 3 AS shape FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH v AS (SELECT o_custkey % 20 AS group_id, o_orderkey AS video_seq, (o_orderkey % 997) + 1 AS frame_count, CASE WHEN o_orderkey % 5 = 0 THEN 30.0 ELSE 25.0 END AS fps, o_custkey % 3 AS shape FROM orders)
 SELECT group_id, video_seq, round(coalesce(sum(frame_count / fps) OVER (PARTITION BY group_id ORDER BY video_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS "offset" FROM v""")
-def video_offsets(spark, d, rows_="o_orderkey % 3 = 0"):
+def video_offsets(spark, d):
     """Seconds before each file on the joined timeline."""
-    v = t(spark, d, "orders").filter(rows_).select((F.col("o_custkey") % 20).alias("group_id"), F.col("o_orderkey").alias("video_seq"), (F.col("o_orderkey") % 997 + 1).alias("frame_count"), F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(25.0).alias("src_fps"))
+    v = t(spark, d, "orders").select((F.col("o_custkey") % 20).alias("group_id"), F.col("o_orderkey").alias("video_seq"), (F.col("o_orderkey") % 997 + 1).alias("frame_count"), F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise(25.0).alias("src_fps"))
     return timeline.offsets(v).select("group_id", "video_seq", F.round("offset", 3).alias("offset"))
 
 
-@query("SELECT l_partkey % 50 AS group_id, l_orderkey AS video_seq, l_linenumber AS frame_idx, row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS global_idx FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL) WHERE l_partkey % 50 < 5 QUALIFY count(*) OVER (PARTITION BY l_partkey % 50, l_orderkey, l_linenumber) = 1")
-def frame_numbers(spark, d, rows_="l_partkey % 50 < 5"):
+@query("SELECT l_partkey % 50 AS group_id, l_orderkey AS video_seq, l_linenumber AS frame_idx, row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS global_idx FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY l_partkey % 50, l_orderkey, l_linenumber) = 1")
+def frame_numbers(spark, d):
     """A running number over files. Places that two frames share are left out."""
-    f = t(spark, d, "lineitem").filter(rows_).groupBy((F.col("l_partkey") % 50).alias("group_id"), F.col("l_orderkey").alias("video_seq"), F.col("l_linenumber").alias("frame_idx"), "l_partkey").count()
+    f = t(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("group_id"), F.col("l_orderkey").alias("video_seq"), F.col("l_linenumber").alias("frame_idx"), "l_partkey").count()
     one = f.groupBy("group_id", "video_seq", "frame_idx").agg(F.count("*").alias("n"))
     return timeline.number_frames(f.drop("l_partkey", "count")).join(one, ["group_id", "video_seq", "frame_idx"]).filter("n = 1").select("group_id", "video_seq", "frame_idx", F.col("global_idx").cast("long").alias("global_idx"))
 
 
-THUMBS = "f AS (SELECT user_id::VARCHAR AS group_id, " + SECONDS + " AS ts, event_id AS ord, [floor(value / 20)::INT, (user_id % 3)::INT, 7] AS thumb, event_type AS read_kind FROM events), p AS (SELECT *, lag(thumb) OVER (PARTITION BY group_id ORDER BY ts) AS before FROM f), q AS (SELECT *, coalesce((abs(thumb[1] - before[1]) + abs(thumb[2] - before[2]) + abs(thumb[3] - before[3])) / 3.0 < 0.6, false) AS same FROM p)"
+THUMBS = "f AS (SELECT user_id::VARCHAR AS group_id, " + SECONDS + " AS ts, event_id AS ord, [floor(value / 20)::INT, (user_id % 3)::INT, 7] AS thumb, event_type AS read_kind FROM events), p AS (SELECT *, lag(thumb) OVER (PARTITION BY group_id ORDER BY ts, ord) AS before FROM f), q AS (SELECT *, coalesce((abs(thumb[1] - before[1]) + abs(thumb[2] - before[2]) + abs(thumb[3] - before[3])) / 3.0 < 2.0, false) AS same FROM p)"
 
 
 def _thumbs(spark, d):
@@ -111,13 +110,13 @@ def _thumbs(spark, d):
     return t(spark, d, "events").select(F.col("user_id").cast("string").alias("group_id"), (F.expr(MICROS) / 1000000.0).alias("ts"), F.col("event_id").alias("ord"), thumb.alias("header_thumb"), F.col("event_type").alias("read_kind"))
 
 
-@query(f"WITH {THUMBS} SELECT group_id, ord, last_value(CASE WHEN NOT same THEN read_kind END IGNORE NULLS) OVER (PARTITION BY group_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS kind FROM q".replace("0.6", "2.0"))
+@query(f"WITH {THUMBS} SELECT group_id, ord, last_value(CASE WHEN NOT same THEN read_kind END IGNORE NULLS) OVER (PARTITION BY group_id ORDER BY ts, ord ROWS UNBOUNDED PRECEDING) AS kind FROM q")
 def carried_kinds(spark, d):
     """A header like the one before keeps its kind."""
     return timeline.carry_kind(_thumbs(spark, d)).select("group_id", "ord", "kind")
 
 
-@query(f"""WITH f AS ({FRAMES}), p AS (SELECT *, [floor(value / 10)::INT, 3] AS th, lag(kind) OVER w AS k0, lag([floor(value / 10)::INT, 3]) OVER w AS t0, lag(value) OVER w AS v0 FROM f WINDOW w AS (PARTITION BY group_id ORDER BY ts)),
+@query(f"""WITH f AS ({FRAMES}), p AS (SELECT *, [floor(value / 10)::INT, 3] AS th, lag(kind) OVER w AS k0, lag([floor(value / 10)::INT, 3]) OVER w AS t0, lag(value) OVER w AS v0 FROM f WINDOW w AS (PARTITION BY group_id ORDER BY ts, ord)),
 q AS (SELECT *, coalesce((abs(th[1] - t0[1]) + abs(th[2] - t0[2])) / 2.0 < 2.0, false) AS same FROM p)
 SELECT group_id, ord, kind = 'move_list' AND NOT coalesce(k0 = 'move_list' AND same, false) AS vote, kind = 'other' AND value > 40 AND NOT (coalesce(k0 = 'other' AND v0 > 40, false) AND same) AS box_read FROM q""")
 def frames_to_read(spark, d):
@@ -197,33 +196,36 @@ def nearest_colours(spark, d):
     return nearest.nearest_colour(s, nearest.reference_colours(spark)).select("p_partkey", "type", "d2")
 
 
-@query("""WITH f AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: round(x * 100)::INT) AS th FROM embeddings), r AS (SELECT vec_id AS ord, th AS ref, 'k' || (vec_id % 3)::VARCHAR AS kind FROM f WHERE vec_id < 20),
-p AS (SELECT f.vec_id, kind, ord, (abs(th[1]-ref[1]) + abs(th[2]-ref[2]) + abs(th[3]-ref[3]) + abs(th[4]-ref[4]) + abs(th[5]-ref[5]) + abs(th[6]-ref[6]) + abs(th[7]-ref[7]) + abs(th[8]-ref[8])) / 8.0 AS dist FROM f CROSS JOIN r),
+@query("""WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 100)::INT) AS th FROM embeddings), r AS (SELECT vec_id AS ord, th AS ref, 'k' || (vec_id % 3)::VARCHAR AS kind FROM f WHERE vec_id < 20),
+p AS (SELECT f.vec_id, kind, ord, list_sum(list_transform(range(1, len(th) + 1), lambda i: abs(th[i] - ref[i])::DOUBLE)) / len(th) AS dist FROM f CROSS JOIN r),
 b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, ord) AS k FROM p) SELECT vec_id AS frame_id, CASE WHEN dist < 9 THEN kind END AS kind, dist AS distance FROM b WHERE k = 1""")
 def template_kinds(spark, d):
-    """The nearest template, strictly within reach."""
-    thumb = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x * 100).cast("int"))
+    """The nearest of twenty templates, strictly within reach."""
+    thumb = F.transform("embedding", lambda x: F.round(x * 100).cast("int"))
     f = t(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), thumb.alias("thumb"))
     r = f.filter("frame_id < 20").select(F.col("frame_id").alias("ord"), F.col("thumb").alias("ref"), F.concat(F.lit("k"), (F.col("frame_id") % 3).cast("string")).alias("kind"))
     return nearest.classify_by_templates(f, r, 9.0).select("frame_id", "kind", "distance")
 
 
-@query("""WITH r AS (SELECT DISTINCT l_orderkey AS frame_id, l_linenumber AS res_no, (l_orderkey * 7 + l_linenumber * 31) % 100 AS cy FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS frame_id, l_linenumber AS box_no, l_linenumber * 15 AS box_y FROM lineitem WHERE l_linenumber <= 4),
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS frame_id, l_linenumber AS res_no, (l_orderkey * 7 + l_linenumber * 31) % 100 AS cy FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS frame_id, l_linenumber AS box_no, l_linenumber * 15 AS box_y FROM lineitem),
 j AS (SELECT frame_id, res_no, box_no, row_number() OVER (PARTITION BY frame_id, res_no ORDER BY abs(cy - box_y), box_no) AS k FROM r JOIN b USING (frame_id)) SELECT frame_id, res_no, box_no FROM j WHERE k = 1""")
 def nearest_boxes(spark, d):
     """Results to the nearest box of their frame."""
     li = t(spark, d, "lineitem")
     r = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("res_no")).distinct().withColumn("cy", (F.col("frame_id") * 7 + F.col("res_no") * 31) % 100)
-    b = li.filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("box_no")).distinct().withColumn("by", F.col("box_no") * 15)
+    b = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("box_no")).distinct().withColumn("by", F.col("box_no") * 15)
     return nearest.nearest_box(r, b)
 
 
-@query("SELECT DISTINCT a.l_orderkey AS frame_id, a.l_linenumber AS res_no, b.l_linenumber AS box_no FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE b.l_quantity > 25")
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS frame_id, l_linenumber AS res_no FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS frame_id, l_linenumber + 3 AS box_no FROM lineitem WHERE l_quantity > 10),
+p AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY res_no) AS k, count(*) OVER (PARTITION BY frame_id) AS n FROM r),
+q AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_no) AS k, count(*) OVER (PARTITION BY frame_id) AS n FROM b)
+SELECT p.frame_id, res_no, box_no FROM p JOIN q ON p.frame_id = q.frame_id AND p.k = q.k AND p.n = q.n""")
 def zipped_boxes(spark, d):
-    """By place in order."""
+    """By place in order, where a frame has as many results as boxes."""
     li = t(spark, d, "lineitem")
     r = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("res_no")).distinct()
-    b = li.filter("l_quantity > 25").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("box_no")).distinct()
+    b = li.filter("l_quantity > 10").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_linenumber") + 3).alias("box_no")).distinct()
     return nearest.zip_boxes(r, b)
 
 
@@ -234,42 +236,42 @@ def median_colours(spark, d):
     return nearest.median_colour(p, ["patch"])
 
 
-ITEMS = "i AS (SELECT l_suppkey % 40 AS seg_no, CASE WHEN l_suppkey % 40 % 3 > 0 THEN 'S' || (l_suppkey % 7)::VARCHAR ELSE '(unknown)' END AS entity, l_orderkey AS pos, 'item' || (l_partkey % 60)::VARCHAR AS item FROM lineitem WHERE l_linenumber = 1)"
+ITEMS = "i AS (SELECT l_suppkey % 40 AS seg_no, CASE WHEN l_suppkey % 40 % 3 > 0 THEN 'S' || (l_suppkey % 7)::VARCHAR ELSE '(unknown)' END AS entity, l_orderkey AS pos, 'item' || (l_partkey % 60)::VARCHAR AS item FROM lineitem)"
 
 
-def _items(spark, d, rows_="true"):
+def _items(spark, d):
     s = F.col("l_suppkey") % 40
     e = F.when(s % 3 > 0, F.concat(F.lit("S"), (F.col("l_suppkey") % 7).cast("string"))).otherwise(merge.UNKNOWN)
-    return t(spark, d, "lineitem").filter(rows_).select(s.alias("seg_no"), e.alias("entity"), F.col("l_orderkey").alias("pos"), F.concat(F.lit("item"), (F.col("l_partkey") % 60).cast("string")).alias("item"))
+    return t(spark, d, "lineitem").select(s.alias("seg_no"), e.alias("entity"), F.col("l_orderkey").alias("pos"), F.concat(F.lit("item"), (F.col("l_partkey") % 60).cast("string")).alias("item"))
 
 
 @query(f"WITH {ITEMS} SELECT seg_no AS segment_id, item AS name, count(*) AS votes, min(pos) AS first_frame FROM i GROUP BY 1, 2 HAVING count(*) >= 2")
-def segment_votes(spark, d, rows_="l_linenumber = 1"):
+def segment_votes(spark, d):
     """Votes with the place first seen."""
-    o = _items(spark, d, rows_).select(F.col("seg_no").alias("segment_id"), F.col("item").alias("name"), F.col("pos").alias("frame_idx"), F.lit(0).alias("row_no"))
+    o = _items(spark, d).select(F.col("seg_no").alias("segment_id"), F.col("item").alias("name"), F.col("pos").alias("frame_idx"), F.lit(0).alias("row_no"))
     return votes.votes(o, 2).select("segment_id", "name", "votes", F.col("first_seen.frame_idx").alias("first_frame"))
 
 
 @query(f"WITH {ITEMS}, g AS (SELECT seg_no, item, min(pos) AS f FROM i GROUP BY 1, 2) SELECT seg_no, item, row_number() OVER (PARTITION BY seg_no ORDER BY f, item)::INT AS pos FROM g")
-def ordered_items(spark, d, rows_="l_linenumber = 1"):
+def ordered_items(spark, d):
     """A3, U4: each value once, where it first stands."""
-    return votes.ordered_distinct(_items(spark, d, rows_), ["seg_no"], "item", ["pos"])
+    return votes.ordered_distinct(_items(spark, d), ["seg_no"], "item", ["pos"])
 
 
 @query(f"WITH {ITEMS}, k AS (SELECT CASE WHEN entity = '(unknown)' THEN '(unknown ' || seg_no::VARCHAR || ')' ELSE entity END AS entity, item, min((seg_no, pos)) AS f FROM i GROUP BY 1, 2) SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY f, item)::INT AS pos, item FROM k")
-def merged_segments(spark, d, rows_="l_linenumber = 1"):
+def merged_segments(spark, d):
     """Ordered union by entity; unknown segments stay apart."""
-    i = _items(spark, d, rows_)
+    i = _items(spark, d)
     return merge.merge_segments(i.withColumn("pos", F.struct("pos", "item")))
 
 
-@query("""WITH i AS (SELECT l_linenumber AS file_ord, CASE WHEN l_suppkey % 11 = 0 THEN '(unknown 3)' ELSE 'S' || (l_suppkey % 11)::VARCHAR END AS entity, l_orderkey AS pos, 'item' || (l_partkey % 90)::VARCHAR AS item FROM lineitem WHERE l_orderkey % 9 = 0),
+@query("""WITH i AS (SELECT l_linenumber AS file_ord, CASE WHEN l_suppkey % 11 = 0 THEN '(unknown 3)' ELSE 'S' || (l_suppkey % 11)::VARCHAR END AS entity, l_orderkey AS pos, 'item' || (l_partkey % 90)::VARCHAR AS item FROM lineitem),
 u AS (SELECT file_ord, entity, pos, item FROM i WHERE entity NOT LIKE '(unknown%'), f AS (SELECT entity, item, min(file_ord) AS file_ord FROM u GROUP BY 1, 2)
 SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY file_ord, pos, item)::INT AS pos, item FROM u JOIN f USING (entity, item, file_ord)""")
-def merged_files(spark, d, rows_="l_orderkey % 9 = 0"):
+def merged_files(spark, d):
     """Later files add what is new."""
     e = F.when(F.col("l_suppkey") % 11 == 0, "(unknown 3)").otherwise(F.concat(F.lit("S"), (F.col("l_suppkey") % 11).cast("string")))
-    i = t(spark, d, "lineitem").filter(rows_).select(F.col("l_linenumber").alias("file_ord"), e.alias("entity"), F.struct("l_orderkey", F.concat(F.lit("item"), (F.col("l_partkey") % 90).cast("string"))).alias("pos"), F.concat(F.lit("item"), (F.col("l_partkey") % 90).cast("string")).alias("item"))
+    i = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("file_ord"), e.alias("entity"), F.struct("l_orderkey", F.concat(F.lit("item"), (F.col("l_partkey") % 90).cast("string"))).alias("pos"), F.concat(F.lit("item"), (F.col("l_partkey") % 90).cast("string")).alias("item"))
     return merge.merge_files(i)
 
 
@@ -309,7 +311,7 @@ def video_groups(spark, d):
     return timeline.group_videos(v).withColumn("paths", F.array_join("paths", ","))
 
 
-EDITIONS = "e AS (SELECT replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END) AS name, (p_size % 6 - 1)::INT AS rank, p_partkey AS file_ord, CASE WHEN p_partkey % 4 > 0 THEN p_type END AS type, CASE WHEN p_partkey % 4 > 0 THEN p_size END AS pp FROM part), w AS (SELECT name, max(rank) AS best_rank, arg_max((type, pp), (rank, file_ord)) AS info FROM e WHERE type IS NOT NULL GROUP BY 1)"
+EDITIONS = "e AS (SELECT replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END) AS name, (p_size % 6 - 1)::INT AS rank, p_partkey AS file_ord, CASE WHEN p_partkey % 4 > 0 THEN p_type END AS type, CASE WHEN p_partkey % 4 > 0 THEN p_size END AS pp FROM part), w AS (SELECT name, max(rank) AS best_rank, arg_max(type, (rank, file_ord)) AS type, arg_max(pp, (rank, file_ord)) AS pp FROM e WHERE type IS NOT NULL GROUP BY 1)"
 
 
 def _editions(spark, d):
@@ -317,7 +319,7 @@ def _editions(spark, d):
     return t(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.when(F.col("p_size") % 2 == 0, " ").otherwise("")).alias("name"), (F.col("p_size") % 6 - 1).alias("rank"), F.col("p_partkey").alias("file_ord"), F.lit(0).alias("game_pos"), F.when(k, F.col("p_type")).alias("type"), F.when(k, F.col("p_size")).alias("pp"))
 
 
-@query(f"WITH {EDITIONS} SELECT name, best_rank, info[1] AS type, info[2] AS pp FROM w".replace("info[1]", "arg_max_type").replace("info[2]", "arg_max_pp").replace("arg_max((type, pp), (rank, file_ord)) AS info", "arg_max(type, (rank, file_ord)) AS arg_max_type, arg_max(pp, (rank, file_ord)) AS arg_max_pp"))
+@query(f"WITH {EDITIONS} SELECT name, best_rank, type, pp FROM w")
 def latest_editions(spark, d):
     """The newest facts of each name."""
     return dimension.latest_wins(_editions(spark, d))
@@ -393,7 +395,7 @@ def chosen_entities(spark, d):
     return votes.choose_entity(c, no_prompt=False).select("c_custkey", "name", "review")
 
 
-PIXELS = "p AS (SELECT l_suppkey % 10 AS frame_id, l_partkey % 200 AS y, (l_quantity * 5) AS sat, (l_orderkey % 256) AS val, (l_orderkey * 3 % 256) AS gray FROM lineitem), q AS (SELECT frame_id, y, avg(sat) AS sat, avg(val) AS val, avg((gray < 120)::INT) AS dark FROM p GROUP BY 1, 2), i AS (SELECT *, ((sat > 125) OR (val > 120 AND sat < 115))::INT AS icon FROM q)"
+PIXELS = "p AS (SELECT l_suppkey % 10 AS frame_id, l_partkey % 200 AS y, (l_quantity * 5) AS sat, (l_orderkey % 256) AS val, (l_orderkey * 3 % 256) AS gray FROM lineitem), q AS (SELECT frame_id, y, avg(sat) AS sat, avg(val) AS val, avg((gray < 120)::INT) AS dark FROM p GROUP BY 1, 2), i AS (SELECT *, ((sat > 50) OR (val > 120 AND sat < 45))::INT AS icon FROM q)"
 
 
 def _profiles(spark, d):
@@ -407,7 +409,7 @@ def row_profiles(spark, d):
     return _profiles(spark, d).select("frame_id", "y", *(F.round(c, 6).alias(c) for c in ("sat", "val", "dark")))
 
 
-@query(f"""WITH {PIXELS.replace('sat > 125', 'sat > 50').replace('sat < 115', 'sat < 45')}, z AS (SELECT frame_id, y, CASE WHEN y % 3 = 0 THEN icon ELSE 0 END AS icon FROM i), h AS (SELECT frame_id, y % 17 AS "offset", sum(icon) AS hits FROM z GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY hits DESC, "offset") AS k FROM h),
+@query(f"""WITH {PIXELS}, z AS (SELECT frame_id, y, CASE WHEN y % 3 = 0 THEN icon ELSE 0 END AS icon FROM i), h AS (SELECT frame_id, y % 17 AS "offset", sum(icon) AS hits FROM z GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY hits DESC, "offset") AS k FROM h),
 a AS (SELECT z.frame_id, y + 10 AS centre FROM z JOIN b ON z.frame_id = b.frame_id AND k = 1 AND y % 17 = "offset" WHERE icon = 1)
 SELECT frame_id, greatest(20, centre - 6) AS text_top, centre - 6 AS icon_top FROM a WHERE centre BETWEEN 18 AND 174 AND greatest(20, centre - 6) >= 10 AND greatest(20, centre - 6) + 12 <= 190""")
 def icon_rows(spark, d):
@@ -447,13 +449,6 @@ def totals(spark, d):
     return t(spark, d, "lineitem").agg(F.countDistinct("l_orderkey").alias("segments"), F.count("*").alias("items")).crossJoin(t(spark, d, "part").agg(F.count("*").alias("dimension")))
 
 
-@query()
-def folded_kana(spark, d):
-    """Folds that SQL lacks; the tests hold golden values."""
-    names = spark.createDataFrame([("１０００まんボルト",), ("ｶﾞ",), ("ニャオニクス♀",), ("オスのすがた",), ("三三ロップ",)], "name string")
-    return names.select("name", text.kana_fold(F.col("name")).alias("fold"), text.entity_fold(F.col("name")).alias("entity_fold"))
-
-
 @query()
 def cached_rows(spark, d):
     """Leader clustering of row thumbs; compared with plain Python in the tests."""
@@ -473,12 +468,3 @@ def learnt_templates(spark, d):
 def similarities(spark, d):
     """edit similarity and the bound of the sequence ratio."""
     return t(spark, d, "part").select("p_partkey", F.round(similarity.edit_similarity(F.col("p_name"), F.col("p_type")), 6).alias("edit"), F.round(similarity.sequence_bound(F.col("p_name"), F.col("p_type")), 6).alias("bound"))
-
-
-#: Queries whose SQL keeps only some rows; ``whole_`` and the name is the same query over the whole table, with SQL of its own.
-PARTIAL = {
-    "video_offsets": "o_orderkey % 3 = 0", "frame_numbers": "l_partkey % 50 < 5", "segment_votes": "l_linenumber = 1", "ordered_items": "l_linenumber = 1", "merged_segments": "l_linenumber = 1", "merged_files": "l_orderkey % 9 = 0",
-}
-for _name, _rows in PARTIAL.items():
-    QUERIES[f"whole_{_name}"] = partial(QUERIES[_name], rows_="true")
-    SQL[f"whole_{_name}"] = SQL[_name].replace(f" WHERE {_rows}", "", 1)

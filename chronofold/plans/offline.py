@@ -20,10 +20,19 @@ def build_items(spark: SparkSession, pattern: str, order: list[str], more: list[
 
 def merge_results(spark: SparkSession, paths: list[str], collected: str) -> tuple[DataFrame, DataFrame]:
     """The merged result files, and of them the entities that aren't collected yet."""
-    merged = merge.merge_files(files.read_results(spark, paths))
+    rows = files.read_results(spark, paths)
+    order = rows.groupBy("entity").agg(F.min(F.struct("file_ord", "ent_pos")).alias("first")).select("entity", "first.*")
+    merged = merge.merge_files(rows).join(order, "entity")
     return merged, merge.not_collected(merged, files.read_collected(spark, collected))
 
 
+def write_merged(spark: SparkSession, paths: list[str], collected: str, out: str, new: str) -> None:
+    """Both of ``merge_results`` as result files."""
+    for rows, path in zip(merge_results(spark, paths, collected), (out, new), strict=True):
+        order = rows.groupBy("entity").agg(F.min(F.struct("file_ord", "ent_pos")).alias("ent_pos"))
+        files.write_json(files.result_json(rows.select("entity", "pos", "item").join(order, "entity")), path)
+
+
 def compare_names(spark: SparkSession, a: str, b: str) -> DataFrame:
     """Names that only one of two files has."""
     return merge.name_differences(files.read_entities(spark, a), files.read_entities(spark, b))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +16,44 @@ SEGMENT = f"struct<seg_no:int,candidates:{CANDIDATES},detail_ts:double,list_star
 INDEX = f"index_fps double, groups array<struct<videos:array<string>,resolution:array<int>,segments:array<{SEGMENT}>>>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one of ``spark.checkpoint.dir``, gone when the driver ends. A local session without one gets one of its own; a
+    cluster must name it.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofold-"))
+        root = sc.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder and read from there: what it took isn't done again, and plans over it stay small."""
+    path = f"{scratch(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _must_exist(spark: SparkSession, path: str) -> str:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return path
 
@@ -27,6 +63,16 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM).option("multiLine", True).option("mode", "FAILFAST").json(_must_exist(spark, path))
 
 
+#: A scheme and the slashes behind it, of which there may be one or three.
+SCHEME = "^([A-Za-z0-9+.-]+):/+"
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as the column of file names has it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(SCHEME, r"\1:/", at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString())
+
+
 def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text([_must_exist(spark, p) for p in paths], wholetext=True)
 
@@ -40,17 +86,19 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Result files, objects of lists: ``file_ord`` (place in ``paths``), ``entity``, ``ent_pos``, ``pos``, ``item``."""
-    parts = None
+    # one scan of all files; a file's place in ``paths`` is told by its name, so the plan doesn't grow with them
+    first: dict[str, int] = {}
     for k, p in enumerate(paths):
-        entries = _whole(spark, [p]).select(F.from_json("value", "map<string,array<string>>").alias("m")).select(F.posexplode(F.map_entries("m")).alias("ent_pos", "e"))
-        rows = entries.select(F.lit(k).alias("file_ord"), F.col("e.key").alias("entity"), "ent_pos", F.posexplode("e.value").alias("pos", "item"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+        first.setdefault(_uri(spark, p), k)
+    place = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))
+    whole = _whole(spark, list(dict.fromkeys(paths))).select("value", place[F.regexp_replace("_metadata.file_path", SCHEME, "$1:/")].alias("file_ord"))
+    entries = whole.select("file_ord", F.from_json("value", "map<string,array<string>>").alias("m")).select("file_ord", F.posexplode(F.map_entries("m")).alias("ent_pos", "e"))
+    return entries.select("file_ord", F.col("e.key").alias("entity"), "ent_pos", F.posexplode("e.value").alias("pos", "item"))
 
 
 def read_collected(spark: SparkSession, path: str) -> DataFrame:
     """Names that a file of objects, one a line, has as keys; no rows, and a notice, where there is no file."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         print(f"nothing collected yet: {path}")
         return spark.createDataFrame([], "entity string")
     return spark.read.text(path).filter(F.trim("value") != "").select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("entity")).distinct()
@@ -65,7 +113,10 @@ def read_editions(spark: SparkSession, pattern: str, order: list[str]) -> DataFr
     names = games.filter(F.ltrim("game").startswith("{")).select("path", "game_pos", F.explode(F.from_json("game", "map<string,string>")).alias("name", "facts"))
     rank = rank_in(F.regexp_extract("path", "([^/]+)/[^/]+$", 1), order)
     facts = F.when(F.ltrim("facts").startswith("{") & (F.trim("facts") != "{}"), F.col("facts"))
-    ordered = names.withColumn("rank", rank).withColumn("file_ord", F.dense_rank().over(Window.orderBy("rank", "path")))
+    # one row for each file finds its place
+    files = whole.select("path").distinct().withColumn("rank", rank)
+    placed = files.withColumn("file_ord", F.row_number().over(Window.orderBy("rank", "path")))
+    ordered = names.join(F.broadcast(placed), "path")
     return ordered.select("name", "rank", "file_ord", "game_pos", F.when(facts.isNotNull(), F.coalesce(F.get_json_object(facts, "$.type"), F.lit(""))).alias("type"), F.when(facts.isNotNull(), int_or_zero(F.coalesce(F.get_json_object(facts, "$.pp"), F.lit("")))).alias("pp"))
 
 
@@ -85,12 +136,21 @@ def result_json(merged: DataFrame) -> DataFrame:
     return lists.groupBy().agg(F.to_json(F.map_from_entries(entries)).alias("value"))
 
 
-def write_json(one: DataFrame, path: str) -> None:
-    """A small export: one row of text as one file, unescaped and indented by two blanks, by Spark's writer."""
-    import json
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small export as one file in any store that Spark's file systems reach, replaced as a whole."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
-    text = json.dumps(json.loads(one.first()["value"] or "{}"), ensure_ascii=False, indent=2)
-    one.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+def write_json(one: DataFrame, path: str) -> None:
+    """A small export: one row of JSON as one file, unescaped and indented by two blanks."""
+    row = one.first()
+    text = json.dumps(json.loads((row and row["value"]) or "{}"), ensure_ascii=False, indent=2)
+    write_text(one.sparkSession, path, text + "\n")
 
 
 def sidecar(path: str) -> str:

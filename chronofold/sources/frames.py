@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "group_id string, video_seq int, frame_idx long, ts double, height int, width int, image binary"
@@ -64,7 +64,10 @@ def decode(path: str, first: int, last: int, step: int) -> Iterator[tuple[int, n
 
 
 class FrameSource(DataSource):
-    """Options: ``paths`` (comma-separated, on a folder that all executors see), ``group``, ``fps`` (target), ``src_fps``, ``start``, ``end``, ``slice`` (frames)."""
+    """Options: ``paths`` (comma-separated, on a folder that all executors see), ``group``, ``fps`` (target), ``src_fps`` (one rate, or one for each path,
+    comma-separated; a video file's own where it isn't given), ``start``, ``end``, ``ranges`` (``from:to`` in seconds, comma-separated: only
+    frames within one of them), ``slice`` (frames).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -82,20 +85,25 @@ class FrameReader(DataSourceReader):
         from ..operators.timeline import check_rates
 
         self.paths = [p for p in options.get("paths", "").split(",") if p]
-        self.group, self.fps, self.src = options.get("group", ""), float(options.get("fps", 5)), float(options.get("src_fps", 30))
+        self.group, self.fps, self.rates = options.get("group", ""), float(options.get("fps", 5)), options.get("src_fps", "")
         self.start, self.end, self.slice = float(options.get("start", 0)), float(options.get("end", "inf")), int(options.get("slice", 3000))
+        self.ranges = [(float(a), float(z)) for a, z in (x.split(":") for x in options.get("ranges", "").split(",") if x)]
         check_rates(self.fps, self.start, self.end)
 
     def partitions(self) -> list[Slice]:
         out, offset = [], 0.0
-        for seq, path in enumerate(self.paths):
-            n, _, _ = probe(path)
+        for video in probed(self.paths, self.rates):
+            n, src = video["frame_count"], video["src_fps"]
             for a in range(0, n, self.slice):
                 z = min(n, a + self.slice)
-                if offset + z / self.src > self.start and offset + a / self.src < self.end:  # slices out of range aren't opened
-                    out.append(Slice(path, seq, a, z, self.src, offset))
-            offset += n / self.src
-        return out or [Slice("", 0, 0, 0, self.src, 0.0)]
+                if self.wanted(offset + a / src, offset + z / src):  # slices out of range aren't opened
+                    out.append(Slice(video["path"], video["video_seq"], a, z, src, offset))
+            offset += n / src
+        return out or [Slice("", 0, 0, 0, FALLBACK_FPS, 0.0)]
+
+    def wanted(self, first: float, last: float) -> bool:
+        """Whether frames of [first, last) may be asked for."""
+        return last > self.start and first < self.end and (not self.ranges or any(last > a and first < z for a, z in self.ranges))
 
     def read(self, part: Slice) -> Iterator[tuple]:
         if not part.path:
@@ -103,10 +111,50 @@ class FrameReader(DataSourceReader):
         step = max(1, round(part.fps / self.fps))
         for k, image in decode(part.path, part.first, part.last, step):
             ts = part.offset + k / part.fps
-            if self.start <= ts < self.end:
+            if self.start <= ts < self.end and (not self.ranges or any(a <= ts < z for a, z in self.ranges)):
                 yield self.group, part.seq, k, ts, image.shape[0], image.shape[1], image.tobytes()
 
 
+FALLBACK_FPS = 30.0
+VIDEOS = "video_seq int, path string, frame_count long, src_fps double, width int, height int"
+
+
+def safe_rate(rate: float) -> float:
+    """A usable rate: what isn't finite and positive becomes 30."""
+    return rate if 0 < rate < float("inf") else FALLBACK_FPS
+
+
+def own_rate(path: str) -> float:
+    """The rate that a video file names; stacks name none."""
+    if path.endswith(".npy"):
+        return FALLBACK_FPS
+    import cv2
+
+    cap = cv2.VideoCapture(path)
+    try:
+        return safe_rate(float(cap.get(cv2.CAP_PROP_FPS)))
+    finally:
+        cap.release()
+
+
+def probed(paths: list[str], rates: str = "") -> list[dict]:
+    """What is known of each file without decoding it: a row of ``VIDEOS``. An error for one that can't be read or has no picture."""
+    given = [safe_rate(float(r)) for r in rates.split(",") if r]
+    if len(given) not in (0, 1, len(paths)):
+        raise ValueError(f"{len(given)} rates for {len(paths)} files")
+    out = []
+    for seq, path in enumerate(paths):
+        n, h, w = probe(path)
+        rate = given[seq if len(given) > 1 else 0] if given else own_rate(path)
+        out.append({"video_seq": seq, "path": path, "frame_count": n, "src_fps": rate, "width": w, "height": h})
+    return out
+
+
+def manifest(spark: SparkSession, paths: list[str], rates: str = "") -> DataFrame:
+    """The files as a table: ``VIDEOS``, in the order given."""
+    return spark.createDataFrame([tuple(v.values()) for v in probed(paths, rates)], VIDEOS)
+
+
 def png(image: np.ndarray) -> bytes:
     """A picture (blue, green, red) as PNG."""
     h, w = image.shape[:2]

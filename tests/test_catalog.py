@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from chronofold.plans import catalog
+from chronofold.plans import catalog_io as catalog
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,7 @@ def test_runs(spark, small, name):
     assert catalog.QUERIES[name](spark, small).count() > 0
 
 
-def test_vote_scan_reads_needed_columns(spark, small):
-    plan = catalog.time_range(spark, small)._jdf.queryExecution().executedPlan().toString()
+def test_the_range_reaches_the_scan(spark, small):
+    plan = catalog.QUERIES["time_range"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan

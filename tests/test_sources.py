@@ -117,9 +117,9 @@ def test_run_from_a_stored_index(spark, tmp_path):
     seg = spark.createDataFrame([(0, ["v"], [1280, 720], 1, [(1, "one", 0.9)], 1.0, 2.0, 3.0, 2), (0, ["v"], [1280, 720], 2, [], None, 5.0, 5.0, 1)], f"group_no int, videos array<string>, resolution array<int>, seg_no int, candidates {files.CANDIDATES}, detail_ts double, list_start double, list_end double, list_frames int")
     path = put(tmp_path / "index.json", files.index_json(seg, 4.0).first()[0])
     dim = spark.createDataFrame([(1, "one")], "id int, name string")
-    f = [("1280x720", float(k), k, "move_list" if k in (2, 3, 5) else "other", [k * 50], [k * 50], [0], 99.0) for k in range(7)]
+    f = [("0x1280x720", float(k), k, "move_list" if k in (2, 3, 5) else "other", [k * 50], [k * 50], [0], 99.0) for k in range(7)]
     frames_ = spark.createDataFrame(f, "group_id string, ts double, ord int, read_kind string, header_thumb array<int>, slot_thumb array<int>, box_thumb array<int>, mean_luma double")
-    obs = spark.createDataFrame([("1280x720", 2, 0, "alpha", None), ("1280x720", 5, 0, "gamma", None)], "group_id string, ord int, row_no int, raw string, observed_type string")
+    obs = spark.createDataFrame([("0x1280x720", 2, 0, "alpha", None), ("0x1280x720", 5, 0, "gamma", None)], "group_id string, ord int, row_no int, raw string, observed_type string")
     items = spark.createDataFrame([(1, "alpha", "x", 1), (2, "gamma", "y", 1)], "id int, name string, type string, pp int")
     got = recording.recollect(files.read_index(spark, path, dim), frames_, obs, items, Options(ascii_names=True)).collect()
     assert {(r["entity"], tuple(r["items"])) for r in got} == {("one", ("alpha",)), ("(unknown 2)", ("gamma",))}
