@@ -177,7 +177,8 @@ def template(text: str | None, vocabulary: Bits | None = None) -> list[Form]:
         codes = plain.copy()
         for where, kind in ((number, _NUM), (unit, _UNIT), (names, _NAME)):
             codes[where] = PLACEHOLDERS[kind]
-        at = np.flatnonzero(~(names & np.append(False, names[:-1])[: len(names)]))  # the first of a run of names
+        run = names & np.append(False, names[:-1] & ((flags[:-1] & _STOP) == 0))[: len(names)]  # goes on with the names before, within a sentence
+        at = np.flatnonzero(~run)
         ends = np.append(kept, len(words))[np.append(at[1:], len(kept))] if len(at) else at
         out.append(Form(codes[at], (number | unit | names)[at], kept[at], ends, words))
     return out
