@@ -26,6 +26,7 @@ not held out; rows repeat as they are; an empty table gives no rows; other colum
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +73,7 @@ STEMS = (4, 5, 6, 7)
 WORD_SHARE, STEM_SHARE, HIT_SHARES = 0.001, 0.008, (0.006, 0.009, 0.013, 0.02)
 SPAN = 4000
 #: The label model: the weight of labelled rows, as a share of all documents; the rounds it may take and the change at which it has settled.
-ANCHOR, MOST_ROUNDS, SETTLED = 0.25, 60, 1e-4
+ANCHOR, MOST_ROUNDS, SETTLED = 0.25, 200, 5e-4
 #: The least dependence, in nats for each document, for which a voter looks at another one.
 LEAST_GAIN = 1e-4
 
@@ -303,6 +304,8 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, anchor_votes: np.nda
         model.parent = spanning_forest(gain)
         model.rounds = 0
         settle()
+        if not model.settled:
+            warnings.warn(f"the label model hasn't settled after {model.rounds} rounds", stacklevel=2)
     return model
 
 
