@@ -88,15 +88,19 @@ def looked_up(known: dict, words: list[bytes], make: Callable[[list[bytes]], Ite
     found = list(map(known.get, words))
     if None not in found:
         return found
-    new = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
+    new = list(set(words).difference(known))
     made = dict(zip(new, make(new), strict=True))
-    out = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
-    short = {w: x for w, x in made.items() if len(w) <= CACHED_BYTES}
+    short = made if max(map(len, new)) <= CACHED_BYTES else {w: x for w, x in made.items() if len(w) <= CACHED_BYTES}
     if len(known) + len(short) > most:
         known.clear()
-    if len(short) <= most:
+        if len(short) <= most:
+            known.update(short)
+    elif short is made:
+        known.update(made)
+        return list(map(known.__getitem__, words))
+    else:
         known.update(short)
-    return out
+    return [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
 
 
 def summed(rows: DataFrame, make: Callable) -> np.ndarray | None:

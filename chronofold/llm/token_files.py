@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +89,11 @@ class WordEncoder:
             some = [w.decode() for w in words[at : at + 2000]]
             starts = np.cumsum([0, *(len(w) + 1 for w in some)])
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.searchsorted(np.array([x[0] for x in found.offsets], np.int64), starts)
-            for k in range(len(some)):
-                yield ids[cuts[k] : cuts[k + 1]].tobytes()
+            ids = array("I", found.ids).tobytes()
+            offsets = found.offsets
+            cuts = (4 * np.searchsorted(np.fromiter(map(itemgetter(0), offsets), np.int64, len(offsets)), starts)).tolist()
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                yield ids[a:z]
 
 
 @lru_cache(2)
