@@ -1,25 +1,32 @@
 """Secret scanning with a random forest that removes false positives. DataFrame operations and JVM models only.
 
-Candidates are unbroken runs of 16 or more token characters with a digit, "=" only at their end, so that ``KEY=`` stands before a value
-and not in it; and whatever is assigned to a key word, of 4 or more characters, with or without digits and in any characters. Each gets features: length, classes of characters and changes
-between them, common letter pairs, coverage by words of code and prose, whether it stands in a path or URL or looks like an identifier
-of a known kind, and the words around it. A random forest trained on labelled findings keeps the secrets.
+Candidates are
+
+* unbroken runs of 16 or more token characters with a digit, "=" only at their end, so that ``KEY=`` stands before a value and not in it;
+* whatever is assigned to a key word, of 4 or more characters, with or without digits and in any characters;
+* private keys in armour, from their first to their last line.
+
+Each gets features: length, classes of characters and changes between them, the mean log-likelihood of its character transitions, coverage by
+words, whether it stands in a path or URL or looks like an identifier of a known kind, and the words around it. Transitions and words are
+those of the labelled findings' benign candidates and surroundings (``language``). A random forest trained on labelled findings keeps the
+secrets.
 
 Labelled findings are a parameter, rows of ``before``, ``candidate``, ``after`` and ``label``. ``labelled_findings`` makes a set: secrets
 of common kinds in assignments, and look-alikes that scanners report wrongly (commit ids, checksums, UUIDs, file names, card and order
-numbers, placeholders, dates), all from a hash of the row's number. At most ``TRAINING_ROWS`` rows are learnt from.
-
-Made findings are cut out of lines by ``candidates`` itself, so they have the form that a scan gives.
+numbers, placeholders, dates), all from a hash of the row's number, cut out of lines by ``candidates`` itself, so they have the form that a
+scan gives. At most ``TRAINING_ROWS`` rows are learnt from; the driver gets ``DICTIONARY`` words and a table of transitions of them.
 
 Texts without a candidate are dropped by two patterns at the scan; only lines with a candidate are cut up further.
 
 Defined cases: null and empty texts have no findings; a null ``doc_id`` is kept; repeated rows give repeated findings; findings labelled
 all alike, or none, leave every candidate with that label's score (0.5 without any); an empty table gives no rows; other columns are
-ignored.
+ignored; very long texts and lines are cut at matches, in time linear in their length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,7 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ID, texts
+from .common import ID, Scratch, texts
 
 TRAINING_ROWS = 6000
 CUT = 0.5
@@ -41,15 +48,67 @@ KEYS = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|priva
 BENIGN = "commit|sha1|sha256|sha|md5|checksum|digest|uuid|guid|etag|rev|revision|version|build|order|invoice|card|phone|isbn|tracking|serial|example|image|file|path|src|href|url|integrity|parcel|id"
 WORDS = "config|test|main|handler|user|data|name|file|image|http|www|com|org|static|asset|index|page|module|version|release|build|install|package|node|server|client|service|manager|factory|controller|example|placeholder|changeme|dummy|sample|your|the|and|with|from|for|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|report|final|draft|copy|photo|video|document|backup|update"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
+#: A private key in armour, over lines.
+ARMOUR = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s,:-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+ARMOUR_HINT = "PRIVATE KEY-----"
+#: Words that the labelled findings teach, and characters that transitions tell apart: letters, digits, others.
+DICTIONARY, SYMBOLS = 800, 28
 #: A key word and its sign; what is assigned to one, in quotes up to the same quote; both as Java reads them.
 ASSIGNMENT = rf"(?i:{KEYS})(?:[_-][A-Za-z0-9]{{1,12}})?[\"']?[ \t]{{0,3}}(?::=|=>|[=:])[ \t]{{0,3}}"
 #: Without quotes a value ends at white space, a comma, a semicolon or a query's next name; closing brackets at its end aren't its own.
-_BARE = r"(?:[^\s\"'`,;&]|&(?![A-Za-z0-9_-]+=))"
-ASSIGNED = "|".join([*(rf"(?<={ASSIGNMENT}{q})[^{q}\n]{{4,200}}(?={q})" for q in "\"'`"), rf"(?<=[=:> \t])(?<={ASSIGNMENT}){_BARE}{{4,}}(?<![.:)}}\]>])"])
+#: The few groups that repeat are bounded: Java's regular expressions take stack for each round of a group, and none for a class.
+_CLASS = r"[^\s\"'`,;&]"
+_BARE = rf"(?=[^\s\"'`,;]{{4}}){_CLASS}*(?:&(?![A-Za-z0-9_-]+=){_CLASS}*){{0,20}}(?<![.:)}}\]>&])"
+ASSIGNED = "|".join([*(rf"(?<={q})(?<={ASSIGNMENT}{q})[^{q}\n]{{4,200}}(?={q})" for q in "\"'`"), rf"(?<=[=:> \t])(?<={ASSIGNMENT}){_BARE}"])
 SCAN = f"{ASSIGNED}|{CANDIDATE}"
 
 
-def features(before: Column, c: Column, after: Column) -> dict[str, Column]:
+def _words(c: Column) -> Column:
+    """The letter runs of a text, those in camel case apart, in lower case."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), F.lit("[a-z]{3,}"), F.lit(0))
+
+
+def _symbol(c: Column) -> Column:
+    """A character's number, from 0: letters, then digits as one, then all others as one."""
+    code = F.ascii(c)
+    return F.when(code.between(97, 122), code - 97).when(code.between(48, 57), 26).otherwise(27)
+
+
+class Language:
+    """What benign text looks like: its words, and the log-likelihood of each character after each (``SYMBOLS`` squared numbers)."""
+
+    def __init__(self, words: list[str], transitions: list[float]) -> None:
+        self.words, self.transitions = words, transitions
+
+    def likelihood(self, c: Column) -> Column:
+        """Mean log-likelihood of a text's transitions; 0 for a single character. One pass: the characters' numbers beside themselves, one on."""
+        codes = F.transform(F.split(F.lower(c), ""), _symbol)
+        table = F.array(*map(F.lit, self.transitions))
+        n = F.length(c) - 1
+        steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(table, a * SYMBOLS + b))
+        return F.when(n > 0, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / n).otherwise(0.0)
+
+    def covered(self, c: Column) -> Column:
+        """How many characters stand in known words."""
+        known = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
+        return F.aggregate(F.filter(_words(c), lambda w: F.array_contains(known, w)), F.lit(0), lambda s, w: s + F.length(w))
+
+
+def language(findings: DataFrame) -> Language:
+    """From labelled findings (``before``, ``candidate``, ``after``, ``label``), and the fixed words."""
+    benign = F.when(F.col("label") < 0.5, F.col("candidate")).otherwise("")
+    said = findings.select(F.explode(_words(F.concat_ws(" ", F.coalesce("before", F.lit("")), benign, F.coalesce("after", F.lit(""))))).alias("w"))
+    fixed = findings.sparkSession.createDataFrame([(w,) for w in WORDS.split("|")], "w string")
+    counted = said.filter(F.length("w") <= 24).unionByName(fixed).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY)
+    words = [r["w"] for r in counted.collect()]
+    times = [[0.5] * SYMBOLS for _ in range(SYMBOLS)]
+    for w in words:
+        for a, b in zip(w, w[1:], strict=False):
+            times[ord(a) - 97][ord(b) - 97] += 1
+    return Language(words, [math.log(x / sum(row)) for row in times for x in row])
+
+
+def features(before: Column, c: Column, after: Column, known: Language) -> dict[str, Column]:
     n = F.length(c).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     low = F.lower(c)
@@ -65,13 +124,16 @@ def features(before: Column, c: Column, after: Column) -> dict[str, Column]:
         "class_changes": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z0-9])(?=[_+/=.-])"),
         "longest_digits": F.length(F.regexp_replace(c, r"^.*?([0-9]*).*$", "$1")) / n,
         "pairs": F.regexp_count(low, F.lit(f"(?=(?:{PAIRS}))")) / n,
+        "transitions": known.likelihood(c),
         "repeats": share(r"(.)(?=\1)"),
-        "dictionary": (n - F.length(F.regexp_replace(low, f"(?:{WORDS})", ""))) / n,
+        "fixed_words": (n - F.length(F.regexp_replace(low, f"(?:{WORDS})", ""))) / n,
+        "dictionary": known.covered(c) / n,
         "uuid": c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-").cast("double"),
         "digits_only": c.rlike("^[0-9.-]+$").cast("double"),
         "path": (c.contains("/") & c.rlike(r"[A-Za-z_-]{3,}/|\.[a-z]{2,4}$") | F.right(before, F.lit(1)).isin("/", "#", "@", "?", "&")).cast("double"),
         "extension": c.rlike(r"\.(?:js|css|png|jpg|html|json|py|txt|pdf|gz|zip|com|org|net)$").cast("double"),
-        "prefix": c.rlike("^(?:AKIA|ghp_|gho_|sk[-_]|xox[abp]-|eyJ|glpat-|AIza)").cast("double"),
+        "prefix": c.rlike("^(?:AKIA|ghp_|gho_|sk[-_]|xox[abp]-|eyJ|glpat-|AIza|-----BEGIN)").cast("double"),
+        "code": c.rlike(r"^[$%{<(\[]|[)>}\]]$|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$|::|\(").cast("double"),
         "key_before": near.rlike(f"(?:{KEYS})[^a-z0-9]{{0,8}}$").cast("double"),
         "key_near": near.rlike(f"(?:{KEYS})").cast("double"),
         "benign_before": near.rlike(rf"\b(?:{BENIGN})[^a-z0-9]{{0,8}}$").cast("double"),
@@ -84,12 +146,38 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line`` and ``start`` (from 0, code points within the line), ``before``, ``candidate``, ``after``."""
     hit = F.lit(SCAN)
     has = lambda c: F.col(c).rlike(CANDIDATE) | F.col(c).rlike(ASSIGNMENT)
-    lines = texts(docs).filter(has("text")).select(ID, F.posexplode(F.split("text", "\n", -1)).alias("line", "one")).filter(has("one"))
+    lengths = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    broken = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + breaks(x))
+    some = texts(docs).filter(has("text") | F.contains("text", F.lit(ARMOUR_HINT)))
+    armoured = F.contains("text", F.lit(ARMOUR_HINT))
+    cut = some.select(
+        ID,
+        F.when(armoured, F.split("text", ARMOUR, -1)).otherwise(F.array("text")).alias("parts"),
+        F.when(armoured, F.regexp_extract_all("text", F.lit(ARMOUR), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("keys"),
+    )
+    tail = lambda x: F.substring_index(x, "\n", -1)
+    # where a part begins: the line, and the place in it
+    parts = cut.select(ID, "keys", "parts", F.posexplode("parts").alias("k", "part"))
+    line0 = broken(F.col("parts"), F.col("k")) + broken(F.col("keys"), F.col("k"))
+    lead = F.when(F.col("k") > 0, tail(F.get("keys", F.col("k") - 1))).otherwise("")
+    lead = F.when(F.contains(F.coalesce(lead, F.lit("")), F.lit("-----")), F.length(lead)).otherwise(0)
+    placed = parts.select(ID, "part", line0.alias("line0"), lead.alias("lead"), F.get("keys", F.col("k")).alias("key"), F.get("parts", F.col("k") + 1).alias("next"))
+    armour = placed.filter("key is not null").select(
+        ID,
+        (F.col("line0") + breaks(F.col("part"))).cast("int").alias("line"),
+        (F.length(tail(F.col("part"))) + F.when(F.contains("part", F.lit("\n")), 0).otherwise(F.col("lead"))).cast("int").alias("start"),
+        tail(F.col("part")).alias("before"),
+        F.col("key").alias("candidate"),
+        F.substring_index(F.coalesce("next", F.lit("")), "\n", 1).alias("after"),
+    )
+    lines = placed.filter(has("part")).select(ID, "line0", "lead", F.posexplode(F.split("part", "\n", -1)).alias("line", "one")).filter(has("one"))
     # the pieces between candidates; a candidate's place follows from the lengths before it
-    cut = lines.select(ID, "line", F.split("one", SCAN, -1).alias("gaps"), F.regexp_extract_all("one", hit, F.lit(0)).alias("found"))
-    each = cut.select(ID, "line", "gaps", "found", F.posexplode("found").alias("k", "candidate"))
-    size = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-    return each.select(ID, "line", (size(F.col("gaps"), F.col("k") + 1) + size(F.col("found"), F.col("k"))).alias("start"), F.element_at("gaps", F.col("k") + 1).alias("before"), "candidate", F.element_at("gaps", F.col("k") + 2).alias("after"))
+    found = lines.select(ID, (F.col("line0") + F.col("line")).cast("int").alias("line"), F.when(F.col("line") == 0, F.col("lead")).otherwise(0).alias("lead"), F.split("one", SCAN, -1).alias("gaps"), F.regexp_extract_all("one", hit, F.lit(0)).alias("found"))
+    each = found.select(ID, "line", "lead", "gaps", "found", F.posexplode("found").alias("k", "candidate"))
+    start = F.col("lead") + lengths(F.col("gaps"), F.col("k") + 1) + lengths(F.col("found"), F.col("k"))
+    runs = each.select(ID, "line", start.cast("int").alias("start"), F.element_at("gaps", F.col("k") + 1).alias("before"), "candidate", F.element_at("gaps", F.col("k") + 2).alias("after"))
+    return runs.unionByName(armour)
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -103,14 +191,16 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     key = pick(["token", "api_key", "secret", "password", "access_key", "client_secret", "auth_token", "TOKEN", "apikey", "API_KEY", "export SECRET", "x?token"], "key")
     sign = pick([' = "', ': "', "='", " = '", ": ", "=", '":"'], "sign")
     close = pick(['"', '"', "'", "'", "", "", '"'], "sign")
-    secret = pick(range(12), "kind").cast("int")
-    alike = pick(range(14), "kind").cast("int")
+    secret = pick(range(14), "kind").cast("int")
+    alike = pick(range(20), "kind").cast("int")
     letters = F.translate(F.substring(base64, 1, 48), "0123456789", "qKzWxjVbHd")
     # a token that tells its kind needs no key word
-    alone = secret.isin(2, 3, 5) & pick([True, False, False], "alone")
+    alone = secret.isin(2, 3, 5) & pick([True, False, False], "alone") | (secret == 13)
     good = [
         F.substring(hex_, 1, 40), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(hex_, 1, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), F.upper(F.substring(hex_, 1, 40)), F.concat(F.lit("sk-"), F.substring(base64, 1, 32)),
         F.substring(letters, 1, 24), F.concat(pick(["hunter", "dragon", "Summer", "winter", "Qwerty", "monkey"], "word"), F.substring(digits, 1, F.lit(1) + F.length(F.substring(digits, 1, 1)))), F.concat(F.substring(letters, 1, 4), pick(["!", "$", "%", "@", ":", "#"], "mark"), F.substring(base64, 9, 6)), F.substring(base64, 1, 12), F.concat(F.substring(base64, 1, 30), F.lit("==")), F.concat(F.substring(base64, 1, 43), F.lit("=")),
+        F.concat(pick(["correct", "purple", "seven", "little", "frozen"], "w1"), F.lit("-"), pick(["horse", "lantern", "rivers", "engine"], "w2"), F.lit("-"), pick(["battery", "garden", "copper", "signal"], "w3")),
+        F.concat(F.lit("-----BEGIN "), pick(["RSA ", "", "EC ", "OPENSSH "], "armour"), F.lit("PRIVATE KEY-----\n"), F.substring(base64, 1, 60), F.lit("\n"), F.substring(base64, 9, 60), F.lit("\n-----END "), pick(["RSA ", "", "EC ", "OPENSSH "], "armour"), F.lit("PRIVATE KEY-----")),
     ]
     uuid = F.concat_ws("-", *(F.substring(hex_, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     name = F.concat(pick(["main", "image", "report-final", "index.page", "user_handler", "package"], "name"), F.lit("-"), F.substring(digits, 1, 4))
@@ -121,6 +211,12 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (F.concat(key, pick([": ", " = ", "=", ' = "'], "ask")), pick("required please expired invalid string None null true false undefined password changeme missing rotated nothing should reset empty optional unknown about never given default hidden vergessen obligatoire".split(), "plain"), pick([" ", " ", " ", '" '], "ask")),
         (F.concat(key, pick([": ", " = ", "="], "ask2")), pick(["os.environ", "$TOKEN", "${PASSWORD}", "config.password", "self.token", "request.headers", "settings.SECRET", "String", "process.env.KEY", "********", "%s", "https://example.com/login", "xxxxxxxx"], "code"), F.lit(" ")),
         (F.lit("?page="), F.concat(name, F.lit("-index-page")), F.lit("&")),
+        (pick(["parcel ", "account ", "reference ", "ticket "], "number"), F.concat(pick(["DE", "1Z", "FR76", "RX", "GB29"], "country"), F.substring(digits, 1, F.lit(12) + F.length(pick(["", "a", "aaaa"], "more")))), F.lit(" arrived")),
+        (F.concat(key, F.lit(" = ")), F.concat(pick(["read", "ask", "input", "load", "prompt"], "call"), pick([".", "_"], "dot"), pick(["password", "value", "secret", "line"], "what"), pick(["()", "(user)", "(key)"], "paren")), F.lit(" ")),
+        (F.concat(key, F.lit(": ")), F.concat(pick("tomorrow always between another gestern später immer zwischen demain toujours ensuite mañana siempre entonces welcome letters numbers contact support people garden window morning service".split(), "later"), pick(["", "", "", "lich", "ment", "mente", "ness", "heit", "ung"], "ending")), F.concat(F.lit(" "), pick("and morgen pour que of the".split(), "next"))),
+        (F.lit("build "), F.concat(F.lit("v"), F.substring(digits, 1, 2), F.lit(".4.1-release-"), F.substring(hex_, 1, 12)), F.lit(" out")),
+        (F.lit('integrity="sha384-'), F.substring(base64, 1, 60), F.lit('"')),
+        (F.concat(pick(["trace", "request", "session log", "etag", "object", "key id"], "id"), pick([" id ", ": ", " "], "idsign")), F.concat(F.substring(hex_, 1, 32)), F.lit(" done")),
     ]
     is_secret = F.pmod("id", F.lit(2)) == 0
     chosen = lambda options, at: F.element_at(F.array(*options), at + 1)
@@ -131,33 +227,45 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     return candidates(made).select("before", "candidate", "after", F.when(F.pmod(ID, F.lit(2)) == 0, 1.0).otherwise(0.0).alias("label"))
 
 
-def _featured(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    made = features(F.col("before"), F.col("candidate"), F.col("after"))
+def _featured(rows: DataFrame, known: Language) -> tuple[DataFrame, list[str]]:
+    made = features(F.col("before"), F.col("candidate"), F.col("after"), known)
     return rows.withColumns({f"f_{k}": v.cast("double") for k, v in made.items()}), [f"f_{k}" for k in made]
 
 
-def train(findings: DataFrame, most: int = TRAINING_ROWS) -> PipelineModel | float:
-    """The forest, or a constant score where the labels tell nothing."""
+class SecretModel:
+    """What keeps secrets: the benign language and the forest over features."""
+
+    def __init__(self, known: Language, forest: PipelineModel) -> None:
+        self.known, self.forest = known, forest
+
+
+def train(findings: DataFrame, most: int = TRAINING_ROWS) -> SecretModel | float:
+    """The model, or a constant score where the labels tell nothing."""
     known = findings.filter(F.col("label").isNotNull() & F.col("candidate").isNotNull()).select(F.coalesce("before", F.lit("")).alias("before"), "candidate", F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label"))
     n, mean = known.agg(F.count("*"), F.avg("label")).first()
     if not n or mean in (0.0, 1.0):
         return 0.5 if not n else float(mean)
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("before", "candidate"), F.lit(1 << 32)) < int((1 << 32) * most / n))
-    rows, names = _featured(known)
+    scratch = Scratch(findings.sparkSession, "findings")
+    known = scratch.save(known)
+    benign = language(known)
+    rows, names = _featured(known, benign)
+    rows = scratch.save(rows)  # the forest reads them many times
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), forest]).fit(rows)
+    return SecretModel(benign, Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), forest]).fit(rows))
 
 
-def score(rows: DataFrame, model: PipelineModel | float) -> DataFrame:
+def score(rows: DataFrame, model: SecretModel | float) -> DataFrame:
     """``rows`` (``before``, ``candidate``, ``after``) with ``score``."""
     if isinstance(model, float):
         return rows.withColumn("score", F.lit(model))
-    made, _ = _featured(rows)
-    return model.transform(made).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+    made, _ = _featured(rows, model.known)
+    return model.forest.transform(made).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """Findings kept: ``doc_id``, ``line``, ``start``, ``length``, ``secret_sha256`` (never the secret), ``score``."""
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
-    return score(candidates(docs), model).filter(F.col("score") >= cut).select(ID, "line", "start", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
+    kept = score(candidates(docs), model).filter(F.col("score") >= cut)
+    return kept.select(ID, "line", "start", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
