@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
 #: What a matching attribute adds to an item's rank (never to its score); the scores that accept an item, an entity, and an entity unseen.
 BONUS, ACCEPT_ITEM, ACCEPT_ENTITY, AUTO_ENTITY = 0.15, 0.7, 0.7, 0.85
 
 
-def slices(dim: DataFrame, rows: int = BROADCAST_ROWS) -> list[DataFrame]:
-    """``dim`` in parts that are small enough to broadcast."""
-    n = dim.count()
-    if n <= rows:
+def slices(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """``dim`` in parts that are small enough to broadcast, in rows and in bytes of names."""
+    n, held = dim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()
+    if n <= rows and held <= size:
         return [F.broadcast(dim)]
-    many = -(-n // rows) * 2
+    many = max(-(-n // rows), -(-held // size)) * 2
     part = F.pmod(F.xxhash64("id"), F.lit(many))
     return [F.broadcast(dim.filter(part == k)) for k in range(many)]
 

@@ -39,7 +39,7 @@ def number_segments(found: DataFrame, group_no: str = "group_no") -> DataFrame:
     own = F.row_number().over(Window.partitionBy(group_no).orderBy("segment_no"))
     totals = found.groupBy(group_no).agg(F.count("*").alias("n"))
     before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(group_no).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return found.withColumn("own", own).join(F.broadcast(before), group_no).withColumn("global_no", (F.col("own") + F.col("before")).cast("long")).drop("own", "before")
+    return found.withColumn("own", own).join(before, group_no).withColumn("global_no", (F.col("own") + F.col("before")).cast("long")).drop("own", "before")
 
 
 def frames_of_segments(frames: DataFrame, found: DataFrame, index_fps: float, slot: float = 60.0) -> DataFrame:

@@ -116,7 +116,7 @@ def read_editions(spark: SparkSession, pattern: str, order: list[str]) -> DataFr
     # one row for each file finds its place
     files = whole.select("path").distinct().withColumn("rank", rank)
     placed = files.withColumn("file_ord", F.row_number().over(Window.orderBy("rank", "path")))
-    ordered = names.join(F.broadcast(placed), "path")
+    ordered = names.join(placed, "path")
     return ordered.select("name", "rank", "file_ord", "game_pos", F.when(facts.isNotNull(), F.coalesce(F.get_json_object(facts, "$.type"), F.lit(""))).alias("type"), F.when(facts.isNotNull(), int_or_zero(F.coalesce(F.get_json_object(facts, "$.pp"), F.lit("")))).alias("pp"))
 
 

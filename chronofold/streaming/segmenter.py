@@ -51,20 +51,40 @@ class SegmentFold:
         return out
 
 
-def _step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fold = SegmentFold(json.loads(state.get[0]) if state.exists else None)
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "ord"], kind="stable")
-    out = [x for ts, kind, box in zip(rows["ts"], rows["kind"], rows["box"], strict=True) if (x := fold.frame(ts, kind, None if box is None or box != box else box))]
-    state.update((json.dumps(fold.s),))
-    yield pd.DataFrame([{"group_id": key[0], **x} for x in out], columns=_COLUMNS)
-
-
-def segment_stream(timeline: DataFrame) -> DataFrame:
-    """Segments of a stream of ``group_id``, ``ts``, ``ord``, ``kind``, ``box``, each as soon as the next one begins; a frame of kind ``end`` closes a group's last.
-
-    A group's frames must arrive in order from one micro-batch to the next; within one they are sorted here.
+def _step(idle: int | None):
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"fold": None, "last": None}
+        fold, last, out, ended = SegmentFold(kept["fold"]), kept["last"], [], False
+        if state.hasTimedOut:
+            out, ended = [x for x in [fold.close()] if x], True
+        else:
+            rows = sorted((r for b in pdfs for r in zip(b["ts"].tolist(), b["ord"].tolist(), b["kind"], b["box"], strict=True)), key=lambda r: r[:2])
+            for ts, no, kind, box in rows:
+                if last is not None and [ts, no] <= last:
+                    continue  # late
+                if x := fold.frame(ts, kind, None if box is None or box != box else box):
+                    out.append(x)
+                last, ended = [ts, no], kind == END
+        if ended:
+            state.remove()
+        else:
+            state.update((json.dumps({"fold": fold.s, "last": last}),))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
+        yield pd.DataFrame([{"group_id": key[0], **x} for x in out], columns=_COLUMNS)
+
+    return step
+
+
+def segment_stream(timeline: DataFrame, idle: int | None = None) -> DataFrame:
+    """Segments of a stream of ``group_id``, ``ts``, ``ord``, ``kind``, ``box``, each as soon as the next one begins.
+
+    A frame of kind ``end``, or ``idle`` milliseconds without frames, closes a group's last segment and forgets the group; its numbers begin
+    anew if it comes again. Within a micro-batch frames are sorted; from one to the next they must come in order, and a frame at or before
+    the last one that its group has seen is late and left out. State is one small record a group.
     """
-    return timeline.groupBy("group_id").applyInPandasWithState(_step, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return timeline.groupBy("group_id").applyInPandasWithState(_step(idle), OUT, "state string", "append", timeout)
 
 
 def write_increments(found: DataFrame, path: str, checkpoint: str):

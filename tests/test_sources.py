@@ -85,6 +85,38 @@ def test_stream_gives_the_batch_segments(spark, small, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*cols).collect()), key=str) == want
 
 
+def test_late_frames_and_the_end_of_a_group():
+    import pandas as pd
+
+    from chronofold.streaming.segmenter import _step
+
+    class State:
+        exists = hasTimedOut = False
+        get, idle = None, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.idle = ms
+
+    def feed(state, *rows):
+        frame = pd.DataFrame([(ts, int(ts), kind, None) for ts, kind in rows], columns=["ts", "ord", "kind", "box"])
+        return [(r["segment_no"], r["list_start"], r["list_end"]) for out in _step(5000)(("g",), iter([frame]), state) for _, r in out.iterrows()]
+
+    state = State()
+    assert feed(state, (2.0, "move_list"), (1.0, "detail")) == [] and state.idle == 5000
+    assert feed(state, (1.5, "move_list"), (3.0, "move_list"), (4.0, "detail")) == [(1, 2.0, 3.0)]  # 1.5 is late
+    assert feed(state, (5.0, "move_list")) == []
+    state.hasTimedOut = True
+    assert feed(state) == [(2, 5.0, 5.0)] and not state.exists
+    state.hasTimedOut = False
+    assert feed(state, (1.0, "move_list"), (2.0, "end")) == [(1, 1.0, 1.0)] and not state.exists
+
+
 def test_corners(spark):
     df = spark.createDataFrame([(1, 0, 0, "t", 0.5, [{"x": k, "y": k} for k in range(4)])], "frame_id int, box_no int, frag_no int, text string, confidence double, box array<struct<x:int,y:int>>")
     r = files.text_corners(df).select(F.col("first_corner.x").alias("a"), F.col("third_corner.x").alias("b")).first()
