@@ -85,22 +85,21 @@ def looked_up(known: dict, words: list[bytes], make: Callable[[list[bytes]], Ite
     Words of up to ``CACHED_BYTES`` are remembered, at most ``most`` of them; then the cache starts anew. So its memory is bounded in bytes,
     however long unbroken words are.
     """
-    found = list(map(known.get, words))
-    if None not in found:
-        return found
     new = list(set(words).difference(known))
+    if not new:
+        return list(map(known.__getitem__, words))
     made = dict(zip(new, make(new), strict=True))
     short = made if max(map(len, new)) <= CACHED_BYTES else {w: x for w, x in made.items() if len(w) <= CACHED_BYTES}
     if len(known) + len(short) > most:
+        made |= {w: known[w] for w in set(words).difference(made)}
         known.clear()
         if len(short) <= most:
             known.update(short)
-    elif short is made:
-        known.update(made)
+        return list(map(made.__getitem__, words))
+    known.update(short)
+    if short is made:
         return list(map(known.__getitem__, words))
-    else:
-        known.update(short)
-    return [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+    return [made[w] if x is None else x for w, x in zip(words, map(known.get, words), strict=True)]
 
 
 def summed(rows: DataFrame, make: Callable) -> np.ndarray | None:

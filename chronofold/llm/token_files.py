@@ -76,6 +76,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.cut = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])").sub
+        self.model = self.tokenizer.model
+        probe = ("a", "z", "word", "internationalisation", "qxzjvk")
+        self.plain = all([t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without the end id."""
@@ -84,16 +87,24 @@ class WordEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(looked_up(self.known, self.cut(b" ", raw.lower()).split(), self.learn, CACHE_WORDS))
 
-    def learn(self, words: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(words), 2000):
-            some = [w.decode() for w in words[at : at + 2000]]
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words. A word of ASCII letters is one piece to the tokenizer's pattern and goes to its model at once."""
+        model, out, rest = self.model.tokenize, [], []
+        for w in words:
+            if self.plain and w.isalpha():
+                out.append(array("I", [t.id for t in model(w.decode())]).tobytes())
+            else:
+                rest.append(len(out))
+                out.append(b"")
+        for at in range(0, len(rest), 2000):
+            some = [words[k].decode() for k in rest[at : at + 2000]]
             starts = np.cumsum([0, *(len(w) + 1 for w in some)])
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = array("I", found.ids).tobytes()
-            offsets = found.offsets
+            ids, offsets = array("I", found.ids).tobytes(), found.offsets
             cuts = (4 * np.searchsorted(np.fromiter(map(itemgetter(0), offsets), np.int64, len(offsets)), starts)).tolist()
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                yield ids[a:z]
+            for k, a, z in zip(rest[at : at + 2000], cuts[:-1], cuts[1:], strict=True):
+                out[k] = ids[a:z]
+        return out
 
 
 @lru_cache(2)
