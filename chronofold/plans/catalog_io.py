@@ -282,7 +282,7 @@ class PixelEngine:
         return [([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], f"t{v}", 0.75) for (x, y, w, h), v in levels if v < 255]
 
 
-@query("""SELECT s_suppkey AS frame_idx, box_no::INT AS box_no, 't' || (s_suppkey * 3 % 200 + box_no * 10)::VARCHAR AS text, 0.75 AS confidence FROM supplier, range(3) r(box_no)""")
+@query("""SELECT s_suppkey AS frame_idx, box_no::INT AS box_no, 't' || (s_suppkey * 3 % 200 + box_no * 10)::VARCHAR AS text, 0.75::DOUBLE AS confidence FROM supplier, range(3) r(box_no)""")
 def reader_texts(spark, d):
     """Pictures read in batches by a recognizer over an engine, passed on by a wrapper."""
 
@@ -335,7 +335,7 @@ def _painted_list(at: dict, codes: list[int]) -> np.ndarray:
     return image
 
 
-@query("""SELECT n_nationkey AS ord, k::INT + 1 AS row_no, ['alpha', 'gamma', 'delta', 'omega'][((n_nationkey + k * (1 + n_nationkey % 3)) % 4 + 1)::INT] AS raw, 'ノーマル' AS observed_type,
+@query("""SELECT n_nationkey::BIGINT AS ord, k::INT + 1 AS row_no, ['alpha', 'gamma', 'delta', 'omega'][((n_nationkey + k * (1 + n_nationkey % 3)) % 4 + 1)::INT] AS raw, 'ノーマル' AS observed_type,
  ['alpha', 'gamma', 'delta', 'omega'][((n_nationkey + k * (1 + n_nationkey % 3)) % 4 + 1)::INT] AS canonical, true AS sunk FROM nation, range(2) r(k)""")
 def rows_of_pictures(spark, d):
     """Rows found in pictures, read once for each look, matched with items, and shown to an observer."""
