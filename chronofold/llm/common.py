@@ -75,6 +75,22 @@ class Scratch:
                 fs.delete(at, True)
 
 
+#: Ids that are broadcast at most, 16 bytes each; more are joined with a shuffle, with the same result.
+BROADCAST_IDS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if its size, which is checked here, allows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose ``doc_id`` isn't in ``ids``; rows without an id stay. Few ids spare the texts a shuffle."""
+    return docs.join(small(scratch.save(ids.select(ID).distinct())), ID, "left_anti").select(*docs.columns)
+
+
+#: Tasks that sum partitions' arrays before the last one.
+FAN = 16
 #: The longest word, in bytes, that a worker's cache keeps.
 CACHED_BYTES = 64
 
@@ -102,10 +118,11 @@ def looked_up(known: dict, words: list[bytes], make: Callable[[list[bytes]], Ite
     return [made[w] if x is None else x for w, x in zip(words, map(known.get, words), strict=True)]
 
 
-def summed(rows: DataFrame, make: Callable) -> np.ndarray | None:
+def summed(rows: DataFrame, make: Callable, wide: bool = False) -> np.ndarray | None:
     """The sum, over all rows, of the arrays that ``make(batch)`` gives for an Arrow batch; None without rows.
 
     Partitions are summed where they are, their sums in one task, in an order that doesn't depend on the tasks'; one array comes to the driver.
+    With ``wide`` (for arrays of many numbers), ``FAN`` tasks sum some partitions' arrays each before.
     """
 
     def run(batches):
@@ -123,7 +140,11 @@ def summed(rows: DataFrame, make: Callable) -> np.ndarray | None:
             part = TaskContext.get().partitionId() if part is None else part
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
-    got = rows.mapInArrow(run, "part int, sums binary").repartition(1).mapInArrow(add, "part int, sums binary").first()
+    parted = rows.mapInArrow(run, "part int, sums binary")
+    if wide:
+        some = F.pmod("part", F.lit(FAN))
+        parted = parted.repartition(FAN, some).mapInArrow(add, "part int, sums binary")
+    got = parted.repartition(1).mapInArrow(add, "part int, sums binary").first()
     return np.frombuffer(got["sums"], float) if got else None
 
 

@@ -179,7 +179,7 @@ def _solve(rows: DataFrame, prior: float) -> QualityModel:
         z = features(x[fold > 0])
         return np.concatenate([(z.T @ z).ravel(), z.T @ y[fold > 0], [len(z)]])
 
-    sums, d = summed(rows, normal), FEATURES + 1
+    sums, d = summed(rows, normal, wide=True), FEATURES + 1
     gram, right, n = sums[: d * d].reshape(d, d), sums[d * d : -1], sums[-1]
     weights = np.linalg.solve(gram + RIDGE * max(n, 1) / d * np.eye(d), right)
 
