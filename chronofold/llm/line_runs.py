@@ -99,6 +99,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines_of(docs)
     rank = _ranked(lines, ["h", "g"], scratch)
     level = scratch.save(lines.join(rank, ["h", "g"]).groupBy(*PLACE).agg(F.first("rank").alias("r"), F.first("words").alias("words")))
+    scratch.drop(rank)
     runs = scratch.save(level.select(*PLACE, "words").repartition("doc", "mix").sortWithinPartitions(*PLACE).mapInArrow(least_runs(min_words), "doc long, mix long, line int, size int, level int"))
     most = runs.agg(F.max("level")).first()[0]
     levels = [level.select(*PLACE, "r", F.lit(0).alias("level"))]
@@ -107,11 +108,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = here.join(on, PLACE)
         rank = _ranked(pairs, ["r", "r2"], scratch)
         levels.append(scratch.save(pairs.join(rank, ["r", "r2"]).select(*PLACE, F.col("rank").alias("r"), F.lit(k + 1).alias("level"))))
+        scratch.drop(rank)
     ranks = reduce(DataFrame.unionByName, levels)
     # a run's lines are told by the ranks of its first and of its last 2**level lines
     tail = ranks.select("doc", "mix", "level", F.col("line").alias("at"), F.col("r").alias("r2"))
     told = runs.join(ranks, [*PLACE, "level"]).withColumn("at", F.col("line") + F.col("size") - F.expr("shiftleft(1, level)")).join(tail, ["doc", "mix", "level", "at"])
     told = scratch.save(told.select(*PLACE, "size", "level", "r", "r2"))
+    scratch.drop(level, runs, *levels[1:])
     same = ["level", "size", "r", "r2"]
     place = F.struct(*PLACE)
     # written first: a join of tables, unlike one with an aggregate of the same shuffle, lets Spark split a run that many documents share
