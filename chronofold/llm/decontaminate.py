@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ID, TEXT, Scratch, looked_up, texts
+from .common import ID, TEXT, Scratch, looked_up, texts, without
 
 WINDOW = 5
 #: Shares of an item's windows that must be found, and of its slots that must be consistent.
@@ -302,17 +302,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(ID, table and table.value, vocabulary.value)(batches)
 
-    small = n <= 100_000  # windows, of at most WINDOW slots of 64 bytes each
+    few = n <= 100_000  # windows, of at most WINDOW slots of 64 bytes each
     theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} {ROWS}")
     # one row for each window of an item that a document has, with its places in both
     places = ours.select(*item, "h", F.transform("item_occ", lambda o: o["at"]).alias("ats")).join(total, item)
     pair = [ID, *item, "n_windows"]
-    hits = theirs.join(F.broadcast(places) if small else places, "h").groupBy(*pair, "h").agg(occurrences.alias("occ"), F.first("ats").alias("ats"))
+    hits = theirs.join(F.broadcast(places) if few else places, "h").groupBy(*pair, "h").agg(occurrences.alias("occ"), F.first("ats").alias("ats"))
     found = F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long")
     many = hits.groupBy(*pair).agg(found.alias("n_found"), F.collect_list(F.struct("h", "occ")).alias("found"))
     many = many.filter(F.col("n_found") >= F.col("n_windows") * coverage)
     theirs_of = ours.groupBy(*item).agg(F.map_from_entries(F.collect_list(F.struct("h", "item_occ"))).alias("places"))
-    both = many.join(F.broadcast(theirs_of) if small else theirs_of, item)
+    both = many.join(F.broadcast(theirs_of) if few else theirs_of, item)
     laid = F.transform("found", lambda f: F.struct(F.col("places")[f["h"]].alias("item_occ"), f["occ"].alias("occ")))
     pairs = both.select(ID, "item_id", "n_windows", F.least("n_found", "n_windows").alias("n_found"), laid.alias("hits"))
     judged = pairs.mapInArrow(_judge(coverage), f"{ID} long, item_id long, n_windows long, n_found long, slot_consistency double, same_values boolean")
@@ -323,4 +323,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have no benchmark item, with their columns; rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark).select(ID).distinct(), ID, "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark), Scratch(docs.sparkSession, "contaminated"))

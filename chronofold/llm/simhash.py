@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ID, TEXT, Scratch, texts
+from .common import ID, Scratch, texts, without
 from .components import components
 
 BITS = 64
@@ -297,6 +297,5 @@ def component_ids(points: DataFrame, roots: DataFrame, key: str, scratch: Scratc
 
 def first_of_each(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is its component's smallest, with their columns; rows without an id, and rows that share that id, stay."""
-    found = near_duplicates(docs, radius, size)
-    rest = found.filter(F.col("component_id") != F.col(ID)).select(ID).distinct()
-    return docs.join(rest, ID, "left_anti").select(*docs.columns)
+    rest = near_duplicates(docs, radius, size).filter(F.col("component_id") != F.col(ID))
+    return without(docs, rest, Scratch(docs.sparkSession, "copies"))

@@ -244,3 +244,25 @@ def test_voters_look_at_the_densest_words():
     shouted = voters.names.index("shouted")
     assert shouted in voters.fire("you IDIOT there")[0] and shouted not in voters.fire("a SCRAPBOOK of crap")[0]
     assert toxicity.densest([0, 1, 2, 4000, 4001, 8002], 4000) == 3
+
+
+# ---- odd tables
+
+
+def test_labels_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"words {k} " * 9 + ("idiot " * 3 if k % 4 == 0 else ""), "l") for k in range(60)], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), int(k % 4 == 0), "t", 1.0, "v", b"x") for k in range(60)], "doc_id long, quality int, toxic int, text string, y double, votes string, words binary")
+    for module, target in ((quality, "quality"), (toxicity, "toxic")):
+        got = module.classify(docs, labels).collect()
+        plain = module.classify(docs, labels.select("doc_id", target)).collect()
+        assert len(got) == 60 and {r["doc_id"]: r["predicted"] for r in got} == {r["doc_id"]: r["predicted"] for r in plain}
+
+
+def test_filters_on_empty_tables(spark):
+    from chronofold.llm import decontaminate, near_copies
+
+    docs = spark.createDataFrame([], "doc_id long, text string, component_id int, fp string")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for out in (simhash.first_of_each(docs), near_copies.first_of_near_copies(docs), decontaminate.drop_contaminated(docs, bench), quality.keep_good(docs, quality.fit(docs, labels)), mixing.sample_rows(docs.selectExpr("*", "'a' AS source", "'b' AS lang"))):
+        assert out.count() == 0 and out.columns[:4] == docs.columns
