@@ -95,6 +95,17 @@ FAN = 16
 CACHED_BYTES = 64
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_of(name: str) -> dict:
+    """This worker's cache of that name. Those of other operators, whose stages are over, are emptied: a worker holds one at a time."""
+    for other, held in _caches.items():
+        if other != name and held:
+            held.clear()
+    return _caches.setdefault(name, {})
+
+
 def looked_up(known: dict, words: list[bytes], make: Callable[[list[bytes]], Iterable], most: int) -> list:
     """The value of each word: from ``known``, or by ``make`` for the distinct words that it lacks.
 

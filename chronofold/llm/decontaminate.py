@@ -31,7 +31,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ID, TEXT, Scratch, looked_up, texts, without
+from .common import ID, TEXT, Scratch, cache_of, looked_up, texts, without
 
 WINDOW = 5
 #: Shares of an item's windows that must be found, and of its slots that must be consistent.
@@ -131,12 +130,6 @@ def _entries(words: list[bytes], vocabulary: Bits | None) -> list[bytes]:
     return [_pack(h, f | _STRANGE if s else f) for (h, f), s in zip(made, strange.tolist(), strict=True)]
 
 
-@lru_cache(4)
-def _cache(tag: int) -> dict[bytes, bytes]:
-    """Entries that a worker remembers, for each vocabulary."""
-    return {}
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -159,7 +152,7 @@ class Form:
 def template(text: str | None, vocabulary: Bits | None = None) -> list[Form]:
     """The template's plain form, and its open form where that is another one."""
     words = (text or "").encode().replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
-    entries = looked_up(_cache(vocabulary.tag if vocabulary else 0), words, lambda new: _entries(new, vocabulary), CACHE_WORDS)
+    entries = looked_up(cache_of(f"template {vocabulary.tag if vocabulary else 0}"), words, lambda new: _entries(new, vocabulary), CACHE_WORDS)
     all_ = np.frombuffer(b"".join(entries), ENTRY)
     flags = all_["flags"]
     first = np.append(True, (flags[:-1] & _STOP) > 0)[: len(flags)]  # of a sentence

@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, looked_up, parts, texts
+from .common import ID, TEXT, cache_of, looked_up, parts, texts
 
 EXACT, LANES, RUN = 4, 128, 3
 #: Words whose hashes a worker remembers; when full, it starts anew.
 CACHE_WORDS = 100_000
-_words: dict[bytes, bytes] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,7 +41,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_digest
 
-    return np.frombuffer(b"".join(looked_up(_words, words, lambda new: map(xxh64_digest, new), CACHE_WORDS)), "<u8")
+    return np.frombuffer(b"".join(looked_up(cache_of("runs"), words, lambda new: map(xxh64_digest, new), CACHE_WORDS)), "<u8")
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:

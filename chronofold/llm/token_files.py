@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, TEXT, Scratch, looked_up, parts, texts
+from .common import ID, TEXT, Scratch, cache_of, looked_up, parts, texts
 
 END_ID = 1
 SEGMENT_BYTES = 4 << 20
@@ -74,7 +74,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.name = f"ids {path}"
         self.cut = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])").sub
         self.model = self.tokenizer.model
         probe = ("a", "z", "word", "internationalisation", "qxzjvk")
@@ -85,7 +85,7 @@ class WordEncoder:
         raw = text.encode()
         if b"<|" in raw:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(looked_up(self.known, self.cut(b" ", raw.lower()).split(), self.learn, CACHE_WORDS))
+        return b"".join(looked_up(cache_of(self.name), self.cut(b" ", raw.lower()).split(), self.learn, CACHE_WORDS))
 
     def learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of words. A word of ASCII letters is one piece to the tokenizer's pattern and goes to its model at once."""
@@ -109,7 +109,7 @@ class WordEncoder:
 
 @lru_cache(2)
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, whose cache outlives a task."""
+    """One for each Python worker; its cache of words outlives a task, but not the stage (``common.cache_of``)."""
     return WordEncoder(path)
 
 
