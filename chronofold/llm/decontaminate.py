@@ -46,7 +46,7 @@ COVERAGE, CONSISTENT = 0.6, 0.8
 MOST_WINDOWS = 1 << 22
 #: Bits of the tables of windows and of words, for each entry, and at most (32 MB).
 ENTRY_BITS, MOST_BITS = 512, 1 << 28
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 # Words that are units behind a number; number words; words that are no names though they begin sentences.
 UNITS = (

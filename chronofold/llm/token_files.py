@@ -41,7 +41,7 @@ SEGMENT_BYTES = 4 << 20
 #: that isn't among them is encoded just as well: training decides on sizes, never on content.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8000, 64 << 10
 #: Words of up to ``common.CACHED_BYTES`` that a worker remembers the ids of; when full, it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 
 SEGMENTS = T.StructType(
     [
