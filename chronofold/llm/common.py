@@ -39,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The path of a folder in the shared one that no other call has; what is written there stays."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 class Scratch:
     """Tables in the shared folder that cut a plan's lineage; each survives the loss of executors.
 

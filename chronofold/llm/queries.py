@@ -78,6 +78,12 @@ def op10_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op13_co_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .co_buckets import co_bucket
+
+    return co_bucket(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

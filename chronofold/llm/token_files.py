@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, TEXT, Scratch, cache_of, looked_up, parts, texts
+from .common import ID, TEXT, cache_of, looked_up, new_folder, parts, texts
 
 END_ID = 1
 SEGMENT_BYTES = 4 << 20
@@ -257,7 +257,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | No
 
 
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write ``docs`` to ``path`` (by default a new folder in the shared one) and read the index back from the files."""
+    """Write ``docs`` to ``path`` (by default a new folder in the shared one, which stays) and read the index back from the files."""
     spark = docs.sparkSession
-    path = write_token_files(docs, path or Scratch(spark, "tokens").path(), tokenizer)
+    path = write_token_files(docs, path or new_folder(spark, "tokens"), tokenizer)
     return read_token_index(spark, path)
