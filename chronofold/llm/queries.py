@@ -78,6 +78,12 @@ def op10_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_products import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op13_co_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .co_buckets import co_bucket
 
@@ -90,5 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import mix_sql
+    from .top_products import top_products_sql
 
-    return {"op2_mixing": mix_sql()}
+    return {"op2_mixing": mix_sql(), "op11_top_products": top_products_sql()}
