@@ -84,6 +84,12 @@ def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiered_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_co_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .co_buckets import co_bucket
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import mix_sql
+    from .tiered_search import search_sql
     from .top_products import top_products_sql
 
-    return {"op2_mixing": mix_sql(), "op11_top_products": top_products_sql()}
+    return {"op2_mixing": mix_sql(), "op11_top_products": top_products_sql(), "op12_tiered_search": search_sql()}
