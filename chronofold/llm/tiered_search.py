@@ -5,9 +5,10 @@ each document's postings. Its upper tiers hold the postings of the highest impac
 of the term's postings (``TIERS``), or all of a term that has few. A tier's *residual bound* of a term is the highest impact that it lacks.
 
 Items are first ranked on the first tier: the sum over the postings there is a lower bound of a document's score, and with the residual bounds
-of the item's other terms an upper one. If the k-th best lower bound is above what the residual bounds of all the item's terms add up to, no
-document that the tier doesn't know can be among the best; those whose upper bound reaches the k-th best lower bound are then scored from all
-their postings, which is exact. Items without such a proof fall through to the next tier, and at last to all postings, where sums are exact.
+of the item's other terms an upper one. The documents that lead there are scored from all their postings; the k-th best of these scores is the
+item's threshold. If it is above what the residual bounds of all the item's terms add up to, no document that the tier doesn't know can be
+among the best; those whose upper bound reaches the threshold are then scored from all their postings, which is exact. Items without such a
+proof fall through to the next tier, and at last to all postings.
 
 Items come in blocks of about ``ENTRIES`` terms; a block's terms, with their weights, cuts and bounds, are all that is broadcast or comes to the
 driver, and their number doesn't depend on the input. Documents are scored where their postings lie, many at once, and a task gives at most k
@@ -264,12 +265,16 @@ def _block(docs: DataFrame, asked: pa.Table, k: int, scratch: Scratch, proofs: l
         shared.destroy()
 
     for tier, bound in zip(tiers, rest, strict=True):
+        if not left.any():
+            break
         here = items.only(left)
         shared = sc.broadcast(here)
-        kth = _ranked(tier, shared, k, None).filter(F.col("rank") == k).select("item", "score").toArrow()
+        leading = scratch.save(_ranked(tier, shared, k, None).select(ID).distinct())
+        kth = _ranked(postings.join(small(leading), ID, "left_semi"), shared, k, whole).filter(F.col("rank") == k).select("item", "score").toArrow()
         least = np.full(len(names), -1, np.int64)
         least[kth.column("item").to_numpy()] = kth.column("score").to_numpy()
         shared.destroy()
+        scratch.drop(leading)
         unknown = here.sums(bound)
         proven = left & (least > unknown)
         if proven.any():
