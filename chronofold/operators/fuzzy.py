@@ -1,18 +1,23 @@
 """Approximate joins of observed texts with dimension tables.
 
-The dimension side is compared with every text, so it must be small: its size is checked, and up to ``BROADCAST_ROWS`` rows it is
-broadcast; a larger one is joined in slices of that size, each reduced to its best ``k`` before the slices meet. Distinct texts are
-matched once and joined back.
+Distinct texts are matched once and joined back. The dimension becomes an index of its names (``name_index``), which answers each text exactly and
+compares it only with names that can be among the best: no pairs are formed, shuffled or ranked. An index holds up to ``BROADCAST_ROWS`` rows,
+which is checked; a larger dimension becomes several, each giving its best ``k`` before these meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions import similarity, text
+from ..functions import text
+from . import name_index
 
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
 #: What a matching attribute adds to an item's rank (never to its score); the scores that accept an item, an entity, and an entity unseen.
@@ -20,13 +25,13 @@ BONUS, ACCEPT_ITEM, ACCEPT_ENTITY, AUTO_ENTITY = 0.15, 0.7, 0.7, 0.85
 
 
 def slices(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """``dim`` in parts that are small enough to broadcast, in rows and in bytes of names."""
+    """``dim`` in parts that are small enough for one index, in rows and in bytes of names."""
     n, held = dim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()
     if n <= rows and held <= size:
-        return [F.broadcast(dim)]
+        return [dim]
     many = max(-(-n // rows), -(-held // size)) * 2
     part = F.pmod(F.xxhash64("id"), F.lit(many))
-    return [F.broadcast(dim.filter(part == k)) for k in range(many)]
+    return [dim.filter(part == k) for k in range(many)]
 
 
 def _best(pairs: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -34,6 +39,19 @@ def _best(pairs: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _probed(texts: DataFrame, index, answer: Callable, schema: str) -> DataFrame:
+    """The rows that ``answer(index, *row)`` gives for each row of ``texts``; the index is broadcast once."""
+    held = texts.sparkSession.sparkContext.broadcast(index)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in answer(held.value, *row)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    return texts.mapInArrow(run, schema)
+
+
 def match_items(observed: DataFrame, dim: DataFrame, k: int = 3, ascii_only: bool = False, bonus: float = BONUS) -> DataFrame:
     """Top ``k`` items for each distinct (``raw``, ``observed_type``): ranked by edit similarity plus ``bonus`` where the types agree, ties by
     the dimension's order; ``score`` is without the bonus. Empty texts match nothing.
@@ -41,18 +59,23 @@ def match_items(observed: DataFrame, dim: DataFrame, k: int = 3, ascii_only: boo
     ``dim``: ``id``, ``name``, ``type``. Returns ``raw``, ``observed_type``, ``rank``, ``id``, ``name``, ``score``.
     """
     texts = observed.select("raw", "observed_type").distinct().filter(F.length("raw") > 0).withColumn("norm", text.kana_fold(F.col("raw"), ascii_only))
-    dim = dim.select("id", "name", "type", text.kana_fold(F.col("name"), ascii_only).alias("norm_name"))
+    dim = dim.select("id", "name", text.kana_fold(F.col("name"), ascii_only).alias("norm_name"), "type").filter("name is not null")
     keys = ["raw", "observed_type"]
-    order = [F.desc("boosted"), "id"]
+
+    def answer(index: name_index.Items, raw: str, kind: str | None, norm: str) -> list[tuple]:
+        return [(raw, kind, r + 1, *found) for r, found in enumerate(index.best(norm, kind, k, bonus))]
 
     def part(d: DataFrame) -> DataFrame:
-        pairs = texts.crossJoin(d).withColumn("score", similarity.edit_similarity(F.col("norm"), F.col("norm_name")))
-        boosted = F.col("score") + F.when(F.col("type") == F.col("observed_type"), bonus).otherwise(0.0)
-        return _best(pairs.withColumn("boosted", boosted), keys, order, k)
+        index = name_index.Items([tuple(r) for r in d.collect()])  # one slice, of checked size
+        return _probed(texts, index, answer, "raw string, observed_type string, rank int, id long, name string, score double")
 
     parts = [part(d) for d in slices(dim)]
-    out = parts[0] if len(parts) == 1 else _best(reduce(DataFrame.unionByName, parts).drop("rank"), keys, order, k)
-    return out.select(*keys, "rank", "id", "name", "score")
+    out = parts[0]
+    if len(parts) > 1:
+        kinds = dim.select("id", "type")
+        boosted = F.col("score") + F.when(F.col("type") == F.col("observed_type"), bonus).otherwise(0.0)
+        out = _best(reduce(DataFrame.unionByName, parts).drop("rank").join(kinds, "id").withColumn("boosted", boosted), keys, [F.desc("boosted"), "id"], k)
+    return out.select(*keys, F.col("rank").cast("int").alias("rank"), F.col("id").cast(dim.schema["id"].dataType).alias("id"), "name", "score")
 
 
 def canonical_texts(observed: DataFrame, dim: DataFrame, accept: float = ACCEPT_ITEM, ascii_only: bool = False) -> DataFrame:
@@ -64,28 +87,22 @@ def canonical_texts(observed: DataFrame, dim: DataFrame, accept: float = ACCEPT_
 
 def match_entities(observed: DataFrame, dim: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
     """Top ``k`` entities for each distinct ``raw``: the ratio of the whole names, or of the name's base and the text's beginning where the
-    name has no form or its form is in the text; ties by the whole ratio, then the dimension's order.
-
-    With ``least``, pairs that can't reach it are left out before the ratio is computed, by a bound that Spark evaluates itself.
+    name has no form or its form is in the text; ties by the whole ratio, then the dimension's order. With ``least``, of those that reach it.
     """
     texts = observed.select("raw").distinct().filter(F.length("raw") > 0).withColumn("norm", text.entity_fold(F.col("raw")))
     base, form = text.base_and_form(F.col("name"))
-    dim = dim.select("id", "name", text.kana_fold(F.col("name")).alias("norm_name"), text.kana_fold(base).alias("base"), text.kana_fold(form).alias("form"))
-    order = [F.desc("score"), F.desc("whole"), "id"]
+    dim = dim.select("id", "name", text.kana_fold(F.col("name")).alias("norm_name"), text.kana_fold(base).alias("base"), text.kana_fold(form).alias("form")).filter("name is not null")
+
+    def answer(index: name_index.Entities, raw: str, norm: str) -> list[tuple]:
+        return [(raw, r + 1, *found) for r, found in enumerate(index.best(norm, k, least))]
 
     def part(d: DataFrame) -> DataFrame:
-        pairs = texts.crossJoin(d).withColumn("head", F.substring(F.col("norm"), F.lit(1), F.length("base")))
-        gate = (F.col("form") == "") | F.contains("norm", F.col("form"))
-        if least is not None:
-            bound = F.greatest(similarity.sequence_bound(F.col("norm"), F.col("norm_name")), F.when(gate, similarity.sequence_bound(F.col("base"), F.col("head"))).otherwise(0.0))
-            pairs = pairs.filter(bound >= least)
-        pairs = pairs.withColumn("whole", similarity.sequence_ratio("norm", "norm_name")).withColumn("prefix", F.when(F.col("base") == "", 0.0).otherwise(similarity.sequence_ratio("base", "head")))
-        pairs = pairs.withColumn("score", F.when(gate, F.greatest("whole", "prefix")).otherwise(F.col("whole")))
-        return _best(pairs if least is None else pairs.filter(F.col("score") >= least), ["raw"], order, k)
+        index = name_index.Entities([tuple(r) for r in d.collect()])  # one slice, of checked size
+        return _probed(texts, index, answer, "raw string, rank int, id long, name string, score double, whole double")
 
     parts = [part(d) for d in slices(dim)]
-    out = parts[0] if len(parts) == 1 else _best(reduce(DataFrame.unionByName, parts).drop("rank"), ["raw"], order, k)
-    return out.select("raw", "rank", "id", "name", "score", "whole")
+    out = parts[0] if len(parts) == 1 else _best(reduce(DataFrame.unionByName, parts).drop("rank"), ["raw"], [F.desc("score"), F.desc("whole"), "id"], k)
+    return out.select("raw", F.col("rank").cast("int").alias("rank"), F.col("id").cast(dim.schema["id"].dataType).alias("id"), "name", "score", "whole")
 
 
 def entities_of_fragments(fragments: DataFrame, dim: DataFrame, k: int = 5) -> DataFrame:
