@@ -147,3 +147,39 @@ def learn_templates(frames: DataFrame, limit: int = 32, most: float = TEMPLATE_D
         return pd.DataFrame({"group_id": pdf["group_id"], "ts": pdf["ts"], "kind": kinds, "by_template": by_template, "learnt": learnt})
 
     return frames.groupBy("group_id").applyInPandas(fold, "group_id string, ts double, kind string, by_template boolean, learnt boolean")
+
+
+#: Seconds whose frames one task looks through for templates.
+TEMPLATE_SLOT = 600.0
+TEMPLATES = "group_id string, ts double, kind string, thumb array<int>"
+
+
+def _remembered(rows: pd.DataFrame, known: pd.DataFrame, limit: int, most: float) -> pd.DataFrame:
+    """Rows in order that are no nearer than ``most`` to a known one of their kind, each of which is known from then on."""
+    store: dict[str, list[np.ndarray]] = {}
+    for kind, thumb in zip(known["kind"], known["thumb"], strict=True):
+        store.setdefault(kind, []).append(np.asarray(thumb, np.int32))
+    rows, new = rows.sort_values("ts", kind="stable"), []
+    for k, (kind, thumb) in enumerate(zip(rows["kind"], rows["thumb"], strict=True)):
+        one, own = np.asarray(thumb, np.int32), store.setdefault(kind, [])
+        if len(own) < limit and all(len(one) != len(t) or np.abs(one - t).mean() >= most for t in own):
+            own.append(one)
+            new.append(k)
+    return rows.iloc[new][["group_id", "ts", "kind", "thumb"]]
+
+
+def new_templates(read: DataFrame, known: DataFrame, limit: int = 32, most: float = TEMPLATE_DISTANCE, slot: float = TEMPLATE_SLOT) -> DataFrame:
+    """Templates (``TEMPLATES``) that frames which were read (``group_id``, ``ts``, ``kind``, ``thumb``) add to ``known`` ones of their groups.
+
+    A recording's frames are looked through by slots of time, each in a task of its own; what these find, at most ``limit`` a kind and slot,
+    is taken up in order by the recording.
+    """
+    read = read.select("group_id", F.col("ts").cast("double").alias("ts"), "kind", F.col("thumb").cast("array<int>").alias("thumb")).filter("kind is not null and thumb is not null")
+    none = pd.DataFrame({"kind": [], "thumb": []})
+    found = read.groupBy("group_id", F.floor(F.col("ts") / slot).alias("slot")).applyInPandas(lambda _, rows: _remembered(rows, none, limit, most), TEMPLATES)
+    return found.groupBy("group_id").cogroup(known.select("group_id", "ts", "kind", "thumb").groupBy("group_id")).applyInPandas(lambda rows, old: _remembered(rows, old.sort_values("ts", kind="stable"), limit, most), TEMPLATES)
+
+
+def ready(templates: DataFrame) -> bool:
+    """Whether templates can tell frames: only once there are ones of a detail and of a list."""
+    return templates.filter("kind in ('detail', 'move_list')").select("kind").distinct().count() == 2

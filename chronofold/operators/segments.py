@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import KEY, SLOT, keyed, scan, time_slot
 
-def segments(timeline: DataFrame) -> DataFrame:
+
+def segments(timeline: DataFrame, slot: float = SLOT) -> DataFrame:
     """From ``group_id``, ``ts``, ``ord`` (breaks ties), ``kind``, ``box`` (an accepted entity read, or null) the segments that have list frames.
 
     A segment begins where the kind becomes ``detail``; frames before the first are segment 0. Its ``entity`` is the latest box read in the
     segment before it, or else what a segment before without list frames had. Returns ``group_id``, ``seg``, ``segment_no``, ``entity``,
     ``detail_ts`` (null without an entity), ``list_start``, ``list_end``, ``list_frames``.
     """
-    w = Window.partitionBy("group_id").orderBy("ts", "ord")
-    entry = (F.col("kind") == "detail") & (F.lag("kind", 1, "other").over(w) != "detail")
-    marked = timeline.withColumn("entry", entry).withColumn("seg", F.sum(F.col("entry").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["ts", "ord"]
+    seen = scan(keyed(timeline, time_slot(F.col("ts"), slot)), order, before={"_kind": F.col("kind")})
+    entry = F.coalesce((F.col("kind") == "detail") & (F.coalesce("_kind", F.lit("other")) != "detail"), F.lit(False))
+    marked = scan(seen.withColumn("entry", entry), order, total={"seg": F.col("entry").cast("int")}).withColumn("seg", F.col("seg") + F.col("entry").cast("int")).drop(KEY)
     is_list = F.col("kind") == "move_list"
     each = marked.groupBy("group_id", "seg").agg(
         F.min(F.when(F.col("entry"), F.col("ts"))).alias("entry_ts"), F.min(F.when(is_list, F.col("ts"))).alias("list_start"), F.max(F.when(is_list, F.col("ts"))).alias("list_end"), F.count_if(is_list).alias("list_frames"),

@@ -1,4 +1,4 @@
-"""Frames to a classified timeline. A timeline is one sequence by ``group_id``; windows shuffle on it once and share the sort."""
+"""Frames to a classified timeline. A timeline is one sequence by ``group_id``, scanned in slots of time (``scan``), so a long recording is many tasks'."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, TimestampNTZType, TimestampType
 
 from ..functions.similarity import mean_abs_diff
+from .scan import KEY, SLOT, keyed, scan, time_slot
 
+#: Files, and frames of a file, that are one slot of a scan.
+FILES, FRAMES = 4096, 1 << 18
 FALLBACK_FPS = 30.0
 SAME_FRAME = 2.0
 DARK = 40.0
@@ -63,13 +66,14 @@ def in_range(frames: DataFrame, start: float | None = None, end: float | None =
 
 def offsets(videos: DataFrame) -> DataFrame:
     """``videos`` (``group_id``, ``video_seq``, ``frame_count``, ``src_fps``) with ``offset``, seconds before each on the joined timeline."""
-    w = Window.partitionBy("group_id").orderBy("video_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return videos.withColumn("offset", F.coalesce(F.sum(F.col("frame_count") / safe_fps(F.col("src_fps"))).over(w), F.lit(0.0)))
+    files = keyed(videos, F.floor(F.col("video_seq") / FILES))
+    return scan(files, ["video_seq"], total={"offset": F.col("frame_count") / safe_fps(F.col("src_fps"))}).drop(KEY)
 
 
-def number_frames(frames: DataFrame) -> DataFrame:
-    """A running frame number over a group's files, from 0."""
-    return frames.withColumn("global_idx", F.row_number().over(Window.partitionBy("group_id").orderBy("video_seq", "frame_idx")) - 1)
+def number_frames(frames: DataFrame, files: int = 1) -> DataFrame:
+    """A running frame number over a group's files, from 0. ``files``: how many of them are one slot; a long file is several."""
+    slot = F.struct(F.floor(F.col("video_seq") / files).alias("files"), (F.floor(F.col("frame_idx") / FRAMES) if files == 1 else F.lit(0)).alias("part"))
+    return scan(keyed(frames, slot), ["video_seq", "frame_idx"], total={"global_idx": F.lit(1)}).drop(KEY)
 
 
 def group_videos(videos: DataFrame) -> DataFrame:
@@ -115,9 +119,9 @@ def resolved(width: int, height: int, base: dict = LAYOUT) -> dict:
     return out
 
 
-def _in_order(frames: DataFrame):
-    """A group's frames by time; those of one time by ``ord``, where there is one."""
-    return Window.partitionBy("group_id").orderBy("ts", *(c for c in ("ord",) if c in frames.columns))
+def _order(frames: DataFrame) -> list[str]:
+    """A group's frames go by time; those of one time by ``ord``, where there is one."""
+    return ["ts", *(c for c in ("ord",) if c in frames.columns)]
 
 
 def similar(now: Column, before: Column, most: float = SAME_FRAME) -> Column:
@@ -125,23 +129,28 @@ def similar(now: Column, before: Column, most: float = SAME_FRAME) -> Column:
     return F.coalesce(mean_abs_diff(now, before) < most, F.lit(False))
 
 
-def changed_headers(frames: DataFrame) -> DataFrame:
+def _same_headers(frames: DataFrame, slot: float) -> DataFrame:
+    """``keyed`` frames, with ``same``: whether the header is that of the frame before."""
+    seen = scan(keyed(frames, time_slot(F.col("ts"), slot)), _order(frames), before={"_header": F.col("header_thumb")})
+    return seen.withColumn("same", similar(F.col("header_thumb"), F.col("_header"))).drop("_header")
+
+
+def changed_headers(frames: DataFrame, slot: float = SLOT) -> DataFrame:
     """Marks (``changed``) frames whose header isn't that of the frame before: those whose kind must be read."""
-    return frames.withColumn("changed", ~similar(F.col("header_thumb"), F.lag("header_thumb").over(_in_order(frames))))
+    return _same_headers(frames, slot).withColumn("changed", ~F.col("same")).drop("same", KEY)
 
 
-def carry_kind(frames: DataFrame) -> DataFrame:
+def carry_kind(frames: DataFrame, slot: float = SLOT) -> DataFrame:
     """``kind`` of each frame: what a reader says (``read_kind``), or the kind before while the header stays the same from frame to frame."""
-    w = _in_order(frames)
-    same = similar(F.col("header_thumb"), F.lag("header_thumb").over(w))
-    return frames.withColumn("same", same).withColumn("kind", F.last(F.when(~F.col("same"), F.col("read_kind")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("same")
+    return scan(_same_headers(frames, slot), _order(frames), last={"kind": F.when(~F.col("same"), F.col("read_kind"))}).drop("same", KEY)
 
 
-def to_read(frames: DataFrame) -> DataFrame:
+def to_read(frames: DataFrame, slot: float = SLOT) -> DataFrame:
     """Marks for the costly readers. ``vote``: list frames whose rows need reading (not a still after a list frame). ``box_read``: bright other frames whose box changed since the last bright other frame in a row."""
-    w = _in_order(frames)
-    before = F.lag("kind").over(w)
-    still = (before == "move_list") & similar(F.col("slot_thumb"), F.lag("slot_thumb").over(w))
+    before = {f"_{c}": F.col(c) for c in ("kind", "slot_thumb", "box_thumb", "mean_luma")}
+    seen = scan(keyed(frames, time_slot(F.col("ts"), slot)), _order(frames), before=before)
+    still = (F.col("_kind") == "move_list") & similar(F.col("slot_thumb"), F.col("_slot_thumb"))
     bright = (F.col("kind") == "other") & (F.col("mean_luma") > DARK)
-    was_bright = F.coalesce((before == "other") & (F.lag("mean_luma").over(w) > DARK), F.lit(False))
-    return frames.withColumns({"vote": (F.col("kind") == "move_list") & ~F.coalesce(still, F.lit(False)), "box_read": bright & ~(was_bright & similar(F.col("box_thumb"), F.lag("box_thumb").over(w)))})
+    was_bright = F.coalesce((F.col("_kind") == "other") & (F.col("_mean_luma") > DARK), F.lit(False))
+    marks = {"vote": (F.col("kind") == "move_list") & ~F.coalesce(still, F.lit(False)), "box_read": bright & ~(was_bright & similar(F.col("box_thumb"), F.col("_box_thumb")))}
+    return seen.withColumns(marks).drop(*before, KEY)

@@ -37,6 +37,10 @@ MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 SECONDS = "epoch_us(ts) / 1000000.0"
 
 
+#: Events are few in an hour: the slots of their scans are this many seconds.
+SLOT = 14 * 86_400.0
+
+
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """Events as frames; a third of them read the entity of their box."""
     kind = F.when(F.col("event_type") == "click", "detail").when(F.col("event_type").isin("view", "signup"), "move_list").otherwise("other")
@@ -60,7 +64,7 @@ segs AS (SELECT group_id, seg, row_number() OVER (PARTITION BY group_id ORDER BY
 @query(f"WITH {MARKED} SELECT group_id, seg::BIGINT AS seg, segment_no::BIGINT AS segment_no, entity, detail_ts, list_start, list_end, list_frames FROM segs")
 def timeline_segments(spark, d):
     """The state machine as windows."""
-    out = segments.segments(frames(spark, d))
+    out = segments.segments(frames(spark, d), SLOT)
     return out.withColumns({"seg": F.col("seg").cast("long"), "segment_no": F.col("segment_no").cast("long")})
 
 
@@ -99,7 +103,7 @@ def frame_numbers(spark, d):
     """A running number over files. Places that two frames share are left out."""
     f = t(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("group_id"), F.col("l_orderkey").alias("video_seq"), F.col("l_linenumber").alias("frame_idx"), "l_partkey").count()
     one = f.groupBy("group_id", "video_seq", "frame_idx").agg(F.count("*").alias("n"))
-    return timeline.number_frames(f.drop("l_partkey", "count")).join(one, ["group_id", "video_seq", "frame_idx"]).filter("n = 1").select("group_id", "video_seq", "frame_idx", F.col("global_idx").cast("long").alias("global_idx"))
+    return timeline.number_frames(f.drop("l_partkey", "count"), 20_000).join(one, ["group_id", "video_seq", "frame_idx"]).filter("n = 1").select("group_id", "video_seq", "frame_idx", F.col("global_idx").cast("long").alias("global_idx"))
 
 
 THUMBS = "f AS (SELECT user_id::VARCHAR AS group_id, " + SECONDS + " AS ts, event_id AS ord, [floor(value / 20)::INT, (user_id % 3)::INT, 7] AS thumb, event_type AS read_kind FROM events), p AS (SELECT *, lag(thumb) OVER (PARTITION BY group_id ORDER BY ts, ord) AS before FROM f), q AS (SELECT *, coalesce((abs(thumb[1] - before[1]) + abs(thumb[2] - before[2]) + abs(thumb[3] - before[3])) / 3.0 < 2.0, false) AS same FROM p)"
@@ -113,7 +117,7 @@ def _thumbs(spark, d):
 @query(f"WITH {THUMBS} SELECT group_id, ord, last_value(CASE WHEN NOT same THEN read_kind END IGNORE NULLS) OVER (PARTITION BY group_id ORDER BY ts, ord ROWS UNBOUNDED PRECEDING) AS kind FROM q")
 def carried_kinds(spark, d):
     """A header like the one before keeps its kind."""
-    return timeline.carry_kind(_thumbs(spark, d)).select("group_id", "ord", "kind")
+    return timeline.carry_kind(_thumbs(spark, d), SLOT).select("group_id", "ord", "kind")
 
 
 @query(f"""WITH f AS ({FRAMES}), p AS (SELECT *, [floor(value / 10)::INT, 3] AS th, lag(kind) OVER w AS k0, lag([floor(value / 10)::INT, 3]) OVER w AS t0, lag(value) OVER w AS v0 FROM f WINDOW w AS (PARTITION BY group_id ORDER BY ts, ord)),
@@ -123,21 +127,21 @@ def frames_to_read(spark, d):
     """Which frames the costly readers see."""
     f = frames(spark, d)
     thumb = F.array(F.floor(F.col("value") / 10).cast("int"), F.lit(3))
-    return timeline.to_read(f.withColumns({"slot_thumb": thumb, "box_thumb": thumb, "mean_luma": F.col("value")})).select("group_id", "ord", "vote", "box_read")
+    return timeline.to_read(f.withColumns({"slot_thumb": thumb, "box_thumb": thumb, "mean_luma": F.col("value")}), SLOT).select("group_id", "ord", "vote", "box_read")
 
 
 @query(f"""WITH {MARKED} SELECT f.group_id, f.ord, segs.segment_no::BIGINT AS segment_no FROM f JOIN segs ON f.group_id = segs.group_id AND f.ts >= greatest(0, list_start - 200.0) AND f.ts < list_end + 200.0""")
 def segment_frames(spark, d):
     """Range join of frames and segments."""
     f = frames(spark, d)
-    return segments.frames_of_segments(f, segments.segments(f), 0.01, slot=3600.0).select("group_id", "ord", F.col("segment_no").cast("long").alias("segment_no"))
+    return segments.frames_of_segments(f, segments.segments(f, SLOT), 0.01, slot=3600.0).select("group_id", "ord", F.col("segment_no").cast("long").alias("segment_no"))
 
 
 @query(f"""WITH {MARKED}, z AS (SELECT *, row_number() OVER (ORDER BY group_id, segment_no) AS global_no FROM segs), names AS (SELECT coalesce(entity, '(unknown)') AS name, max(global_no) AS global_no FROM z GROUP BY 1)
 SELECT global_no::BIGINT AS global_no, entity FROM z WHERE global_no IN (3, 17, 99999999) OR global_no IN (SELECT global_no FROM names WHERE name IN ('E1', '(unknown)', 'nobody'))""")
 def selected_segments(spark, d):
     """By running number or name, the last of a name."""
-    numbered = segments.number_segments(segments.segments(frames(spark, d)), "group_id")
+    numbered = segments.number_segments(segments.segments(frames(spark, d), SLOT), "group_id")
     return segments.select_segments(numbered, "3, 17,99999999,E1,(unknown), nobody").select("global_no", "entity")
 
 

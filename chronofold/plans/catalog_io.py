@@ -19,8 +19,8 @@ from ..operators import nearest, segments, timeline, votes
 from ..options import Options
 from ..sources import files
 from ..sources import frames as pictures
-from ..streaming.segmenter import segment_stream, write_increments
-from . import offline, video
+from ..streaming.segmenter import segment_stream, segments_of, write_increments
+from . import catalog, offline, video
 from .catalog import MARKED, QUERIES, SQL, frames, query, t
 
 __all__ = ["QUERIES", "SQL"]
@@ -128,7 +128,7 @@ def edition_files(spark, d):
 def index_file(spark, d):
     """The index beside a result file, written, read back and looked up in the dimension."""
     path = files.sidecar(f"{files.scratch(spark)}/out.json")
-    found = segments.segments(frames(spark, d))
+    found = segments.segments(frames(spark, d), catalog.SLOT)
     one = F.struct(F.ascii(F.substring("entity", 2, 1)).alias("id"), F.col("entity").alias("name"), F.lit(0.9).alias("score"))
     lost = F.struct(F.lit(-1).alias("id"), F.lit("gone").alias("name"), F.lit(0.8).alias("score"))
     candidates = F.when(F.col("entity").isNotNull(), F.array(one, lost)).otherwise(F.array()).cast(files.CANDIDATES)
@@ -152,7 +152,7 @@ def segment_increments(spark, d):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/frames")
         stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames")
         write_increments(segment_stream(stream), f"{folder}/segments", f"{folder}/progress").awaitTermination()
-    return spark.read.parquet(f"{folder}/segments")
+    return segments_of(spark, f"{folder}/segments")
 
 
 # ---- recordings as files

@@ -30,7 +30,8 @@ def write_merged(spark: SparkSession, paths: list[str], collected: str, out: str
     """Both of ``merge_results`` as result files."""
     for rows, path in zip(merge_results(spark, paths, collected), (out, new), strict=True):
         order = rows.groupBy("entity").agg(F.min(F.struct("file_ord", "ent_pos")).alias("ent_pos"))
-        files.write_json(files.result_json(rows.select("entity", "pos", "item").join(order, "entity")), path)
+        lists = rows.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda s: s["item"]).alias("items"))
+        files.write_lists(lists.join(order, "entity"), path)
 
 
 def compare_names(spark: SparkSession, a: str, b: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import fuzzy, merge, segments, timeline, votes
 from ..options import Options
+from ..sources import files
 
 
 def index(frames: DataFrame, box_reads: DataFrame, entities: DataFrame, options: Options) -> DataFrame:
@@ -17,18 +18,20 @@ def index(frames: DataFrame, box_reads: DataFrame, entities: DataFrame, options:
 
     Only box reads of frames that need reading are matched, each distinct text once.
     """
-    kinds = timeline.to_read(timeline.carry_kind(timeline.in_range(frames, options.start, options.end)))
+    known = files.kept(timeline.carry_kind(timeline.in_range(frames, options.start, options.end)))  # scans read what they scan twice
+    kinds = files.kept(timeline.to_read(known).select("group_id", "ts", "ord", "kind", "box_read"))
     need = kinds.filter("box_read").select("group_id", "ord").join(box_reads, ["group_id", "ord"])
     best = fuzzy.match_entities(need, entities, 1, least=options.accept_entity).select("raw", F.col("name").alias("box"), F.col("score").alias("box_score"))
     reads = need.join(best, "raw").groupBy("group_id", "ord").agg(F.max_by("box", "box_score").alias("box"))
-    return segments.segments(kinds.join(reads, ["group_id", "ord"], "left"))
+    return segments.segments(files.kept(kinds.join(reads, ["group_id", "ord"], "left")))
 
 
 def collect(found: DataFrame, frames: DataFrame, observations: DataFrame, items: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """Phase two. Observations (``group_id``, ``ord``, ``row_no``, ``raw``, ``observed_type``) of the list frames in each segment's range, matched, counted
     and accepted: ``group_id``, ``segment_no``, ``item``, ``pos``; and the doubtful names (``raw``) with their ``candidates``.
     """
-    ranged = segments.frames_of_segments(timeline.to_read(timeline.carry_kind(frames)).filter("vote"), found, options.index_fps)
+    marked = timeline.to_read(files.kept(timeline.carry_kind(frames)))
+    ranged = segments.frames_of_segments(marked.filter("vote"), found, options.index_fps)
     seen = ranged.select("group_id", "ord", "segment_no").join(observations, ["group_id", "ord"])
     named = fuzzy.canonical_texts(seen, items, options.accept_item, options.ascii_names)
     key = F.struct("group_id", "segment_no")

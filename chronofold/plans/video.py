@@ -82,40 +82,42 @@ def read_regions(frames: DataFrame, region: str, options: Options, line: bool) -
 
 
 def kinds(frames: DataFrame, options: Options, templates: DataFrame | None = None) -> DataFrame:
-    """``features`` with the ``kind`` of each frame: read where the header changed, carried on where it didn't. With ``templates`` (learnt before), only
-    headers unlike all of them are read.
+    """``features`` with the ``kind`` of each frame: read where the header changed, carried on where it didn't. With ``templates`` (of this group,
+    learnt before, of both kinds that matter), only headers unlike all of them are read. ``was_read`` marks those that were.
     """
-    seen = files.kept(timeline.changed_headers(features(frames)))
+    seen = files.kept(timeline.changed_headers(files.kept(features(frames))))
     ask = seen.filter("changed")
+    if templates is not None and not nearest.ready(templates):
+        templates = None
     if templates is not None:
-        known = nearest.classify_by_templates(ask.withColumn("thumb", F.col("header_thumb")), templates).filter("kind is not null").select("group_id", "ord", F.col("kind").alias("known_kind"))
+        refs = templates.select(F.col("ts").alias("ord"), "kind", F.col("thumb").alias("ref"))
+        known = files.kept(nearest.classify_by_templates(ask.withColumn("thumb", F.col("header_thumb")), refs).filter("kind is not null").select("group_id", "ord", F.col("kind").alias("known_kind")))
         ask = ask.join(known, ["group_id", "ord"], "left_anti")
     headers = read_regions(frames.join(ask.select("group_id", "ord"), ["group_id", "ord"], "left_semi"), "header", options, line=True)
     texts = votes.header_text(headers.withColumn("frame_id", F.struct("group_id", "ord"))).select("frame_id.*", F.col("text").alias("header_text"))
-    out = seen.join(texts, ["group_id", "ord"], "left").withColumn("read_kind", F.when(F.col("changed"), text.kind_by_words(F.coalesce("header_text", F.lit("")))))
+    out = seen.join(texts, ["group_id", "ord"], "left").withColumns({"read_kind": F.when(F.col("changed"), text.kind_by_words(F.coalesce("header_text", F.lit("")))), "was_read": F.col("changed")})
     if templates is not None:
-        out = out.join(known, ["group_id", "ord"], "left").withColumn("read_kind", F.coalesce("known_kind", "read_kind")).drop("known_kind")
-    return files.kept(timeline.carry_kind(out).drop("changed", "header_text"))
+        out = out.join(known, ["group_id", "ord"], "left").withColumns({"read_kind": F.coalesce("known_kind", "read_kind"), "was_read": F.col("changed") & F.col("known_kind").isNull()}).drop("known_kind")
+    return files.kept(timeline.carry_kind(files.kept(out.drop("changed", "header_text"))))
 
 
-def learnt(known: DataFrame) -> DataFrame:
-    """Templates (``ord``, ``kind``, ``ref``) that the frames of one group teach."""
-    some = known.filter("header_thumb is not null").select("group_id", "ts", F.col("header_thumb").alias("thumb"), "read_kind").filter("read_kind is not null")
-    found = nearest.learn_templates(some).filter("learnt")
-    return some.join(found, ["group_id", "ts"]).select(F.col("ts").alias("ord"), "kind", F.col("thumb").alias("ref"))
+def learnt(known: DataFrame, templates: DataFrame) -> DataFrame:
+    """What the headers that were read (of ``kinds``) add to the templates of their groups."""
+    read = known.filter("was_read").select("group_id", "ts", F.col("read_kind").alias("kind"), F.col("header_thumb").alias("thumb"))
+    return files.kept(nearest.new_templates(read, templates))
 
 
 def index(frames: DataFrame, entities: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """Phase one: segments with ``candidates`` (best first), and the frames' kinds, which teach templates."""
     known = kinds(frames, options)
-    marked = timeline.to_read(known)
+    marked = files.kept(timeline.to_read(known).select("group_id", "ts", "ord", "kind", "box_read"))
     ask = marked.filter("box_read").select("group_id", "ord")
     boxes = files.kept(read_regions(frames.join(ask, ["group_id", "ord"], "left_semi"), "box_name", options, line=False))
     found = fuzzy.entities_of_fragments(boxes.withColumn("frame_id", F.struct("group_id", "ord")), entities, 5)
     lists = found.groupBy("frame_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.array_sort(F.collect_list(F.struct("rank", F.struct("id", "name", "score").alias("c")))).alias("all"))
     box = F.transform("all", lambda c: c["c"]).cast(files.CANDIDATES)
     accepted = lists.filter(F.col("top") >= options.accept_entity).select("frame_id.*", box.alias("box"))
-    out = segments.segments(marked.join(accepted, ["group_id", "ord"], "left"))
+    out = segments.segments(files.kept(marked.join(accepted, ["group_id", "ord"], "left")))
     return out.withColumn("candidates", F.coalesce("entity", F.array().cast(files.CANDIDATES))).drop("entity"), known
 
 
@@ -221,11 +223,14 @@ def observations(frames: DataFrame, served: DataFrame, items: DataFrame, width:
     return seen.select("group_id", "segment_no", "ord", "row_no", "raw", "observed_type", "canonical")
 
 
-def collect(frames: DataFrame, found: DataFrame, items: DataFrame, width: int, height: int, options: Options, templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Phase two: accepted items (``group_id``, ``segment_no``, ``pos``, ``item``) of the segments ``found``, and doubtful names with their candidates."""
-    marked = timeline.to_read(kinds(frames, options, templates)).filter("vote")
+def collect(frames: DataFrame, found: DataFrame, items: DataFrame, width: int, height: int, options: Options, templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phase two: accepted items (``group_id``, ``segment_no``, ``pos``, ``item``) of the segments ``found``, doubtful names with their candidates, and
+    the frames' kinds, which teach more templates.
+    """
+    known = kinds(frames, options, templates)
+    marked = timeline.to_read(known).filter("vote")
     served = files.kept(segments.frames_of_segments(marked, found, options.index_fps).select("group_id", "ord", "segment_no"))
     seen = files.kept(observations(frames, served, items, width, height, options))
     counted = votes.votes(seen.select(F.struct("group_id", "segment_no").alias("segment_id"), F.col("canonical").alias("name"), F.col("ord").alias("frame_idx"), "row_no"), options.least_votes)
     good, doubtful = votes.accepted_items(counted, items, options.accept_item, options.ascii_names)
-    return good.select("segment_id.*", "pos", "item"), doubtful.select("segment_id.*", "raw", "candidates")
+    return good.select("segment_id.*", "pos", "item"), doubtful.select("segment_id.*", "raw", "candidates"), known

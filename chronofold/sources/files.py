@@ -6,7 +6,9 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """``old`` under the name ``new``, in the place of what had that name."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    a, z = paths(old), paths(new)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(z, True)
+    if not fs.rename(a, z):
+        raise OSError(f"{old} can't be renamed to {new}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -146,6 +163,40 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def write_lists(lists: DataFrame, path: str) -> None:
+    """``ent_pos``, ``entity`` and ``items`` as one file, an object of lists in order, unescaped and indented by two blanks.
+
+    Tasks write the text of ranges of ``ent_pos``; their files are then copied one after the other. The whole is never in one task or the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for entity, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                one = json.dumps({entity: items}, ensure_ascii=False, indent=2)
+                texts.append(f"{one[2:-2]},")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+    spark = lists.sparkSession
+    parts = f"{scratch(spark)}/text"
+    lists.orderBy("ent_pos").select("entity", "items").mapInArrow(run, "value string").write.text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, new = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    source, target = at.getFileSystem(conf), new.getFileSystem(conf)
+    found = [f for f in source.listStatus(at) if f.getPath().getName().startswith("part-") and f.getLen()]
+    found.sort(key=lambda f: f.getPath().getName())
+    out = target.create(new, True)
+    out.write(bytearray(b"{\n" if found else b"{}\n"))
+    for k, f in enumerate(found):
+        one = source.open(f.getPath())
+        jvm.org.apache.commons.io.IOUtils.copyLarge(one, out, 0, f.getLen() - (2 if k == len(found) - 1 else 0))  # without the last comma
+        one.close()
+    if found:
+        out.write(bytearray(b"\n}\n"))
+    out.close()
+    rename(spark, f"{path}.new", path)
+
+
 def write_json(one: DataFrame, path: str) -> None:
     """A small export: one row of JSON as one file, unescaped and indented by two blanks."""
     row = one.first()

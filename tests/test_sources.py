@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators.segments import segments
 from chronofold.sources import files, frames
-from chronofold.streaming.segmenter import segment_stream, write_increments
+from chronofold.streaming.segmenter import late_of, segment_stream, segments_of, write_increments
 
 
 def put(path, value):
@@ -82,39 +82,51 @@ def test_stream_gives_the_batch_segments(spark, small, tmp_path):
         write_increments(segment_stream(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     cols = ["group_id", "segment_no", "entity", "detail_ts", "list_start", "list_end", "list_frames"]
     want = sorted(map(tuple, segments(f).select(*cols).collect()), key=str)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*cols).collect()), key=str) == want
-
-
-def test_late_frames_and_the_end_of_a_group():
-    import pandas as pd
-
-    from chronofold.streaming.segmenter import _step
-
-    class State:
-        exists = hasTimedOut = False
-        get, idle = None, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-        def remove(self):
-            self.exists, self.get = False, None
-
-        def setTimeoutDuration(self, ms):
-            self.idle = ms
-
-    def feed(state, *rows):
-        frame = pd.DataFrame([(ts, int(ts), kind, None) for ts, kind in rows], columns=["ts", "ord", "kind", "box"])
-        return [(r["segment_no"], r["list_start"], r["list_end"]) for out in _step(5000)(("g",), iter([frame]), state) for _, r in out.iterrows()]
-
-    state = State()
-    assert feed(state, (2.0, "move_list"), (1.0, "detail")) == [] and state.idle == 5000
-    assert feed(state, (1.5, "move_list"), (3.0, "move_list"), (4.0, "detail")) == [(1, 2.0, 3.0)]  # 1.5 is late
-    assert feed(state, (5.0, "move_list")) == []
-    state.hasTimedOut = True
-    assert feed(state) == [(2, 5.0, 5.0)] and not state.exists
-    state.hasTimedOut = False
-    assert feed(state, (1.0, "move_list"), (2.0, "end")) == [(1, 1.0, 1.0)] and not state.exists
+    assert sorted(map(tuple, segments_of(spark, str(tmp_path / "out")).select(*cols).collect()), key=str) == want
+    assert late_of(spark, str(tmp_path / "out")).count() == 0
+
+
+def streamed(spark, folder, batches, **how):
+    """Each batch of (group, ts, kind, box) as one file and one run of the stream: it goes on from its checkpoint every time."""
+    out = str(folder / "out")
+    for rows in batches:
+        df = spark.createDataFrame([(g, float(ts), int(ts * 10), kind, box) for g, ts, kind, box in rows], "group_id string, ts double, ord long, kind string, box string")
+        df.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(folder / "in"))
+        write_increments(segment_stream(stream, **how), out, str(folder / "ck")).awaitTermination()
+    found = sorted((tuple(r)[:3] + (r["list_start"], r["list_end"], r["list_frames"]) for r in segments_of(spark, out).collect()), key=str)
+    return found, sorted((r["group_id"], r["ts"], r["kind"]) for r in late_of(spark, out).collect())
+
+
+def test_late_frames_go_aside(spark, tmp_path):
+    """Frames at or before the last folded one come out as late; the stream is restarted between batches."""
+    found, late = streamed(spark, tmp_path, [
+        [("g", 2.0, "move_list", None), ("g", 1.0, "other", "A"), ("g", 1.5, "detail", None)],
+        [("g", 1.7, "move_list", None), ("g", 3.0, "move_list", None), ("g", 4.0, "detail", None), ("h", 0.5, "move_list", None)],
+        [("g", 5.0, "move_list", None), ("g", 5.5, "end", None)],
+        [("g", 1.0, "move_list", None), ("g", 2.0, "end", None)],
+    ])
+    assert sorted(found, key=str) == [("g", 1, "A", 2.0, 3.0, 2), ("g", 1, None, 1.0, 1.0, 1), ("g", 2, None, 5.0, 5.0, 1)] and late == [("g", 1.7, "move_list")]
+
+
+def test_frames_may_wait_for_earlier_ones(spark, tmp_path):
+    """With ``wait``, frames out of order by less than that are folded in order and none is late."""
+    frames = [("g", 1.0, "other", "A"), ("g", 2.0, "detail", None), ("g", 3.0, "move_list", None), ("g", 4.0, "move_list", None), ("g", 5.0, "detail", None), ("g", 6.0, "move_list", None), ("g", 7.0, "end", None)]
+    shuffled = [[frames[1], frames[0]], [frames[3]], [frames[2], frames[5]], [frames[4]], [frames[6]]]
+    found, late = streamed(spark, tmp_path, shuffled, wait=3.0)
+    assert found == [("g", 1, "A", 3.0, 4.0, 2), ("g", 2, None, 6.0, 6.0, 1)] and late == []
+
+
+def test_idle_groups_close_by_event_time(spark, tmp_path):
+    """A group without frames for ``idle`` seconds of event time is closed once the watermark is past that, and begins anew."""
+    found, _ = streamed(spark, tmp_path, [[("g", 10.0, "move_list", None)], [("h", 500.0, "move_list", None)], [("h", 501.0, "move_list", None)], [("g", 502.0, "move_list", None), ("g", 503.0, "end", None)]], idle=60.0, forget="1 second")
+    assert [f for f in found if f[0] == "g"] == [("g", 1, None, 10.0, 10.0, 1), ("g", 1, None, 502.0, 502.0, 1)]
+
+
+def test_a_stream_goes_on_behind_a_stored_index(spark, tmp_path):
+    stored = spark.createDataFrame([("g", 1, 5.0), ("g", 2, 9.0), ("x", 7, 3.0)], "group_id string, segment_no int, list_end double")
+    found, late = streamed(spark, tmp_path, [[("g", 8.0, "move_list", None), ("g", 10.0, "move_list", None), ("g", 11.0, "end", None), ("n", 1.0, "move_list", None), ("n", 2.0, "end", None)]], stored=stored)
+    assert found == [("g", 3, None, 10.0, 10.0, 1), ("n", 1, None, 1.0, 1.0, 1)] and late == [("g", 8.0, "move_list")]
 
 
 def test_corners(spark):

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from chronofold import cli
 from chronofold.functions import recognize
-from chronofold.operators import timeline
+from chronofold.operators import nearest, timeline
 from chronofold.options import Options
-from chronofold.plans import video
+from chronofold.plans import job, video
 from chronofold.sources import files, frames
 
 WIDTH, HEIGHT = 320, 180
@@ -89,7 +89,104 @@ def test_from_videos_to_results(spark, inputs):
     # the second phase alone, and some segments only
     assert call(inputs, "--no-prompt", "--segments", str(inputs / "out.json.segments.json"), "--only", "ミミロップ, 9, nobody") == (0, {"ミミロップ": ["omega", "alpha"]})
     assert call(inputs, "--no-prompt", "--segments", str(inputs / "out.json.segments.json"), "--resume") == (0, got)
-    assert sorted(r[0] for r in spark.read.parquet(str(inputs / "out.json.collected" / "done")).collect()) == [1, 2, 3]
+    assert sorted(r[0] for r in job.stored(spark, str(inputs / "out.json.collected"), "done").select("global_no").collect()) == [1, 2, 3]
+
+
+def counting(path):
+    class Counting(Painted):
+        def read_line(self, image, box):
+            with open(path, "a") as f:
+                f.write("x")
+            return super().read_line(image, box)
+
+    return Counting
+
+
+def test_templates_spare_reads(spark, inputs):
+    """Phase one's templates hold in phase two, a step's for the steps after it; results are those of reading all."""
+    reads = inputs / "reads"
+
+    def headers(*more):
+        reads.write_text("")
+        out = str(inputs / "out.json")
+        said = [str(inputs / "0.npy"), str(inputs / "1.npy"), "-o", out, "--master-dir", str(inputs), "--src-fps", "5", "--no-prompt", *more]
+        assert cli.main(said, reader=counting(str(reads))) == 0
+        return len(reads.read_text()), json.loads((inputs / "out.json").read_text(encoding="utf-8"))
+
+    both, got = headers()
+    index = str(inputs / "out.json.segments.json")
+    cold, same = headers("--segments", index)
+    assert got == same == {"ロトム": ["alpha", "gamma", "delta"], "ミミロップ": ["omega", "alpha"]}
+    first = both  # phase two read none: each header is like one of phase one
+    reads.write_text("")
+    known = video.kinds(video.frames_of(spark, [{"path": str(inputs / f"{k}.npy"), "src_fps": 5.0} for k in (0, 1)], 5.0, Options(reader=counting(str(reads))), "g"), Options(reader=counting(str(reads))))
+    assert known.filter("was_read").count() == len(reads.read_text()) == first and cold > 0
+    steps, same = headers("--segments", index, "--every", "1")
+    assert same == got and 0 < steps <= cold
+    kept = job.templates(spark, str(inputs / "out.json.collected")).select("kind").distinct().collect()
+    assert {"detail", "move_list"} <= {r[0] for r in kept}
+
+
+def test_templates_of_slots(spark):
+    """Templates by slots and then by recording: none nearer than the least distance to another of its kind, every frame near one, at most ``limit``."""
+    rng = np.random.default_rng(0)
+    rows = [("g", float(k), str(rng.choice(["detail", "move_list", "other"])), [int(x), int(x)]) for k, x in enumerate(rng.integers(0, 60, 400))]
+    read = spark.createDataFrame(rows, "group_id string, ts double, kind string, thumb array<int>")
+    known = spark.createDataFrame([("g", -1.0, "detail", [30, 30]), ("h", 0.0, "detail", [1, 1])], nearest.TEMPLATES)
+    new = [(r["kind"], r["thumb"][0]) for r in nearest.new_templates(read, known, slot=50.0).collect()]
+    for kind in ("detail", "move_list", "other"):
+        own = sorted([x for k, x in new if k == kind] + [30] * (kind == "detail"))
+        assert all(b - a >= 5 for a, b in zip(own, own[1:], strict=False)) and len(own) > 5
+        assert all(min(abs(x[0] - t) for t in own) < 10 for _, _, k, x in rows if k == kind)
+    assert nearest.new_templates(read, known, limit=2, slot=50.0).groupBy("kind").count().agg(F.max("count")).first()[0] == 2
+    assert nearest.new_templates(read.limit(0), known).count() == 0
+
+
+@pytest.mark.parametrize("when", ["before", "hidden", "renamed"])
+def test_a_killed_step_leaves_nothing_or_all(spark, inputs, monkeypatch, when):
+    """A run that dies around a commit is resumed to the same files, without repeated rows."""
+    real, calls = job.commit, []
+
+    def dies(spark, store, step, rows):
+        calls.append(step)
+        if len(calls) != 3:
+            return real(spark, store, step, rows)
+        if when == "hidden":
+            monkeypatch.setattr(files, "rename", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        if when != "before":
+            real(spark, store, step, rows)
+        raise RuntimeError("killed")
+
+    whole = call(inputs, "--no-prompt", "--every", "1")[1]
+    index = str(inputs / "out.json.segments.json")
+    want = sorted(map(str, job.stored(spark, str(inputs / "out.json.collected"), "item").collect()))
+    renames = files.rename
+    monkeypatch.setattr(job, "commit", dies)
+    assert call(inputs, "--no-prompt", "--every", "1")[0] == 2 and len(calls) == 3
+    monkeypatch.setattr(job, "commit", real)
+    monkeypatch.setattr(files, "rename", renames)
+    assert call(inputs, "--no-prompt", "--every", "1", "--segments", index, "--resume") == (0, whole)
+    assert sorted(map(str, job.stored(spark, str(inputs / "out.json.collected"), "item").collect())) == want
+    done = [r[0] for r in job.stored(spark, str(inputs / "out.json.collected"), "done").select("global_no").collect()]
+    assert sorted(done) == [1, 2, 3]
+
+
+def test_ranges_are_few(spark, monkeypatch):
+    monkeypatch.setattr(job, "MOST_RANGES", 8)
+    spans = [(float(k), k + 0.25) for k in range(0, 1000, 3)] + [(5000.0, 5001.0)]
+    got = job._ranges(spark.createDataFrame(spans, "list_start double, list_end double"), 0.5)
+    assert len(got) <= 8 and all(any(a <= max(0, s - 0.5) and e + 0.5 <= z for a, z in got) for s, e in spans)
+    assert sum(z - a for a, z in got) < 3000
+
+
+def test_lists_as_one_file(spark, tmp_path):
+    """Many tasks write one file, byte for byte what a dump of the whole gives."""
+    lists = [(k, f"n{k} é\n\"", [f"i{j} ü" for j in range(k % 4)]) for k in range(50)]
+    df = spark.createDataFrame(lists, "ent_pos long, entity string, items array<string>").repartition(7)
+    files.write_lists(df, str(tmp_path / "x.json"))
+    assert (tmp_path / "x.json").read_text(encoding="utf-8") == json.dumps({e: i for _, e, i in lists}, ensure_ascii=False, indent=2) + "\n"
+    files.write_lists(df.limit(0), str(tmp_path / "x.json"))
+    assert (tmp_path / "x.json").read_text() == "{}\n"
 
 
 def test_review(spark, inputs):
