@@ -7,6 +7,10 @@ lose case and the punctuation around them; tokens that are punctuation alone van
 * open: capitalised words that begin a sentence are names too, and in documents so is every word that no benchmark item has as a plain
   word. So a name is found at the start of a sentence, and in texts that are written in capitals or without any.
 
+A word that one item has as a plain word may be another item's name. So a window of a document's open form also counts with any of its other
+words (but those of ``COMMON``) as names, wherever some item's window has names in these places: what an item is found by doesn't hang on
+the words of other items. (One thing does: a name of several words in lower case is one name while no item has any of them as a plain word.)
+
 Windows of ``WINDOW`` template tokens of either form are hashed and hash-joined with the benchmark's windows. An item is found in a
 document if enough of its windows, told by their places in the item, are there and its slots are consistent: a value of the item stands
 for one value of the document wherever it occurs. A document may have a window at several places, so the item is laid over it at each
@@ -44,7 +48,7 @@ WINDOW = 5
 #: Shares of an item's windows that must be found, and of its slots that must be consistent.
 COVERAGE, CONSISTENT = 0.6, 0.8
 MOST_WINDOWS = 1 << 22
-#: Bits of the tables of windows and of words, for each entry, and at most (32 MB).
+#: Bits of the table of windows, for each entry, and at most (32 MB).
 ENTRY_BITS, MOST_BITS = 512, 1 << 28
 CACHE_WORDS = 150_000
 
@@ -71,7 +75,7 @@ _UNITS, _NUMBERS, _COMMON = (frozenset(x.encode() for x in v.split()) for v in (
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac\xc2\xa3]*[0-9][0-9.,:/]*(?:%|[a-z]{1,3})?$")
 _EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
-_NUM, _UNIT, _NAME, _SKIP, _STOP, _STRANGE = 1, 2, 4, 8, 16, 32
+_NUM, _UNIT, _NAME, _SKIP, _STOP, _STRANGE, _USUAL = 1, 2, 4, 8, 16, 32, 64
 ENTRY = np.dtype([("word", "<u8"), ("flags", "u1")])
 PLACEHOLDERS = {_NUM: 0x9D39247E33776D41, _UNIT: 0x2AF7398005AAA5C7, _NAME: 0x44DB015024623547}
 _LINE, _AFTER_STOP, _STOPS = b"\x00", b"#$%&*|\"')]", (b".", b"!", b"?", b":")
@@ -96,6 +100,20 @@ class Bits:
         return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+class Words:
+    """The benchmark's plain words, exactly, as sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.sorted = np.unique(hashes)
+        self.tag = xxh64_intdigest(self.sorted.tobytes())
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return self.sorted[at] == hashes
+
+
 def _bare(word: bytes) -> bytes:
     own = word.strip(_EDGES)
     return own.lower() if own.isascii() else own.decode().lower().encode()
@@ -119,12 +137,14 @@ def _entry(word: bytes) -> tuple[int, int]:
         flags |= _NUM
     if bare in _UNITS:
         flags |= _UNIT
+    if bare in _COMMON:
+        flags |= _USUAL
     if len(own) < len(word) and word.rstrip(_AFTER_STOP)[-1:] in _STOPS or word == _LINE:
         flags |= _STOP
     return xxh64_intdigest(bare), flags
 
 
-def _entries(words: list[bytes], vocabulary: Bits | None) -> list[bytes]:
+def _entries(words: list[bytes], vocabulary: Words | None) -> list[bytes]:
     made = [_entry(w) for w in words]
     strange = ~vocabulary.has(np.array([h for h, _ in made], np.uint64)) if vocabulary is not None else np.zeros(len(made), bool)
     return [_pack(h, f | _STRANGE if s else f) for (h, f), s in zip(made, strange.tolist(), strict=True)]
@@ -136,12 +156,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Form:
-    """A template in one form: codes of its tokens, which are slots, and the words that each token stands for."""
+    """A template in one form: codes of its tokens, which are slots, which are names and which may be, and the words that each token stands for."""
 
-    __slots__ = ("codes", "slots", "starts", "ends", "words")
+    __slots__ = ("codes", "slots", "names", "maybe", "starts", "ends", "words")
 
-    def __init__(self, codes: np.ndarray, slots: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> None:
-        self.codes, self.slots, self.starts, self.ends, self.words = codes, slots, starts, ends, words
+    def __init__(self, codes: np.ndarray, slots: np.ndarray, names: np.ndarray, maybe: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> None:
+        self.codes, self.slots, self.names, self.maybe, self.starts, self.ends, self.words = codes, slots, names, maybe, starts, ends, words
 
     def value(self, token: int) -> str:
         """What stands in a slot."""
@@ -149,7 +169,7 @@ class Form:
         return own.decode() if len(own) <= 64 else f"{xxh64_intdigest(own):016x}"
 
 
-def template(text: str | None, vocabulary: Bits | None = None) -> list[Form]:
+def template(text: str | None, vocabulary: Words | None = None) -> list[Form]:
     """The template's plain form, and its open form where that is another one."""
     words = (text or "").encode().replace(b"\x00", b" ").replace(b"\n", b" \x00 ").split()
     entries = looked_up(cache_of(f"template {vocabulary.tag if vocabulary else 0}"), words, lambda new: _entries(new, vocabulary), CACHE_WORDS)
@@ -173,47 +193,84 @@ def template(text: str | None, vocabulary: Bits | None = None) -> list[Form]:
         run = names & np.append(False, names[:-1] & ((flags[:-1] & _STOP) == 0))[: len(names)]  # goes on with the names before, within a sentence
         at = np.flatnonzero(~run)
         ends = np.append(kept, len(words))[np.append(at[1:], len(kept))] if len(at) else at
-        out.append(Form(codes[at], (number | unit | names)[at], kept[at], ends, words))
+        maybe = free & ~names & ((flags & _USUAL) == 0)
+        out.append(Form(codes[at], (number | unit | names)[at], names[at], maybe[at], kept[at], ends, words))
     return out
 
 
+#: What tells the places in a window apart.
+_PLACES = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(WINDOW)], np.uint64)
+
+
+def _placed(codes: np.ndarray, k: int) -> np.ndarray:
+    return _mix(codes * _PLACES[k] + _PLACES[-1 - k])
+
+
 def windows(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Hashes of all windows; of the whole template if it is shorter and has a plain word."""
-    size, salt = WINDOW, 0
-    if len(codes) < WINDOW:
-        if slots.all():
-            return np.zeros(0, np.uint64)
-        size, salt = len(codes), len(codes)
+    """Hashes of all windows; of the whole template if it is shorter and has a plain word. A hash is a sum over the places."""
+    size = min(WINDOW, len(codes))
+    if size < WINDOW and slots.all():
+        return np.zeros(0, np.uint64)
     n = len(codes) - size + 1
-    h = np.full(n, salt, np.uint64)
+    h = np.full(n, size, np.uint64)
     for k in range(size):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
+        h += _placed(codes[k : k + n], k)
     return h
 
 
+def _mask(marks: np.ndarray, n: int) -> np.ndarray:
+    """For each window, the places that are marked, as bits."""
+    out = np.zeros(n, np.uint8)
+    for k in range(min(WINDOW, len(marks))):
+        out |= marks[k : k + n].astype(np.uint8) << np.uint8(k)
+    return out
+
+
+def renamed(form: Form, h: np.ndarray, masks: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of the benchmark's ``masks`` (places of names): the windows that have names in just these places if some of their words are, and their hashes then."""
+    n = len(h)
+    if not n:
+        return
+    names, maybe = _mask(form.names, n), _mask(form.maybe, n)
+    for m in masks:
+        at = np.flatnonzero(((names & ~np.uint8(m)) == 0) & ((np.uint8(m) & ~(names | maybe)) == 0) & (names != m))
+        if len(at):
+            other = h[at].copy()
+            for k in range(WINDOW):
+                if m >> k & 1:  # a name that is there already stays as it is
+                    other += _placed(np.full(1, PLACEHOLDERS[_NAME], np.uint64), k) - _placed(form.codes[at + k], k)
+            yield m, at, other
+
+
 ROWS = "long, form int, at long, h long, slots array<string>"
 _ROW_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
 
 
-def _rows(id_name: str, table: Bits | None, vocabulary: Bits | None):
+def _rows(id_name: str, table: Bits | None, vocabulary: Words | None, masks: list[int] = ()):
     """Windows of each text that ``table`` doesn't rule out: the form they are of, their places and the values of their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[] for _ in _ROW_TYPES]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, form in enumerate(template(text, vocabulary)):
+                apart, forms = None, template(text, vocabulary)
+                for k, form in enumerate(forms):
                     h = windows(form.codes, form.slots)
-                    found = np.arange(len(h)) if table is None else np.flatnonzero(table.has(h))
-                    if not len(found):
-                        continue
-                    out[0] += [doc_id] * len(found)
-                    out[1] += [k] * len(found)
-                    out[2] += (form.starts[found] + (xxh64_intdigest((text or "").encode()) >> 42 << 32)).tolist()  # rows that share an id stay apart
-                    out[3] += h[found].view(np.int64).tolist()
-                    places = np.flatnonzero(form.slots)
-                    lo, hi = np.searchsorted(places, found), np.searchsorted(places, found + WINDOW)
-                    out[4] += [[form.value(p) for p in places[a:z]] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    kinds = [(0, np.arange(len(h)), h)]
+                    if vocabulary is not None and k == len(forms) - 1:
+                        kinds += renamed(form, h, masks)
+                    for mask, at, hashes in kinds:
+                        ok = np.arange(len(at)) if table is None else np.flatnonzero(table.has(hashes))
+                        if not len(ok):
+                            continue
+                        found = at[ok]
+                        apart = xxh64_intdigest((text or "").encode()) >> 42 << 32 if apart is None else apart  # rows that share an id stay apart
+                        out[0] += [doc_id] * len(found)
+                        out[1] += [k] * len(found)
+                        out[2] += (form.starts[found] + apart).tolist()
+                        out[3] += hashes[ok].view(np.int64).tolist()
+                        slots = form.slots
+                        out[4] += [[form.value(p) for p in range(a, min(a + WINDOW, len(slots))) if slots[p] or mask >> (p - a) & 1] for a in found.tolist()]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _ROW_TYPES, strict=True)], names=[id_name, "form", "at", "h", "slots"])
 
@@ -226,6 +283,16 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(list(hashes), np.uint64).view(np.int64))], names=["h"])
 
 
+def _name_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which places of windows have names, one row for each such set of places."""
+    seen: set[int] = set()
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            for form in template(t):
+                seen.update(_mask(form.names, len(windows(form.codes, form.slots))).tolist())
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(seen - {0}), pa.int32())], names=["mask"])
+
+
 def _hashes(rows: DataFrame) -> np.ndarray:
     return np.asarray(rows.select("h").distinct().toArrow().column("h"), np.int64).view(np.uint64)
 
@@ -290,10 +357,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     total = scratch.save(each.groupBy(*item, "form").agg(F.countDistinct("at").alias("n")).groupBy(*item).agg(F.min("n").alias("n_windows")))
     n = ours.count()
     table = spark.sparkContext.broadcast(Bits(_hashes(ours))) if n <= MOST_WINDOWS else None
-    vocabulary = spark.sparkContext.broadcast(Bits(_hashes(items.select(TEXT).mapInArrow(_plain_words, "h long"))))
+    # the benchmark's distinct words, 8 bytes each, and at most 31 sets of places
+    vocabulary = spark.sparkContext.broadcast(Words(_hashes(items.select(TEXT).mapInArrow(_plain_words, "h long"))))
+    masks = sorted(r[0] for r in items.select(TEXT).mapInArrow(_name_masks, "mask int").distinct().collect())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _rows(ID, table and table.value, vocabulary.value)(batches)
+        return _rows(ID, table and table.value, vocabulary.value, masks)(batches)
 
     few = n <= 100_000  # windows, of at most WINDOW slots of 64 bytes each
     theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} {ROWS}")

@@ -41,6 +41,29 @@ def test_short_items_are_whole_documents(spark):
     assert set(found(spark, docs, [(1, "Yes, of course."), (2, "3"), (3, ""), (4, None)])) == {(1, 1), (2, 1)}
 
 
+def test_other_items_take_nothing_away(spark):
+    """Items that have a question's names, or any of its words, as plain words, at random: no pair of it is lost."""
+    rng = random.Random(11)
+    item = "She moved with Tom from Boston to the small harbour and paid 90 coins for the boat that Anna had there"
+    docs = [(1, item), (2, item.replace("Tom", "Kim").replace("Boston", "Rome").replace("90", "41").replace("Anna", "Lea").lower()), (3, item.upper()), (4, item.replace("Boston", "Oslo")), (5, "a small boat with 90 coins was there in the harbour of Boston")]
+    before = found(spark, docs, [(1, item)])
+    assert set(before) == {(k, 1) for k in (1, 2, 3, 4)}
+    words = "kim rome lea boston tom anna oslo harbour boat coins paid small moved stone river green".split()
+    more = [(2, "an old kim and a green rome lea by the river")] + [(k, " ".join(rng.choice(words) for _ in range(9))) for k in range(3, 15)]
+    for n in (1, 4, len(more)):
+        after = found(spark, docs, [(1, item), *more[:n]])
+        assert set(before) <= set(after)
+        assert all(after[k]["coverage"] >= before[k]["coverage"] - 1e-9 for k in before)
+
+
+def test_words_are_told_exactly():
+    import numpy as np
+
+    own, other = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(300_000, 900_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    table = dc.Words(own)
+    assert table.has(own).all() and not table.has(other).any() and not dc.Words(own[:0]).has(other).any()
+
+
 def test_an_item_with_several_texts(spark):
     a, b = "the old mill had many stones beside the road", "a quiet river runs below the long wooden bridge"
     docs = [(1, a), (2, b), (3, a + " " + b), (4, "nothing here at all to be seen by anyone")]
@@ -98,13 +121,20 @@ def test_windows_are_those_of_a_plain_version(spark):
 
     want = {}
     theirs = {i: {g for f in forms(t, vocabulary) for _, g in grams(f)} for i, t in docs}
+    # words of the open form that may be names: neither slots nor common, and no number or unit
+    free = {i: [(at, g, tuple(r[3] is None and r[0] not in dc.COMMON.split() for r in f[k : k + dc.WINDOW])) for f in forms(t, vocabulary)[-1:] for k, (at, g) in enumerate(grams(f))] for i, t in docs}
+
+    def has(d, x):
+        """Whether a document has an item's window, as it is or with some of its words as names."""
+        return x in theirs[d] or any(len(g) == len(x) and g[0] == x[0] and all(a == b or b == "#p" and f for a, b, f in zip(g[1:], x[1:], may, strict=True)) for _, g, may in free[d])
+
     for i, t in items:
         own = [grams(f) for f in forms(t)]
         if not own[0]:
             continue
         n = min(len({at for at, _ in g}) for g in own)
         for d, have in theirs.items():
-            hit = {at for g in own for at, x in g if x in have}
+            hit = {at for g in own for at, x in g if x in have or ("#p" in x and has(d, x))}
             if n and len(hit) >= n * dc.COVERAGE:
                 want[d, i] = (n, min(n, len(hit)))
     got = found(spark, docs, items)
