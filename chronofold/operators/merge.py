@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 COVERAGE = 0.9
 #: Segment numbers that one task carries a name over.
@@ -49,29 +54,42 @@ def anchors(segments: DataFrame) -> DataFrame:
 def containment_merge(segments: DataFrame, least: float = COVERAGE) -> DataFrame:
     """From ``seg_no``, ``name``, ``items`` (arrays): an unknown segment joins the last named one before it if ``least`` of the smaller list is in the larger; the union is compared with the next.
 
-    Segments of one name meet in one fold over arrays, a name at a time: the fold depends on its order. Unknown segments before any name
-    stay as they are. Returns ``entity``, ``items``, ``merged`` (numbers of the segments it took in), ``seg_no`` (its first segment).
+    Segments come sorted by name, the named ones first, then by number, and are folded as they come: a task holds one name's union, never its
+    segments. The fold depends on its order, so a name is one task's. Unknown segments before any name stay as they are. Returns
+    ``entity``, ``items``, ``merged`` (numbers of the segments it took in), ``seg_no`` (its first segment).
     """
     named = anchors(segments)
-    known = F.col("name") != UNKNOWN
-    part = F.struct("seg_no", "items")
-    by = named.filter("anchor is not null").groupBy("anchor").agg(F.array_sort(F.collect_list(F.when(known, part))).alias("own"), F.array_sort(F.collect_list(F.when(~known, part))).alias("rest"))
-    start = F.array_distinct(F.flatten(F.transform("own", lambda s: s["items"])))
-
-    def step(acc: Column, x: Column) -> Column:
-        a, u = acc["items"], F.array_distinct(x["items"])
-        small = F.least(F.size(F.array_distinct(a)), F.size(u))
-        fits = F.when(small > 0, F.size(F.array_intersect(a, u)) / small >= least).otherwise(False)
-        return F.struct(
-            F.when(fits, F.array_union(a, u)).otherwise(a).alias("items"), F.when(fits, F.array_append(acc["merged"], x["seg_no"])).otherwise(acc["merged"]).alias("merged"), F.when(fits, acc["left"]).otherwise(F.array_append(acc["left"], x)).alias("left")
-        )
-
     kind = dict(segments.dtypes)
-    zero = F.struct(start.alias("items"), F.array().cast(f"array<{kind['seg_no']}>").alias("merged"), F.array().cast(f"array<struct<seg_no:{kind['seg_no']},items:{kind['items']}>>").alias("left"))
-    folded = by.withColumn("acc", F.aggregate("rest", zero, step))
-    out = folded.select(F.col("anchor").alias("entity"), "acc.items", "acc.merged", F.element_at("own", 1)["seg_no"].alias("seg_no"))
-    alone = folded.select(F.explode("acc.left").alias("u")).unionByName(named.filter("anchor is null").select(part.alias("u")))
-    return out.unionByName(alone.select(keyed_entity(F.lit(None).cast("string"), F.col("u.seg_no")).alias("entity"), F.array_distinct("u.items").alias("items"), F.array().cast(f"array<{kind['seg_no']}>").alias("merged"), "u.seg_no"))
+    schema = f"entity string, items {kind['items']}, merged array<{kind['seg_no']}>, seg_no {kind['seg_no']}"
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, union, merged, first = None, {}, [], None
+        for b in batches:
+            out = []
+            for anchor, known, seg_no, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if anchor != name:
+                    if name is not None:
+                        out.append((name, list(union), merged, first))
+                    name, union, merged, first = anchor, {}, [], seg_no
+                own = dict.fromkeys(items or ())
+                small = min(len(union), len(own))
+                if known:
+                    union |= own
+                elif small and len(union.keys() & own.keys()) / small >= least:
+                    union |= own
+                    merged.append(seg_no)
+                else:
+                    out.append((None, list(own), [], seg_no))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["entity", "items", "merged", "seg_no"])
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, list(union), merged, first), types, strict=True)], names=["entity", "items", "merged", "seg_no"])
+
+    rows = named.filter("anchor is not null").select("anchor", (F.col("name") != UNKNOWN).alias("known"), "seg_no", "items")
+    folded = rows.repartition("anchor").sortWithinPartitions("anchor", F.desc("known"), "seg_no").mapInArrow(fold, schema)
+    alone = named.filter("anchor is null").select(F.lit(None).cast("string").alias("entity"), F.array_distinct("items").alias("items"), F.array().cast(f"array<{kind['seg_no']}>").alias("merged"), "seg_no")
+    return folded.unionByName(alone).withColumn("entity", F.coalesce("entity", keyed_entity(F.lit(None).cast("string"), F.col("seg_no"))))
 
 
 def not_collected(merged: DataFrame, collected: DataFrame) -> DataFrame:

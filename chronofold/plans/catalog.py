@@ -177,14 +177,14 @@ def canonical_names(spark, d):
 
 @query()
 def fuzzy_entities(spark, d):
-    """Sequence ratios; SQL has none, the tests compare with plain Python."""
+    """Sequence ratios; SQL has none, the tests compare with plain Python."""
     o = _observed(spark, d).select("raw").distinct()
     return fuzzy.match_entities(o, _dim(spark, d).select("id", "name"), 3, least=0.7)
 
 
 @query()
 def entities_of_frames(spark, d):
-    """Entities from a frame's fragments and their join."""
+    """Entities from a frame's fragments and their join."""
     k = F.col("p_partkey")
     f = t(spark, d, "part").select((F.floor(k / 400) * 100 + k % 100).alias("frame_id"), (F.floor(k / 100) % 4).cast("int").alias("frag_no"), F.concat(F.lit(" "), F.col("p_name")).alias("text"))
     return fuzzy.entities_of_fragments(f, _dim(spark, d).select("id", "name"), 5)
@@ -463,7 +463,7 @@ def cached_rows(spark, d):
 
 @query()
 def learnt_templates(spark, d):
-    """Templates learnt online; compared with plain Python in the tests."""
+    """Templates learnt online, up to a limit; compared with plain Python in the tests."""
     f = frames(spark, d)
     return nearest.learn_templates(f.select("group_id", "ts", F.array((F.col("value") % 30).cast("int"), F.lit(1)).alias("thumb"), F.col("kind").alias("read_kind")))
 

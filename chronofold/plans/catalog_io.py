@@ -181,12 +181,31 @@ o AS (SELECT *, coalesce(sum(frame_count / 10.0) OVER (ORDER BY video_seq ROWS B
 @query(f"WITH {STACKS} SELECT video_seq::INT AS video_seq, frame_idx, round(before + frame_idx / 10.0, 6) AS ts, 2 AS height, 3 AS width, (s_suppkey % 251)::INT AS pixel FROM n JOIN o USING (s_nationkey) WHERE frame_idx % 2 = 0")
 def video_frames(spark, d):
     """Files decoded into frames on the grid of half their rate, on one timeline."""
-    spark.dataSource.register(pictures.FrameSource)
-    got = spark.read.format("frames").options(paths=",".join(_stacks(spark, d)), fps="5", src_fps="10", slice="7").load()
+    got = pictures.read_frames(spark, paths=",".join(_stacks(spark, d)), fps="5", src_fps="10", slice="7")
     pixel = F.conv(F.hex(F.substring("image", 1, 1)), 16, 10).cast("int")
     return got.select("video_seq", "frame_idx", F.round("ts", 6).alias("ts"), "height", "width", pixel.alias("pixel"))
 
 
+@query(f"WITH {STACKS} SELECT video_seq::INT AS video_seq, frame_idx, (s_suppkey % 251)::INT AS pixel FROM n JOIN o USING (s_nationkey) WHERE before + frame_idx / 10.0 >= 0.35 AND before + frame_idx / 10.0 < 61.25 AND video_seq <> 3 AND video_seq < 20")
+def ranged_frames(spark, d):
+    """A time range and some files, pushed into the source, which opens no other slices."""
+    got = pictures.read_frames(spark, paths=",".join(_stacks(spark, d)), fps="10", src_fps="10", slice="4", push=True)
+    few = timeline.in_range(got, 0.35, 61.25).filter("video_seq <> 3 and video_seq < 20")
+    return few.select("video_seq", "frame_idx", F.conv(F.hex(F.substring("image", 1, 1)), 16, 10).cast("int").alias("pixel"))
+
+
+@query(f"WITH {STACKS} SELECT video_seq::INT AS video_seq, frame_idx, round(before + frame_idx / 10.0, 6) AS ts, (s_suppkey % 251)::INT AS pixel FROM n JOIN o USING (s_nationkey)")
+def streamed_frames(spark, d):
+    """Files of a folder as a stream of frames, a bounded number read ahead in each micro-batch."""
+    folder, out = os.path.dirname(_stacks(spark, d)[0]), files.scratch(spark)
+    spark.dataSource.register(pictures.FrameSource)
+    stream = spark.readStream.format("frames").options(folder=folder, fps="10", src_fps="10", slice="16").load()
+    pixel = F.conv(F.hex(F.substring("image", 1, 1)), 16, 10).cast("int").alias("pixel")
+    seen = stream.select("video_seq", "frame_idx", F.round("ts", 6).alias("ts"), pixel)
+    seen.writeStream.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).format("parquet").start(f"{out}/frames").awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{out}/frames")
+
+
 @query(f"WITH {STACKS} SELECT video_seq::INT AS video_seq, frame_count, 10.0::DOUBLE AS src_fps, 3 AS width, 2 AS height FROM v")
 def video_manifest(spark, d):
     """S3: what is known of files without decoding them."""
@@ -196,8 +215,7 @@ def video_manifest(spark, d):
 @query("""SELECT 'frame_' || lpad((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::VARCHAR, 6, '0') || '.png' AS name, '89504E470D0A1A0A' AS signature, '0000000300000002' AS size FROM supplier""")
 def frame_pictures(spark, d):
     """Frames as PNG."""
-    spark.dataSource.register(pictures.FrameSource)
-    got = pictures.pictures(spark.read.format("frames").options(paths=",".join(_stacks(spark, d)), fps="10", src_fps="10").load())
+    got = pictures.pictures(pictures.read_frames(spark, paths=",".join(_stacks(spark, d)), fps="10", src_fps="10"))
     return got.select("name", F.hex(F.substring("png", 1, 8)).alias("signature"), F.hex(F.substring("png", 17, 8)).alias("size"))
 
 

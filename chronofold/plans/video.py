@@ -20,7 +20,7 @@ from ..functions import text
 from ..operators import fuzzy, nearest, rows, segments, timeline, votes
 from ..options import Options
 from ..sources import files
-from ..sources.frames import FrameSource
+from ..sources.frames import read_frames
 
 # Sizes (width, height) of the pictures that frames are compared by.
 HEADER_THUMB, SLOT_THUMB, ROW_THUMB = (40, 12), (32, 80), (96, 24)
@@ -29,14 +29,13 @@ BOX_FACTOR = 3.0
 
 def frames_of(spark: SparkSession, videos: list[dict], fps: float, options: Options, group: str, ranges: list[tuple[float, float]] | None = None) -> DataFrame:
     """Frames of some files of one resolution (rows of ``frames.VIDEOS``), with ``ord``, unique in the group and in its order."""
-    spark.dataSource.register(FrameSource)
     given = {"paths": ",".join(v["path"] for v in videos), "src_fps": ",".join(str(v["src_fps"]) for v in videos), "group": group, "fps": str(fps)}
     for name, value in (("start", options.start), ("end", options.end)):
         if value is not None:
             given[name] = str(value)
     if ranges:
         given["ranges"] = ",".join(f"{a}:{z}" for a, z in ranges)
-    return spark.read.format("frames").options(**given).load().withColumn("ord", F.shiftleft(F.col("video_seq").cast("long"), 40) + F.col("frame_idx"))
+    return read_frames(spark, **given).withColumn("ord", F.shiftleft(F.col("video_seq").cast("long"), 40) + F.col("frame_idx"))
 
 
 def _thumb(image: np.ndarray, box: vision.Box, size: tuple[int, int]) -> list[int] | None:

@@ -86,6 +86,61 @@ def test_stream_gives_the_batch_segments(spark, small, tmp_path):
     assert late_of(spark, str(tmp_path / "out")).count() == 0
 
 
+def test_filters_reach_the_frames(spark, tmp_path, monkeypatch):
+    """Slices that a query's filters rule out aren't opened; the rows are those of filtering all frames."""
+    import numpy as np
+
+    for k in range(3):
+        np.save(tmp_path / f"{k}.npy", np.full((40, 2, 2, 3), k, np.uint8))
+    paths = ",".join(str(tmp_path / f"{k}.npy") for k in range(3))
+    read = lambda push: frames.read_frames(spark, push, paths=paths, fps="10", src_fps="10", slice="10")
+    shared = read(False)
+    for where, slices in (("ts >= 4.5 and ts < 6.0", 2), ("video_seq = 1", 4), ("video_seq in (0, 2) and frame_idx < 10", 2), ("ts > 100", 1), ("frame_idx >= 25 and video_seq > 1", 2), ("ts = 0.3", 1), ("pmod(frame_idx, 2) = 1 or ts < 1", 12), ("video_seq <> 1", 12)):
+        got = read(True).filter(where).select("video_seq", "frame_idx", "ts")
+        want = [(k, i, (40 * k + i) / 10) for k in range(3) for i in range(40)]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.createDataFrame(want, "video_seq int, frame_idx long, ts double").filter(where).collect())), where
+        assert got.rdd.getNumPartitions() == slices, where
+        assert shared.filter(where).count() == got.count()  # without it, a DataFrame may be used again
+
+
+def test_many_ranges(tmp_path):
+    """A frame's and a slice's range is found by one search, whatever the number of ranges and their order."""
+    spans = [(float(k), k + 0.5) for k in range(0, 2000, 2)] + [(5.25, 7.5), (100.0, 100.0)]
+    reader = frames.FrameReader({"ranges": ",".join(f"{a}:{z}" for a, z in reversed(spans)), "start": "3"})
+    for ts in [k / 8 for k in range(0, 17_000, 3)]:
+        assert reader.inside(ts) == (ts >= 3 and any(a <= ts < z for a, z in spans)), ts
+        assert reader.wanted(ts, ts + 0.75) == (ts + 0.75 > 3 and any(ts + 0.75 > a and ts < z for a, z in reader.ranges)), ts
+
+
+def test_a_stream_of_frames(spark, tmp_path):
+    """New files and new frames of the last file are picked up from the checkpoint on, each once, on one timeline."""
+    import numpy as np
+
+    spark.dataSource.register(frames.FrameSource)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def save(name, n):
+        np.save(tmp_path / "new.npy", np.full((n, 2, 2, 3), 1, np.uint8))
+        (tmp_path / "new.npy").rename(folder / name)
+
+    def seen():
+        stream = spark.readStream.format("frames").options(folder=str(folder), fps="10", src_fps="10", slice="4", per_trigger="7").load().select("video_seq", "frame_idx", F.round("ts", 6).alias("ts"))
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+        return sorted(map(tuple, spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()))
+
+    want = lambda *sizes: [(k, i, (sum(sizes[:k]) + i) / 10) for k, n in enumerate(sizes) for i in range(n)]
+    save("a.npy", 5)
+    assert seen() == want(5)
+    save("b.npy", 6)
+    assert seen() == want(5, 6)
+    save("b.npy", 9)
+    assert seen() == want(5, 9)
+    save("c.npy", 20)
+    got = [len(seen()) for _ in range(3)]
+    assert got == [21, 28, 34] and seen() == want(5, 9, 20)
+
+
 def streamed(spark, folder, batches, **how):
     """Each batch of (group, ts, kind, box) as one file and one run of the stream: it goes on from its checkpoint every time."""
     out = str(folder / "out")
