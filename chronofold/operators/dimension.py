@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .scan import KEY, keyed, scan
 
 
 def latest_wins(rows: DataFrame) -> DataFrame:
@@ -29,8 +30,9 @@ def supplement(names: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def number_items(names: DataFrame) -> DataFrame:
-    """Ids from 1 in code-point order; a dimension's names fit one task."""
-    return names.withColumn("id", F.row_number().over(Window.orderBy("name")))
+    """Ids from 1 in code-point order. Names of one beginning are one task's; how many come before them is told over one row a beginning."""
+    begun = keyed(names.withColumn("_one", F.lit(0)), F.substring("name", 1, 2), "_one")
+    return scan(begun, ["name"], total={"id": F.lit(1)}).withColumn("id", (F.col("id") + 1).cast("int")).drop(KEY, "_one")
 
 
 def character_counts(names: DataFrame) -> DataFrame:
