@@ -9,6 +9,10 @@ run, pops the block that ends first, takes from every run what sorts up to that
 is the blocks of ``FAN_IN`` runs, whatever the bucket's size; more runs than that are merged to longer runs first. The file appears under
 its name only when it is whole, so a task that is tried again writes the same file again.
 
+Lines whose key no sale has are told in the same merge: the bucket's sales, in the same order, are read beside it, a block at a time. What
+none of them matches becomes one more sorted run; these runs, one a bucket, are merged to the strangers' bucket at the end. So no row is
+shuffled or joined, and a key that a third of the rows have costs no more than its rows.
+
 Keys are compared as bytes: each row's columns are encoded so that byte order is column order (nulls first, numbers by value with -0.0 as 0.0
 and NaN last, strings by their UTF-8 bytes).
 
@@ -22,6 +26,7 @@ a column of another kind than whole numbers, floating numbers, booleans, dates,
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
 import uuid
@@ -46,6 +51,8 @@ RUN_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 #: Runs that one merge reads at once; more are merged in several passes.
 FAN_IN = 128
+#: Bytes of a segment that is read whole, and of such segments that are sorted together to one run.
+SMALL, PACKED = 1 << 16, 1 << 18
 #: Rows of a group in the final files.
 GROUP_ROWS = 1 << 18
 BUCKETS = 600
@@ -53,6 +60,8 @@ BUCKETS = 600
 TO = "file_no"
 INDEX = "file_no long, run string, at long, size long, n long"
 FILES = "file_no long, path string, n_rows long, ids_sha256 string"
+#: What bucket tasks return: files, or segments of rows that belong to another file.
+MERGED = f"{FILES}, run string, at long, size long, n long"
 
 
 # --- keys as bytes -------------------------------------------------------------------------------------------------------------------
@@ -175,19 +184,44 @@ def spill_runs(rows: DataFrame, folder: str, columns: list[str], order: list[str
 # --- phase two: merges ---------------------------------------------------------------------------------------------------------------
 
 
+class _Files:
+    """A store's files, the last few of them kept open: buckets of one task read the same runs."""
+
+    def __init__(self, store: arrow_fs.FileSystem, most: int = 256) -> None:
+        self.store, self.most, self.open = store, most, {}
+
+    def read(self, path: str, at: int, size: int) -> pa.Buffer:
+        file = self.open.pop(path, None) or self.store.open_input_file(path)
+        self.open[path] = file  # the last one used
+        if len(self.open) > self.most:
+            self.open.pop(next(iter(self.open))).close()
+        return file.read_buffer_at(size, at) if hasattr(file, "read_buffer_at") else pa.py_buffer(file.read_at(size, at))
+
+    def stream(self, path: str, at: int) -> pa.NativeFile:
+        file = self.store.open_input_file(path)
+        file.seek(at)
+        return file
+
+
 class _Run:
-    """A sorted segment, of which one block is held."""
+    """Sorted rows of which one block is held: a segment, or some small segments that are read whole and sorted together."""
 
-    def __init__(self, store: arrow_fs.FileSystem, path: str, at: int, size: int, order: list[int]) -> None:
-        self.file, self.order = store.open_input_file(path), order
-        self.file.seek(at)
-        self.blocks = iter(pa.ipc.open_stream(pa.BufferReader(self.file.read(size)) if size <= RUN_BYTES // FAN_IN else self.file))
+    def __init__(self, files: _Files, segments: list[tuple[str, int, int]], order: list[int]) -> None:
+        self.order, self.file = order, None
+        if len(segments) == 1 and segments[0][2] > SMALL:
+            self.file = files.stream(*segments[0][:2])
+            self.blocks = iter(pa.ipc.open_stream(self.file))
+        else:
+            rows = pa.Table.from_batches([b for s in segments for b in pa.ipc.open_stream(files.read(*s))]).combine_chunks().to_batches()[0]
+            rows = rows.take(pc.sort_indices(_keys(rows, order))) if len(segments) > 1 else rows
+            self.blocks = iter([rows.slice(a, BLOCK_ROWS) for a in range(0, rows.num_rows, BLOCK_ROWS)])
         self.next()
 
     def next(self) -> bool:
         self.block, self.at = next(self.blocks, None), 0
         if self.block is None:
-            self.file.close()
+            if self.file:
+                self.file.close()
             return False
         self.keys = _keys(self.block, self.order).to_pylist()
         return True
@@ -200,90 +234,145 @@ class _Run:
         return self.block.slice(a, self.at - a)
 
 
-def merged(store: arrow_fs.FileSystem, segments: list[tuple[str, int, int]], order: list[int]) -> Iterator[pa.RecordBatch]:
-    """All rows of the sorted segments in order, a block of each in memory."""
-    runs = [_Run(store, *s, order) for s in segments]
-    heap = [(r.keys[-1], k) for k, r in enumerate(runs) if r.block is not None]
+def packed(segments: list[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
+    """Segments as runs: a large one is a run, small ones are packed to ``PACKED`` bytes."""
+    out, held = [[s] for s in segments if s[2] > SMALL], PACKED
+    for s in segments:
+        if s[2] <= SMALL:
+            if held + s[2] > PACKED:
+                out.append([])
+                held = 0
+            out[-1].append(s)
+            held += s[2]
+    return out
+
+
+def merged(files: _Files, runs: list[list[tuple[str, int, int]]], order: list[int]) -> Iterator[pa.RecordBatch]:
+    """All rows of the sorted runs in order, a block of each in memory."""
+    held = [_Run(files, r, order) for r in runs]
+    heap = [(r.keys[-1], k) for k, r in enumerate(held) if r.block is not None]
     heapq.heapify(heap)
     while heap:
         end, k = heap[0]
-        taken = [x for r in runs if (x := r.upto(end)) is not None]
+        taken = [x for r in held if (x := r.upto(end)) is not None]
         if taken:
             rows = taken[0] if len(taken) == 1 else pa.Table.from_batches(taken).combine_chunks().to_batches()[0]
             yield rows if len(taken) == 1 else rows.take(pc.sort_indices(_keys(rows, order)))
-        if runs[k].next():
-            heapq.heapreplace(heap, (runs[k].keys[-1], k))
+        if held[k].next():
+            heapq.heapreplace(heap, (held[k].keys[-1], k))
         else:
             heapq.heappop(heap)
 
 
-def _fewer(store: arrow_fs.FileSystem, folder: str, segments: list[tuple[str, int, int]], order: list[int]) -> list[tuple[str, int, int]]:
-    """Merge ``FAN_IN`` segments at a time to longer runs until so few are left."""
-    while len(segments) > FAN_IN:
+def _fewer(files: _Files, folder: str, runs: list[list[tuple[str, int, int]]], order: list[int]) -> list[list[tuple[str, int, int]]]:
+    """Merge ``FAN_IN`` runs at a time to longer ones until so few are left."""
+    while len(runs) > FAN_IN:
         longer = []
-        for a in range(0, len(segments), FAN_IN):
-            path, blocks = f"{folder}/run-{uuid.uuid4().hex}", merged(store, segments[a : a + FAN_IN], order)
+        for a in range(0, len(runs), FAN_IN):
+            path, blocks = f"{folder}/run-{uuid.uuid4().hex}", merged(files, runs[a : a + FAN_IN], order)
             first = next(blocks)
-            with store.open_output_stream(path) as out, pa.ipc.new_stream(out, first.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            with files.store.open_output_stream(path) as out, pa.ipc.new_stream(out, first.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
                 w.write_batch(first)
                 for b in blocks:
                     w.write_batch(b)
-            longer.append((path, 0, store.get_file_info(path).size))
-        segments = longer
-    return segments
+            longer.append((path, 0, files.store.get_file_info(path).size))
+        runs = packed(longer)
+    return runs
 
 
 def _ids(column: pa.Array) -> bytes:
     return b",".join(b"" if x is None else b"%d" % x for x in column.to_pylist())
 
 
-def merge_runs(index: DataFrame, runs: str, folder: str, prefix: str, like: DataFrame, order: list[str], key: str) -> DataFrame:
-    """Merge each file number's segments into ``folder``/``prefix``-number.parquet; returns ``FILES`` rows.
+class _Known:
+    """Tells which of ever larger keys a sorted file has; one block of it is held."""
+
+    def __init__(self, store: arrow_fs.FileSystem, path: str | None, key: str) -> None:
+        self.blocks = iter(()) if path is None else pq.ParquetFile(store.open_input_file(path)).iter_batches(BLOCK_ROWS, columns=[key])
+        self.now = None
 
-    ``ids_sha256`` is of the file's ``key`` values in their order, in decimal, comma-joined, nulls empty.
+    def has(self, keys: pa.Array) -> pa.Array:
+        last, found = sort_keys([keys[-1:]])[0].as_py(), pa.array(np.zeros(len(keys), bool))
+        while True:
+            if self.now is None:
+                block = next(self.blocks, None)
+                if block is None:
+                    return found
+                self.now = block.column(0)
+            if len(self.now):
+                found = pc.or_(found, pc.is_in(keys, self.now))
+                if sort_keys([self.now[-1:]])[0].as_py() >= last:
+                    return found
+            self.now = None
+
+
+def merge_runs(index: DataFrame, runs: str, folder: str, prefix: str, like: DataFrame, order: list[str], key: str, strangers: int | None = None) -> DataFrame:
+    """Merge each file number's segments into ``folder``/``prefix``-number.parquet; returns ``MERGED`` rows.
+
+    ``ids_sha256`` is of the file's ``key`` values in their order, in decimal, comma-joined, nulls empty. With ``strangers``, ``index`` has a
+    column ``known``: for numbers below that, rows whose key isn't in that file (or that have none) go to a run for the number ``strangers``.
     """
     schema, at = to_arrow_schema(like.schema), [like.columns.index(c) for c in order]
-    kinds, key_at = to_arrow_schema(StructType.fromDDL(FILES)), like.columns.index(key)
+    kinds, key_at = to_arrow_schema(StructType.fromDDL(MERGED)), like.columns.index(key)
 
-    def write(number: int, segments: list[tuple[str, int, int]]) -> tuple:
-        store, path = _storage(folder)
+    def write(files: _Files, number: int, segments: list[tuple[str, int, int]], known: str | None) -> Iterator[tuple]:
+        store, path = files.store, _storage(folder)[1]
         _, spilled = _storage(runs)
-        name, staged = f"{prefix}-{number:05d}.parquet", f"{spilled}/staged-{uuid.uuid4().hex}"
-        digest, n = hashlib.sha256(), 0
-        with store.open_output_stream(staged) as out, pq.ParquetWriter(out, schema, compression="zstd", version="2.6") as w:
-            group: list[pa.RecordBatch] = []
-            held = 0
-
-            def close() -> None:
-                w.write_table(pa.Table.from_batches(group, schema), row_group_size=GROUP_ROWS)
-
-            for b in merged(store, _fewer(store, spilled, segments, at), at):
-                digest.update((b"," if n else b"") + _ids(b.column(key_at)))
-                n += b.num_rows
-                held += b.nbytes
-                group.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema))
-                if held >= RUN_BYTES:
-                    close()
-                    group, held = [], 0
+        name, staged, aside = f"{prefix}-{number:05d}.parquet", f"{spilled}/staged-{uuid.uuid4().hex}", f"run-{uuid.uuid4().hex}"
+        digest, n, n_aside, held = hashlib.sha256(), 0, 0, 0
+        file = stream = None
+        group: list[pa.RecordBatch] = []
+        sales = None if strangers is None or number >= strangers else _Known(store, known and _storage(known)[1], key)
+        with contextlib.ExitStack() as opened:
+
+            def flush() -> None:
+                nonlocal file, held
+                if file is None:
+                    file = opened.enter_context(pq.ParquetWriter(opened.enter_context(store.open_output_stream(staged)), schema, compression="zstd", version="2.6"))
+                file.write_table(pa.Table.from_batches(group, schema), row_group_size=GROUP_ROWS)
+                group.clear()
+                held = 0
+
+            for b in merged(files, _fewer(files, spilled, packed(segments), at), at):
+                if sales is not None:
+                    ours = sales.has(b.column(key_at))
+                    others = b.filter(pc.invert(ours))
+                    if others.num_rows:
+                        if stream is None:
+                            stream = opened.enter_context(pa.ipc.new_stream(opened.enter_context(store.open_output_stream(f"{spilled}/{aside}")), b.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")))
+                        stream.write_batch(others)
+                        n_aside += others.num_rows
+                        b = b.filter(ours)
+                if b.num_rows:
+                    digest.update((b"," if n else b"") + _ids(b.column(key_at)))
+                    n, held = n + b.num_rows, held + b.nbytes
+                    group.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema))
+                    if held >= RUN_BYTES:
+                        flush()
             if group:
-                close()
-        store.move(staged, f"{path}/{name}")
-        return number, f"{folder}/{name}", n, digest.hexdigest()
+                flush()
+        if n:
+            store.move(staged, f"{path}/{name}")
+            yield number, f"{folder}/{name}", n, digest.hexdigest(), None, None, None, None
+        if n_aside:
+            yield strangers, None, None, None, aside, 0, store.get_file_info(f"{spilled}/{aside}").size, n_aside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, spilled = _storage(runs)
-        number, segments = None, []
+        files, number, known, segments = _Files(_storage(folder)[0]), None, None, []
         for b in batches:
-            for no, name, start, size, _n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for no, name, start, size, _n, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if no != number and segments:
-                    yield _as_batch([write(number, segments)], kinds)
+                    if done := list(write(files, number, segments, known)):
+                        yield _as_batch(done, kinds)
                     segments = []
-                number = no
+                number, known = no, own
                 segments.append((f"{spilled}/{name}", start, size))
-        if segments:
-            yield _as_batch([write(number, segments)], kinds)
+        if segments and (done := list(write(files, number, segments, known))):
+            yield _as_batch(done, kinds)
 
-    return index.repartition(parts(index.sparkSession), "file_no").sortWithinPartitions("file_no", "run", "at").mapInArrow(run, FILES)
+    index = index if "known" in index.columns else index.withColumn("known", F.lit(None).cast("string"))
+    return index.repartition(parts(index.sparkSession), "file_no").sortWithinPartitions("file_no", "run", "at").mapInArrow(run, MERGED)
 
 
 # --- the two together ----------------------------------------------------------------------------------------------------------------
@@ -294,12 +383,22 @@ def _make(folder: str) -> None:
     store.create_dir(path)
 
 
-def external_sort(rows: DataFrame, columns: DataFrame, order: list[str], key: str, folder: str, prefix: str, scratch: Scratch) -> DataFrame:
-    """Write ``rows`` (their file number, then the columns of ``columns``) as one sorted file a number; returns a written table of the files."""
+def external_sort(rows: DataFrame, columns: DataFrame, order: list[str], key: str, folder: str, prefix: str, scratch: Scratch, known: DataFrame | None = None, strangers: int | None = None) -> DataFrame:
+    """Write ``rows`` (their file number, then the columns of ``columns``) as one sorted file a number; returns a written table of the files (``FILES``).
+
+    With ``known`` (``file_no``, ``known``: a sorted file of the keys that a number may have), rows of other keys go to the file ``strangers``.
+    """
     runs = scratch.path()
     _make(runs)
-    index = scratch.save(spill_runs(rows, runs, columns.columns, order))
-    files = scratch.save(merge_runs(index, runs, folder, prefix, columns, order, key))
+    # no more map tasks than partitions are asked for, so that runs are long however many files there are
+    index = scratch.save(spill_runs(rows.coalesce(parts(rows.sparkSession)), runs, columns.columns, order))
+    segments = index if known is None else index.join(known, "file_no", "left").select(*index.columns, "known")
+    done = scratch.save(merge_runs(segments, runs, folder, prefix, columns, order, key, None if known is None else strangers))
+    names = [f.name for f in StructType.fromDDL(FILES)]
+    files = done.filter("run is null").select(*names)
+    if known is not None:
+        others = done.filter("run is not null").select(*index.columns)
+        files = files.unionByName(scratch.save(merge_runs(others, runs, folder, prefix, columns, order, key)).select(*names))
     scratch.drop(index)
     store, path = _storage(runs)
     store.delete_dir(path)  # with what tasks that were tried again have left
@@ -317,16 +416,6 @@ def _started(table: DataFrame, folder: str, key: str) -> DataFrame:
     return rows.select(start.alias("start"), F.col(f"`{key}`").alias("key"), F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("row"))
 
 
-def _bucketed(rows: DataFrame, strangers: DataFrame | None, buckets: int) -> DataFrame:
-    """``rows`` with their ``bucket``; keys in ``strangers`` have the last but one. Null keys aren't joined, so they don't meet in one task."""
-    bucket = _crc("s", F.col("key"), buckets)
-    if strangers is None:
-        return rows.withColumn("bucket", F.coalesce(bucket, F.lit(buckets + 1)))
-    known = rows.filter("key is not null").join(strangers.hint("merge"), "key", "left")
-    known = known.select(*rows.columns, F.when(F.col("stranger"), buckets).otherwise(bucket).alias("bucket"))
-    return known.unionByName(rows.filter("key is null").withColumn("bucket", F.lit(buckets + 1).cast("long")))
-
-
 def _moves(counted: DataFrame, scratch: Scratch) -> DataFrame:
     """How many rows go from which starting file to which bucket; it ``stays`` if the two hold the same rows. At most files x buckets rows."""
     moves = scratch.save(counted.groupBy("start", "bucket").agg(F.sum("n").alias("n")))
@@ -344,7 +433,11 @@ def co_bucket(sales: DataFrame, lines: DataFrame, key: str = "sale_id", file_key
     """
     spark = sales.sparkSession
     scratch, root = Scratch(spark, "co-buckets"), path or new_folder(spark, "co-bucketed")
-    home = F.coalesce(_crc("s", F.col(f"`{key}`"), buckets), F.lit(buckets + 1))
+
+    def home_of(column: str) -> Column:
+        return F.coalesce(_crc("s", F.col(column), buckets), F.lit(buckets + 1))
+
+    home = home_of(f"`{key}`")
     first = {"sales": F.when(home % 4 == 1, home - 1).otherwise(home), "sale_lines": F.coalesce(_crc("", F.col(f"`{file_key}`"), buckets), F.lit(0))}
     tables, at = {"sales": sales, "sale_lines": lines}, {name: f"{root}/{name}" for name in first}
     order = {name: [key, *(c for c in table.columns if c != key)] for name, table in tables.items()}
@@ -359,24 +452,31 @@ def co_bucket(sales: DataFrame, lines: DataFrame, key: str = "sale_id", file_key
 
     of_key = {name: rows.filter("key is not null").groupBy("key").agg(F.sum("n").alias(name)) for name, rows in counted.items()}
     pairs = scratch.save(of_key["sales"].join(of_key["sale_lines"], "key", "full"))
-    strangers = {"sales": None, "sale_lines": scratch.save(pairs.filter("sales is null").select("key", F.lit(True).alias("stranger")))}
-    joined = scratch.save(pairs.groupBy(_crc("s", F.col("key"), buckets).alias("bucket")).agg(F.sum(F.col("sales") * F.col("sale_lines")).alias("n_joined")))
-
-    final = []
+    joined = scratch.save(pairs.groupBy(home_of("key").alias("bucket")).agg(F.sum(F.col("sales") * F.col("sale_lines")).alias("n_joined")))
+    # the counts alone, one row a key and starting file, are joined to tell the lines' strangers
+    lines_of = counted["sale_lines"].filter("key is not null").join(pairs.filter("sales is null").select("key", F.lit(True).alias("stranger")).hint("merge"), "key", "left")
+    buckets_of = {
+        "sales": counted["sales"].withColumn("bucket", home_of("key")),
+        "sale_lines": lines_of.select("start", "n", F.when(F.col("stranger"), buckets).otherwise(home_of("key")).alias("bucket")).unionByName(counted["sale_lines"].filter("key is null").select("start", "n", F.lit(buckets + 1).cast("long").alias("bucket"))),
+    }
+
+    final, sorted_sales = [], None
     for name, table in tables.items():
-        moves = _moves(_bucketed(counted[name], strangers[name], buckets), scratch)
+        moves = _moves(buckets_of[name], scratch)
         gone = scratch.save(moves.filter("not stays").select("start").distinct())
-        moved = _bucketed(started[name].join(F.broadcast(gone), "start"), strangers[name], buckets)  # ``gone`` has a number for each file at most
-        moved = moved.select(F.col("bucket").alias(TO), *(F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(table.columns)))
-        new = external_sort(moved, table, order[name], key, at[name], "bucket", scratch)
+        moved = started[name].join(F.broadcast(gone), "start")  # ``gone`` has a number for each file at most
+        moved = moved.select(home_of("key").alias(TO), *(F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(table.columns)))
+        new = external_sort(moved, table, order[name], key, at[name], "bucket", scratch, sorted_sales, buckets if name == "sale_lines" else None)
         old = begun[name].join(moves.filter("stays"), F.col("file_no") == F.col("start")).select("bucket", "path", "n_rows", "ids_sha256", F.lit(False).alias("rewritten"))
         new = new.select(F.col("file_no").alias("bucket"), "path", "n_rows", "ids_sha256", F.lit(True).alias("rewritten"))
         parts_of = F.transform(F.array_sort(F.collect_list(F.struct("start", "n"))), lambda x: F.concat_ws(":", x["start"].cast("string"), x["n"].cast("string")))
         lineage = moves.groupBy("bucket").agg(F.sha2(F.array_join(parts_of, ",").cast("binary"), 256).alias("lineage_sha256"))
-        final.append(old.unionByName(new).join(lineage, "bucket").withColumns({"table_name": F.lit(name), "columns": F.lit(",".join(table.columns))}))
+        done = scratch.save(old.unionByName(new).join(lineage, "bucket").withColumns({"table_name": F.lit(name), "columns": F.lit(",".join(table.columns))}))
+        sorted_sales = done.select(F.col("bucket").alias("file_no"), F.col("path").alias("known"))
+        final.append(done)
         store, folder = _storage(at[name])
         for r in gone.collect():  # one for each starting file at most
             store.delete_file(f"{folder}/start-{r['start']:05d}.parquet")
-    scratch.drop(*counted.values(), pairs, *(x for x in strangers.values() if x))
+    scratch.drop(*counted.values(), pairs)
     names = ("table_name", "path", "columns", "ids_sha256", "lineage_sha256", "bucket", "n_rows")
     return final[0].unionByName(final[1]).join(joined, "bucket", "left").select(*names, F.coalesce("n_joined", F.lit(0)).alias("n_joined"), "rewritten")

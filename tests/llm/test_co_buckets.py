@@ -121,11 +121,11 @@ def test_the_query_on_the_small_tables(spark, small):
     assert got.columns == ["table_name", "path", "columns", "ids_sha256", "lineage_sha256", "bucket", "n_rows", "n_joined", "rewritten"]
 
 
-@pytest.mark.parametrize("limits", [None, (1 << 10, 3, 2)])
+@pytest.mark.parametrize("limits", [None, (1 << 10, 3, 2, 0, 0), (1 << 10, 3, 2, 2000, 5000)])
 def test_odd_rows(spark, limits, monkeypatch):
-    """Also with runs of a few rows and blocks of three, merged two at a time."""
+    """Also with runs of a few rows and blocks of three, merged two at a time, alone or packed."""
     if limits:
-        for name, v in zip(("RUN_BYTES", "BLOCK_ROWS", "FAN_IN"), limits, strict=True):
+        for name, v in zip(("RUN_BYTES", "BLOCK_ROWS", "FAN_IN", "SMALL", "PACKED"), limits, strict=True):
             monkeypatch.setattr(co_buckets, name, v)
     sales, lines = odd_tables(spark, 3, 150)
     a, b = spark.createDataFrame(sales, SALES).repartition(5), spark.createDataFrame(lines, LINES).repartition(7)
@@ -168,6 +168,34 @@ def test_merging_holds_one_block_a_run(tmp_path):
     for k in range(3):
         rows = pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array(range(k, 3 * n, 3))], names=["no", "x"])
         index += co_buckets._spill(store, str(tmp_path), [rows], [0])
-    for b in co_buckets.merged(store, [(f"{tmp_path}/{run}", at, size) for _, run, at, size, _ in index], [0]):
+    segments = co_buckets.packed([(f"{tmp_path}/{run}", at, size) for _, run, at, size, _ in index])
+    assert [len(x) for x in segments] == [1, 1, 1]
+    for b in co_buckets.merged(co_buckets._Files(store), segments, [0]):
         held.append(b.num_rows)
     assert sum(held) == 3 * n and max(held) <= 3 * co_buckets.BLOCK_ROWS
+
+
+def test_many_runs_are_merged_in_passes(tmp_path, monkeypatch):
+    """More runs than one merge reads at once go to longer runs first, whether small ones are packed or not."""
+    from pyarrow import fs
+
+    store, rng = fs.LocalFileSystem(), random.Random(4)
+    values = [rng.randint(0, 500) for _ in range(900)]
+    for limits in ((4, 7, 0, 0), (2, 50, 0, 0), (3, 5, 1 << 16, 3000)):
+        for name, v in zip(("FAN_IN", "BLOCK_ROWS", "SMALL", "PACKED"), limits, strict=True):
+            monkeypatch.setattr(co_buckets, name, v)
+        segments = []
+        for k in range(30):
+            rows = pa.RecordBatch.from_arrays([pa.array([0] * 30), pa.array(values[k * 30 : k * 30 + 30])], names=["no", "x"])
+            segments += [(f"{tmp_path}/{run}", at, size) for _, run, at, size, _ in co_buckets._spill(store, str(tmp_path), [rows], [0])]
+        files = co_buckets._Files(store, most=3)
+        runs = co_buckets._fewer(files, str(tmp_path), co_buckets.packed(segments), [0])
+        assert len(runs) <= limits[0]
+        assert [x for b in co_buckets.merged(files, runs, [0]) for x in b.column(0).to_pylist()] == sorted(values)
+
+
+def test_small_segments_are_packed():
+    segments = [("a", 0, 10)] * 5 + [("b", 0, 1 << 20)] + [("c", 0, co_buckets.SMALL)] * 9
+    runs = co_buckets.packed(segments)
+    assert sorted(x for r in runs for x in r) == sorted(segments) and [("b", 0, 1 << 20)] in runs
+    assert all(len(r) == 1 or sum(s for _, _, s in r) <= co_buckets.PACKED for r in runs) and len(runs) <= 5
