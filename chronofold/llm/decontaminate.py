@@ -226,51 +226,111 @@ def _mask(marks: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def renamed(form: Form, h: np.ndarray, masks: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each of the benchmark's ``masks`` (places of names): the windows that have names in just these places if some of their words are, and their hashes then."""
-    n = len(h)
-    if not n:
-        return
-    names, maybe = _mask(form.names, n), _mask(form.maybe, n)
+def _pair(one: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
+    return _mix(one * _PLACES[0] + _mix(other * _PLACES[1] + np.uint64(distance)))
+
+
+def name_places(form: Form) -> tuple[set[int], list[np.ndarray]]:
+    """Which sets of places of a form's windows have names, as bits; the pairs of tokens that stand next to each other there but for names."""
+    n = len(windows(form.codes, form.slots))
+    masks, pairs = _mask(form.names, n), []
+    for m in set(masks.tolist()) - {0}:
+        at = np.flatnonzero(masks == m)
+        plain = [k for k in range(min(WINDOW, len(form.codes))) if not m >> k & 1]
+        pairs += [_pair(form.codes[at + a], form.codes[at + z], z - a) for a, z in zip(plain[:-1], plain[1:], strict=True)]
+    return set(masks.tolist()) - {0}, pairs
+
+
+def renamed(forms: list[Form], masks: list[int], pairs: Bits | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of the benchmark's ``masks`` (places of names): the windows, over all ``forms`` in a row, that have names in just these places if some of
+    their words are names, and their hashes then. Windows whose other words no item has next to each other are left out first, by ``pairs``.
+    """
+    sizes = np.array([len(f.codes) for f in forms])
+    n, ahead = int(sizes.sum()), WINDOW - 1
+    # tokens of no text at the end, so that a window begins at each token
+    codes, names, maybe = (np.concatenate([*(getattr(f, c) for f in forms), np.zeros(ahead, t)]) for c, t in (("codes", np.uint64), ("names", bool), ("maybe", bool)))
+    text, long = np.append(np.repeat(np.arange(len(forms)), sizes), np.full(ahead, -1)), np.repeat(sizes, sizes)
+    free, inside = names | maybe, {d: text[:n] == text[d : d + n] for d in range(1, WINDOW)}
+    met = {d: inside[d] & pairs.has(_pair(codes[:n], codes[d : d + n], d)) if pairs is not None else inside[d] for d in range(1, WINDOW)}
+    met = {d: np.append(x, np.zeros(ahead, bool)) for d, x in met.items()}
+    first = np.append(True, text[1:n] != text[: n - 1]) if n else np.zeros(0, bool)
     for m in masks:
-        at = np.flatnonzero(((names & ~np.uint8(m)) == 0) & ((np.uint8(m) & ~(names | maybe)) == 0) & (names != m))
-        if len(at):
-            other = h[at].copy()
-            for k in range(WINDOW):
-                if m >> k & 1:  # a name that is there already stays as it is
-                    other += _placed(np.full(1, PLACEHOLDERS[_NAME], np.uint64), k) - _placed(form.codes[at + k], k)
-            yield m, at, other
+        for size in range(m.bit_length(), WINDOW + 1):
+            # a short text is one window, from its first token
+            start = (long >= WINDOW) & inside[ahead] if size == WINDOW else first & (long == size)
+            plain = [k for k in range(size) if not m >> k & 1]
+            if not plain or not start.any():
+                continue
+            for k in range(size):
+                start = start & (free[k : k + n] if m >> k & 1 else ~names[k : k + n])
+            for a, z in zip(plain[:-1], plain[1:], strict=True):
+                start = start & met[z - a][a : a + n]
+            at = np.flatnonzero(start)
+            at = at[~np.logical_and.reduce([names[at + k] for k in range(size) if m >> k & 1])]  # those are the form's own windows
+            if len(at):
+                h = np.full(len(at), size, np.uint64)
+                for k in range(size):
+                    h += _placed(np.full(1, PLACEHOLDERS[_NAME], np.uint64) if m >> k & 1 else codes[at + k], k)
+                yield m, at, h
 
 
 ROWS = "long, form int, at long, h long, slots array<string>"
 _ROW_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
 
 
-def _rows(id_name: str, table: Bits | None, vocabulary: Words | None, masks: list[int] = ()):
+#: Tokens of documents whose renamed windows are looked for together.
+TOGETHER = 200_000
+
+
+class Names:
+    """Where the benchmark's windows have names, and which other words stand next to each other there."""
+
+    def __init__(self, masks: list[int], pairs: Bits | None) -> None:
+        self.masks, self.pairs = masks, pairs
+
+
+def _rows(id_name: str, table: Bits | None, vocabulary: Words | None, names: Names | None = None):
     """Windows of each text that ``table`` doesn't rule out: the form they are of, their places and the values of their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[] for _ in _ROW_TYPES]
+            held: list[tuple[int, int, int, Form]] = []
+
+            def add(doc_id: int, apart: int, k: int, form: Form, mask: int, found: np.ndarray, hashes: np.ndarray, out: list[list] = out) -> None:
+                out[0] += [doc_id] * len(found)
+                out[1] += [k] * len(found)
+                out[2] += (form.starts[found] + apart).tolist()
+                out[3] += hashes.view(np.int64).tolist()
+                slots = form.slots
+                out[4] += [[form.value(p) for p in range(a, min(a + WINDOW, len(slots))) if slots[p] or mask >> (p - a) & 1] for a in found.tolist()]
+
+            def look(held: list[tuple[int, int, int, Form]] = held) -> None:
+                starts = np.cumsum([0, *(len(f.codes) for *_, f in held)])
+                for mask, at, hashes in renamed([f for *_, f in held], names.masks, names.pairs):
+                    ok = np.flatnonzero(table.has(hashes)) if table is not None else np.arange(len(at))
+                    which = np.searchsorted(starts, at[ok], side="right") - 1
+                    for w in np.unique(which).tolist():
+                        own = ok[which == w]
+                        add(*held[w], mask, at[own] - starts[w], hashes[own])
+                held.clear()
+
+            tokens = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                apart, forms = None, template(text, vocabulary)
+                forms, apart = template(text, vocabulary), xxh64_intdigest((text or "").encode()) >> 42 << 32  # rows that share an id stay apart
                 for k, form in enumerate(forms):
                     h = windows(form.codes, form.slots)
-                    kinds = [(0, np.arange(len(h)), h)]
-                    if vocabulary is not None and k == len(forms) - 1:
-                        kinds += renamed(form, h, masks)
-                    for mask, at, hashes in kinds:
-                        ok = np.arange(len(at)) if table is None else np.flatnonzero(table.has(hashes))
-                        if not len(ok):
-                            continue
-                        found = at[ok]
-                        apart = xxh64_intdigest((text or "").encode()) >> 42 << 32 if apart is None else apart  # rows that share an id stay apart
-                        out[0] += [doc_id] * len(found)
-                        out[1] += [k] * len(found)
-                        out[2] += (form.starts[found] + apart).tolist()
-                        out[3] += hashes[ok].view(np.int64).tolist()
-                        slots = form.slots
-                        out[4] += [[form.value(p) for p in range(a, min(a + WINDOW, len(slots))) if slots[p] or mask >> (p - a) & 1] for a in found.tolist()]
+                    found = np.arange(len(h)) if table is None else np.flatnonzero(table.has(h))
+                    if len(found):
+                        add(doc_id, apart, k, form, 0, found, h[found])
+                if names is not None and names.masks and len(forms[-1].codes):
+                    held.append((doc_id, apart, len(forms) - 1, forms[-1]))
+                    tokens += len(forms[-1].codes)
+                    if tokens >= TOGETHER:
+                        look()
+                        tokens = 0
+            if held:
+                look()
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _ROW_TYPES, strict=True)], names=[id_name, "form", "at", "h", "slots"])
 
@@ -283,14 +343,19 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(list(hashes), np.uint64).view(np.int64))], names=["h"])
 
 
-def _name_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which places of windows have names, one row for each such set of places."""
-    seen: set[int] = set()
+def _name_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``name_places`` of items: a row for each set of places (``h`` null) and for each pair (``mask`` null)."""
+    masks: set[int] = set()
     for b in batches:
+        pairs = [np.zeros(0, np.uint64)]
         for t in b.column(0).to_pylist():
             for form in template(t):
-                seen.update(_mask(form.names, len(windows(form.codes, form.slots))).tolist())
-    yield pa.RecordBatch.from_arrays([pa.array(sorted(seen - {0}), pa.int32())], names=["mask"])
+                own, next_to = name_places(form)
+                masks |= own
+                pairs += next_to
+        h = np.unique(np.concatenate(pairs)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.array(h)], names=["mask", "h"])
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(masks), pa.int32()), pa.nulls(len(masks), pa.int64())], names=["mask", "h"])
 
 
 def _hashes(rows: DataFrame) -> np.ndarray:
@@ -359,10 +424,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     table = spark.sparkContext.broadcast(Bits(_hashes(ours))) if n <= MOST_WINDOWS else None
     # the benchmark's distinct words, 8 bytes each, and at most 31 sets of places
     vocabulary = spark.sparkContext.broadcast(Words(_hashes(items.select(TEXT).mapInArrow(_plain_words, "h long"))))
-    masks = sorted(r[0] for r in items.select(TEXT).mapInArrow(_name_masks, "mask int").distinct().collect())
+    places_of = scratch.save(items.select(TEXT).mapInArrow(_name_places, "mask int, h long").distinct())
+    masks = sorted(r[0] for r in places_of.filter("mask is not null").select("mask").collect())
+    names = spark.sparkContext.broadcast(Names(masks, Bits(_hashes(places_of.filter("h is not null"))) if n <= MOST_WINDOWS else None))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _rows(ID, table and table.value, vocabulary.value, masks)(batches)
+        return _rows(ID, table and table.value, vocabulary.value, names.value)(batches)
 
     few = n <= 100_000  # windows, of at most WINDOW slots of 64 bytes each
     theirs = texts(docs).filter(F.col(ID).isNotNull()).mapInArrow(rows, f"{ID} {ROWS}")
