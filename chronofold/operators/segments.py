@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import KEY, SLOT, keyed, scan, time_slot
+from .scan import KEY, SLOT, keyed, time_slot
 
 
 def segments(timeline: DataFrame, slot: float = SLOT) -> DataFrame:
@@ -15,10 +15,18 @@ def segments(timeline: DataFrame, slot: float = SLOT) -> DataFrame:
     segment before it, or else what a segment before without list frames had. Returns ``group_id``, ``seg``, ``segment_no``, ``entity``,
     ``detail_ts`` (null without an entity), ``list_start``, ``list_end``, ``list_frames``.
     """
-    order = ["ts", "ord"]
-    seen = scan(keyed(timeline, time_slot(F.col("ts"), slot)), order, before={"_kind": F.col("kind")})
-    entry = F.coalesce((F.col("kind") == "detail") & (F.coalesce("_kind", F.lit("other")) != "detail"), F.lit(False))
-    marked = scan(seen.withColumn("entry", entry), order, total={"seg": F.col("entry").cast("int")}).withColumn("seg", F.col("seg") + F.col("entry").cast("int")).drop(KEY)
+    # one scan: whether a slot's first frame is an entry is told among the rows that slots hand on, as it needs the slot before
+    w, at = Window.partitionBy(KEY).orderBy("ts", "ord"), F.struct("ts", "ord")
+    entered = lambda now, before: F.coalesce((now == "detail") & (F.coalesce(before, F.lit("other")) != "detail"), F.lit(False))
+    seen = keyed(timeline, time_slot(F.col("ts"), slot)).withColumn("_kind", F.lag(F.struct("kind")).over(w))
+    seen = seen.withColumn("entry", F.col("_kind").isNotNull() & entered(F.col("kind"), F.col("_kind.kind")))
+    within = seen.withColumn("_own", F.sum(F.col("entry").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = seen.groupBy(KEY).agg(F.min_by("kind", at).alias("first"), F.max_by("kind", at).alias("end"), F.sum(F.col("entry").cast("int")).alias("n"))
+    so = Window.partitionBy(f"{KEY}.of").orderBy(f"{KEY}.slot")
+    begun = slots.withColumn("_begins", entered(F.col("first"), F.lag("end").over(so)).cast("int"))
+    earlier = F.coalesce(F.sum(F.col("n") + F.col("_begins")).over(so.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = within.join(begun.select(KEY, "_begins", earlier.alias("_earlier")), KEY)
+    marked = marked.withColumns({"entry": F.col("entry") | F.col("_kind").isNull() & (F.col("_begins") == 1), "seg": F.col("_own") + F.col("_earlier") + F.col("_begins")}).drop(KEY)
     is_list = F.col("kind") == "move_list"
     each = marked.groupBy("group_id", "seg").agg(
         F.min(F.when(F.col("entry"), F.col("ts"))).alias("entry_ts"), F.min(F.when(is_list, F.col("ts"))).alias("list_start"), F.max(F.when(is_list, F.col("ts"))).alias("list_end"), F.count_if(is_list).alias("list_frames"),

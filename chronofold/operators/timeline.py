@@ -129,20 +129,30 @@ def similar(now: Column, before: Column, most: float = SAME_FRAME) -> Column:
     return F.coalesce(mean_abs_diff(now, before) < most, F.lit(False))
 
 
-def _same_headers(frames: DataFrame, slot: float) -> DataFrame:
-    """``keyed`` frames, with ``same``: whether the header is that of the frame before."""
-    seen = scan(keyed(frames, time_slot(F.col("ts"), slot)), _order(frames), before={"_header": F.col("header_thumb")})
-    return seen.withColumn("same", similar(F.col("header_thumb"), F.col("_header"))).drop("_header")
-
-
 def changed_headers(frames: DataFrame, slot: float = SLOT) -> DataFrame:
     """Marks (``changed``) frames whose header isn't that of the frame before: those whose kind must be read."""
-    return _same_headers(frames, slot).withColumn("changed", ~F.col("same")).drop("same", KEY)
+    seen = scan(keyed(frames, time_slot(F.col("ts"), slot)), _order(frames), before={"_header": F.col("header_thumb")})
+    return seen.withColumn("changed", ~similar(F.col("header_thumb"), F.col("_header"))).drop("_header", KEY)
 
 
 def carry_kind(frames: DataFrame, slot: float = SLOT) -> DataFrame:
-    """``kind`` of each frame: what a reader says (``read_kind``), or the kind before while the header stays the same from frame to frame."""
-    return scan(_same_headers(frames, slot), _order(frames), last={"kind": F.when(~F.col("same"), F.col("read_kind"))}).drop("same", KEY)
+    """``kind`` of each frame: what a reader says (``read_kind``), or the kind before while the header stays the same from frame to frame.
+
+    One scan: whether a slot's first header is the one before is told among the rows that slots hand on, as it needs the slot before.
+    """
+    order = _order(frames)
+    w, at = Window.partitionBy(KEY).orderBy(*order), F.struct(*order)
+    before = F.lag(F.struct(F.col("header_thumb").alias("v"))).over(w)
+    seen = keyed(frames, time_slot(F.col("ts"), slot)).withColumn("_header", before)
+    own = F.when(F.col("_header").isNotNull() & ~similar(F.col("header_thumb"), F.col("_header.v")), F.col("read_kind"))
+    seen = seen.withColumn("_own", own)
+    within = seen.withColumn("_own", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = seen.groupBy(KEY).agg(F.min_by(F.struct("header_thumb", "read_kind"), at).alias("first"), F.max_by("header_thumb", at).alias("end"), F.max_by("_own", F.when(F.col("_own").isNotNull(), at)).alias("told"))
+    so = Window.partitionBy(f"{KEY}.of").orderBy(f"{KEY}.slot")
+    begun = slots.withColumn("begins", F.when(~similar(F.col("first.header_thumb"), F.lag("end").over(so)), F.col("first.read_kind")))
+    told = F.last(F.coalesce("told", "begins"), ignorenulls=True).over(so.rowsBetween(Window.unboundedPreceding, -1))
+    handed = begun.select(KEY, F.coalesce("begins", told).alias("_before"))
+    return within.join(handed, KEY).withColumn("kind", F.coalesce("_own", "_before")).drop("_own", "_header", "_before", KEY)
 
 
 def to_read(frames: DataFrame, slot: float = SLOT) -> DataFrame:

@@ -38,6 +38,21 @@ def frames_of(spark: SparkSession, videos: list[dict], fps: float, options: Opti
     return read_frames(spark, **given).withColumn("ord", F.shiftleft(F.col("video_seq").cast("long"), 40) + F.col("frame_idx"))
 
 
+#: Rows, each of 64 frames, that are broadcast at most.
+MOST_WORDS = 500_000
+
+
+def among(frames: DataFrame, keys: DataFrame) -> DataFrame:
+    """The frames whose ``group_id`` and ``ord`` are in ``keys``. The keys travel as bits, one row for 64 neighbouring frames, so that pictures aren't shuffled;
+    beyond ``MOST_WORDS`` such rows, which is checked, Spark joins as it will.
+    """
+    word, bit = F.shiftright("ord", 6), F.col("ord").bitwiseAND(F.lit(63)).cast("int")
+    words = files.kept(keys.groupBy("group_id", word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits")))
+    few = F.broadcast(words) if words.count() <= MOST_WORDS else words
+    hit = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return frames.withColumn("_word", word).join(few, ["group_id", "_word"]).filter(hit).select(*frames.columns)
+
+
 def _thumb(image: np.ndarray, box: vision.Box, size: tuple[int, int]) -> list[int] | None:
     part = vision.crop(image, box)
     return vision.shrink(part, *size).ravel().tolist() if part.size else None
@@ -92,7 +107,7 @@ def kinds(frames: DataFrame, options: Options, templates: DataFrame | None = Non
         refs = templates.select(F.col("ts").alias("ord"), "kind", F.col("thumb").alias("ref"))
         known = files.kept(nearest.classify_by_templates(ask.withColumn("thumb", F.col("header_thumb")), refs).filter("kind is not null").select("group_id", "ord", F.col("kind").alias("known_kind")))
         ask = ask.join(known, ["group_id", "ord"], "left_anti")
-    headers = read_regions(frames.join(ask.select("group_id", "ord"), ["group_id", "ord"], "left_semi"), "header", options, line=True)
+    headers = read_regions(among(frames, ask), "header", options, line=True)
     texts = votes.header_text(headers.withColumn("frame_id", F.struct("group_id", "ord"))).select("frame_id.*", F.col("text").alias("header_text"))
     out = seen.join(texts, ["group_id", "ord"], "left").withColumns({"read_kind": F.when(F.col("changed"), text.kind_by_words(F.coalesce("header_text", F.lit("")))), "was_read": F.col("changed")})
     if templates is not None:
@@ -111,7 +126,7 @@ def index(frames: DataFrame, entities: DataFrame, options: Options) -> tuple[Dat
     known = kinds(frames, options)
     marked = files.kept(timeline.to_read(known).select("group_id", "ts", "ord", "kind", "box_read"))
     ask = marked.filter("box_read").select("group_id", "ord")
-    boxes = files.kept(read_regions(frames.join(ask, ["group_id", "ord"], "left_semi"), "box_name", options, line=False))
+    boxes = files.kept(read_regions(among(frames, ask), "box_name", options, line=False))
     found = fuzzy.entities_of_fragments(boxes.withColumn("frame_id", F.struct("group_id", "ord")), entities, 5)
     lists = found.groupBy("frame_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.array_sort(F.collect_list(F.struct("rank", F.struct("id", "name", "score").alias("c")))).alias("all"))
     box = F.transform("all", lambda c: c["c"]).cast(files.CANDIDATES)
@@ -211,7 +226,7 @@ def observations(frames: DataFrame, served: DataFrame, items: DataFrame, width:
 
     ``served``: ``group_id``, ``ord``, ``segment_no`` of the frames to read; a frame may serve two segments. Rows without text are left out.
     """
-    images = frames.join(served.select("group_id", "ord").distinct(), ["group_id", "ord"], "left_semi")
+    images = among(frames, served)
     boxes = row_boxes(images, width, height).join(served, ["group_id", "ord"])
     crops = files.kept(row_crops(images, files.kept(boxes), width, height))
     typed = nearest.nearest_colour(crops, nearest.reference_colours(frames.sparkSession)).select("group_id", "segment_no", "ord", "row_no", "crop", F.col("type").alias("observed_type"))

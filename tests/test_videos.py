@@ -171,6 +171,19 @@ def test_a_killed_step_leaves_nothing_or_all(spark, inputs, monkeypatch, when):
     assert sorted(done) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_frames_among_keys(spark, monkeypatch, most):
+    """By bits of 64 neighbours, also the highest and negative ones; keys that repeat or that no frame has change nothing."""
+    monkeypatch.setattr(video, "MOST_WORDS", most)
+    rng = np.random.default_rng(1)
+    all_ = [(g, int(o)) for g in ("a", "b") for o in [*range(300), (3 << 40) + 63, (3 << 40) + 64, -1, -64]]
+    keys = [all_[k] for k in rng.integers(0, len(all_), 150)] + [("c", 5), ("a", 10**6), ("a", (3 << 40) + 63), ("b", -1), ("b", 63)]
+    frames_, asked = (spark.createDataFrame(x, "group_id string, ord long") for x in (all_, keys))
+    got = video.among(frames_.withColumn("image", F.lit(b"x")), asked)
+    assert got.columns == ["group_id", "ord", "image"]
+    assert sorted((r["group_id"], r["ord"]) for r in got.collect()) == sorted(set(all_) & set(keys))
+
+
 def test_ranges_are_few(spark, monkeypatch):
     monkeypatch.setattr(job, "MOST_RANGES", 8)
     spans = [(float(k), k + 0.25) for k in range(0, 1000, 3)] + [(5000.0, 5001.0)]
