@@ -328,4 +328,4 @@ def test_pipeline(spark, tmp_path, rows, words):
 
 
 def test_query_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
