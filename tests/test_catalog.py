@@ -41,3 +41,15 @@ def test_the_range_reaches_the_scan(spark, small):
     plan = catalog.QUERIES["time_range"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
     assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+
+
+def test_cells_halfway_are_those_of_sql(spark, tmp_path):
+    """0.105 and others are halfway between two hundredths as floats, and not as doubles."""
+    halves = [(k + 0.5) / 100 for k in range(-40, 40)]
+    rows = [(k, [x, 0.0]) for k, x in enumerate(halves)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.sql(f"select frame_id, kind, distance from ({catalog.SQL['template_kinds']})").fetchall()
+    got = catalog.QUERIES["template_kinds"](spark, str(tmp_path)).select("frame_id", "kind", "distance").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 80
