@@ -123,6 +123,9 @@ def edition_files(spark, d):
 
 # ---- the index of segments, and segments of a stream
 
+#: Numbers of a recording's segments in an index of one group: as many as an int has.
+RECORDING = 1 << 31
+
 
 @query(f"""WITH {MARKED} SELECT 5.0::DOUBLE AS index_fps, 0 AS group_no, segs.group_id, segs.segment_no::INT AS segment_no, entity, detail_ts, list_start, list_end, list_frames::INT AS list_frames FROM segs""")
 def index_file(spark, d):
@@ -133,12 +136,12 @@ def index_file(spark, d):
     lost = F.struct(F.lit(-1).alias("id"), F.lit("gone").alias("name"), F.lit(0.8).alias("score"))
     candidates = F.when(F.col("entity").isNotNull(), F.array(one, lost)).otherwise(F.array()).cast(files.CANDIDATES)
     # a segment's own number tells its recording apart: the index has one group
-    rows = found.select(F.lit(0).alias("group_no"), F.array(F.lit("v")).alias("videos"), F.array(F.lit(1280), F.lit(720)).alias("resolution"), (F.col("group_id").cast("int") * 100_000 + F.col("segment_no")).alias("seg_no"), candidates.alias("candidates"), "detail_ts", "list_start", "list_end", F.col("list_frames").cast("int").alias("list_frames"))
-    files.write_json(files.index_json(rows, 5.0), path)
+    rows = found.select(F.lit(0).alias("group_no"), F.array(F.lit("v")).alias("videos"), F.array(F.lit(1280), F.lit(720)).alias("resolution"), (F.col("group_id").cast("long") * RECORDING + F.col("segment_no")).alias("seg_no"), candidates.alias("candidates"), "detail_ts", "list_start", "list_end", F.col("list_frames").cast("int").alias("list_frames"))
+    files.write_index(rows, 5.0, path)
     dim = spark.createDataFrame([(ord(c), f"E{c}") for c in "0123456"], "id int, name string")
     got = files.read_index(spark, path, dim)
     name = F.when(F.size("candidates") > 0, F.element_at("candidates", 1)["name"])
-    return got.select("index_fps", "group_no", F.floor(F.col("seg_no") / 100_000).cast("string").alias("group_id"), (F.col("seg_no") % 100_000).alias("segment_no"), name.alias("entity"), "detail_ts", "list_start", "list_end", "list_frames")
+    return got.select("index_fps", "group_no", F.expr(f"seg_no div {RECORDING}").cast("string").alias("group_id"), (F.col("seg_no") % RECORDING).cast("int").alias("segment_no"), name.alias("entity"), "detail_ts", "list_start", "list_end", "list_frames")
 
 
 @query(f"WITH {MARKED} SELECT group_id, segment_no::INT AS segment_no, entity, detail_ts, list_start, list_end, list_frames FROM segs")

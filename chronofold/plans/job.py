@@ -48,7 +48,7 @@ def index(spark: SparkSession, groups: list[dict], entities: DataFrame, options:
         taught = new if taught is None else taught.unionByName(new)
         say(f"index: {len(g['videos'])} file(s) of {g['width']}x{g['height']} at {options.index_fps:g} frames a second")
     counted, seen = observed(parts, "segments")
-    files.write_json(files.index_json(counted, options.index_fps), path)
+    files.write_index(counted, options.index_fps, path)
     commit(spark, store, "index", as_step("template", taught))
     say(f"wrote {path}: {seen.get['rows']} segment(s)")
 

@@ -95,7 +95,7 @@ def run(frames: DataFrame, box_reads: DataFrame, observations: DataFrame, entiti
 def stored_segments(stored: DataFrame) -> DataFrame:
     """Segments of a stored index (``files.read_index``) as the phases have them: ``group_id`` is the place and resolution of the group."""
     group = F.concat_ws("x", F.col("group_no").cast("string"), *(F.element_at("resolution", k).cast("string") for k in (1, 2)))
-    return stored.select(group.alias("group_id"), "group_no", F.col("seg_no").alias("segment_no"), "candidates", "detail_ts", "list_start", "list_end", F.col("list_frames").cast("long").alias("list_frames"))
+    return stored.select(group.alias("group_id"), "group_no", F.col("seg_no").cast("int").alias("segment_no"), "candidates", "detail_ts", "list_start", "list_end", F.col("list_frames").cast("long").alias("list_frames"))
 
 
 def recollect(stored: DataFrame, frames: DataFrame, observations: DataFrame, items: DataFrame, options: Options) -> DataFrame:

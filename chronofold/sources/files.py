@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import keyed, scan
+
 ITEM = "id int, name string, type string, pp int"
 CANDIDATES = "array<struct<id:int,name:string,score:double>>"
-SEGMENT = f"struct<seg_no:int,candidates:{CANDIDATES},detail_ts:double,list_start:double,list_end:double,list_frames:int>"
+SEGMENT = f"struct<seg_no:bigint,candidates:{CANDIDATES},detail_ts:double,list_start:double,list_end:double,list_frames:int>"
 INDEX = f"index_fps double, groups array<struct<videos:array<string>,resolution:array<int>,segments:array<{SEGMENT}>>>"
 
 
@@ -216,10 +218,94 @@ def index_json(groups: DataFrame, index_fps: float) -> DataFrame:
     return by.groupBy().agg(F.to_json(F.struct(F.lit(index_fps).alias("index_fps"), every.alias("groups"))).alias("value"))
 
 
+#: What the first line of an index by lines is, and nothing else that JSON writers write.
+BY_LINES = re.compile(r'\{"index_fps": ([^,\s]+), "groups": \[\n')
+
+
+def write_index(groups: DataFrame, index_fps: float, path: str) -> None:
+    """The index of segments (columns as in ``index_json``) as one file of JSON, a line for each segment and two for each group.
+
+    Tasks write ranges of lines; their files are then copied one after the other. The whole is never in one task, and the driver holds a buffer of it.
+    """
+    spark, seg = groups.sparkSession, F.struct("seg_no", "candidates", "detail_ts", "list_start", "list_end", "list_frames")
+    rows = kept(groups.withColumn("seg", seg).select("group_no", "videos", "resolution", "seg"))
+    by = rows.groupBy("group_no").agg(F.first("videos").alias("videos"), F.first("resolution").alias("resolution"))
+    none, head = F.lit(None).cast(rows.schema["seg"].dataType), F.to_json(F.struct("videos", "resolution"), {"ignoreNullFields": "false"})
+    opened = by.select("group_no", F.lit(0).alias("part"), none.alias("seg"), F.concat(F.regexp_replace(head, "\\}$", ""), F.lit(',"segments":[')).alias("value"))
+    closed = by.select("group_no", F.lit(2).alias("part"), none.alias("seg"), F.lit("]}").alias("value"))
+    lines = rows.select("group_no", F.lit(1).alias("part"), "seg", F.to_json("seg").alias("value")).unionByName(opened).unionByName(closed)
+
+    def comma(before: str, after: str) -> str:
+        """What ends a line, told by its last sign and the next line's first."""
+        return "" if before == "[" or after == "]" else ","
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last line of a task's file waits for the next file's first
+        for b in batches:
+            out = []
+            for one in b.column(0).to_pylist():
+                if held is not None:
+                    out.append(held + comma(held[-1], one[0]))
+                held = one
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.string())], names=["value"])
+
+    parts = f"{scratch(spark)}/text"
+    lines.orderBy("group_no", "part", "seg").select("value").mapInArrow(run, "value string").write.text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, new = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    source, target = at.getFileSystem(conf), new.getFileSystem(conf)
+    found = sorted((f for f in source.listStatus(at) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+    out = target.create(new, True)
+    out.write(bytearray(f'{{"index_fps": {json.dumps(float(index_fps))}, "groups": ['.encode()))
+    before = "["
+    for f in found:
+        one = source.open(f.getPath())
+        out.write(bytearray(f"{comma(before, chr(one.read()))}\n".encode()))
+        one.seek(f.getLen() - 2)
+        before = chr(one.read())
+        one.seek(0)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(one, out, 0, f.getLen() - 1)  # without the end of the last line
+        one.close()
+    out.write(bytearray(b"\n]}\n"))
+    out.close()
+    rename(spark, f"{path}.new", path)
+
+
+def _by_lines(spark: SparkSession, path: str) -> float | None:
+    """The rate of an index that ``write_index`` wrote, by its first line; nothing where the file is laid out otherwise."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_must_exist(spark, path))
+    stream, head = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at), ""
+    try:
+        while len(head) < 80 and not head.endswith("\n") and (c := stream.read()) >= 0:
+            head += chr(c)
+    finally:
+        stream.close()
+    found = BY_LINES.fullmatch(head)
+    return float(found[1]) if found else None
+
+
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of an index file: by its lines where ``write_index`` laid it out, in as many tasks as it has blocks; else the whole as one row."""
+    rate = _by_lines(spark, path)
+    if rate is None:
+        rows = _whole(spark, [path]).select(F.from_json("value", INDEX).alias("v")).select("v.index_fps", F.posexplode("v.groups").alias("group_no", "g"))
+        return rows.select("index_fps", "group_no", "g.videos", "g.resolution", F.explode("g.segments").alias("s")).select("index_fps", "group_no", "videos", "resolution", "s.*")
+    value = F.rtrim(F.col("value"), F.lit(","))
+    lines = spark.read.text(path).select(F.lit(0).alias("group_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), value.alias("value"))
+    lines = lines.filter(~F.col("value").startswith("]") & ~F.col("value").startswith('{"index_fps"'))
+    opens = F.col("value").startswith('{"videos"')
+    head = F.when(opens, F.from_json(F.concat("value", F.lit("]}")), "videos array<string>, resolution array<int>", {"mode": "FAILFAST"}))
+    # a segment's group is told by the lines before it, of its own block or of others; filters may be moved, so the parser sees no other lines by itself
+    rows = scan(keyed(lines, F.col("block")), ["line"], last={"head": head}, total={"n": F.when(opens, 1).otherwise(0)}).filter(~opens)
+    each = rows.select(F.lit(rate).alias("index_fps"), (F.col("n") - 1).cast("int").alias("group_no"), "head", F.from_json(F.when(~opens, F.col("value")), SEGMENT, {"mode": "FAILFAST"}).alias("s"))
+    return each.select("index_fps", "group_no", "head.videos", "head.resolution", "s.*")
+
+
 def read_index(spark: SparkSession, path: str, dim: DataFrame | None = None) -> DataFrame:
     """Segments of a stored index: ``index_fps``, ``group_no``, ``seg_no`` and so on; candidates that ``dim`` lacks are dropped, names are its own."""
-    rows = _whole(spark, [path]).select(F.from_json("value", INDEX).alias("v")).select("v.index_fps", F.posexplode("v.groups").alias("group_no", "g"))
-    segs = rows.select("index_fps", "group_no", "g.videos", "g.resolution", F.explode("g.segments").alias("s")).select("index_fps", "group_no", "videos", "resolution", "s.*")
+    segs = _segments(spark, path)
     if dim is None:
         return segs
     each = segs.select("group_no", "seg_no", F.posexplode("candidates").alias("pos", "c")).join(dim.select("id", F.col("name").alias("own")), F.col("c.id") == F.col("id"))

@@ -46,6 +46,33 @@ def test_index_round_trip(spark, tmp_path):
     assert [(r["index_fps"], r["seg_no"], [c["name"] for c in r["candidates"]], r["detail_ts"], r["list_frames"]) for r in got] == [(5.0, 1, ["two"], 1.0, 4), (5.0, 2, [], None, 1)]
 
 
+def test_index_by_lines(spark, tmp_path):
+    """An index is written and read by its lines, in several tasks: the JSON is that of one row, numbers go beyond an int, groups go by place."""
+    big = 3 << 40
+    seg = spark.range(4000).repartition(3).select(
+        (F.col("id") % 3 * 5).cast("int").alias("group_no"), F.array(F.concat(F.lit("あ\n,]"), F.col("id") % 3)).alias("videos"), F.array(F.lit(4), (F.col("id") % 3).cast("int")).alias("resolution"), (F.col("id") + big).alias("seg_no"),
+        F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit(7).alias("id"), F.lit("x],").alias("name"), F.lit(0.5).alias("score")))).otherwise(F.array()).cast(files.CANDIDATES).alias("candidates"),
+        F.when(F.col("id") % 5 > 0, F.col("id") / 2).alias("detail_ts"), F.lit(1.0).alias("list_start"), F.lit(2.0).alias("list_end"), F.lit(3).alias("list_frames"),
+    )
+    path, none = str(tmp_path / "index.json"), str(tmp_path / "none.json")
+    files.write_index(seg, 5, path)
+    assert json.loads(open(path).read()) == json.loads(files.index_json(seg, 5.0).first()[0])
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        read = files.read_index(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
+        got = sorted(tuple(r) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    names = files.read_index(spark, path, spark.createDataFrame([(7, "own")], "id int, name string")).groupBy(F.get("candidates", F.lit(0))["name"].alias("name")).count()
+    assert dict(map(tuple, names.collect())) == {"own": 2000, None: 2000}
+    whole = files.read_index(spark, put(tmp_path / "whole.json", files.index_json(seg, 5.0).first()[0]))
+    assert read.dtypes == whole.dtypes and got == sorted(tuple(r) for r in whole.collect()) and len(got) == 4000
+    files.write_index(seg.limit(0), 5.0, none)
+    assert json.loads(open(none).read()) == {"index_fps": 5.0, "groups": []} and files.read_index(spark, none).count() == 0
+
+
 def test_editions(spark, tmp_path):
     for gen, body in {"New": {"g": {"a": {"type": "t2", "pp": "7"}, "junk": "s"}, "other": "text"}, "Old": {"g": {"a": {"type": "t1", "pp": "x"}}}}.items():
         (tmp_path / gen).mkdir()
