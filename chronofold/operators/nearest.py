@@ -97,21 +97,27 @@ class Leaders:
     def __init__(self, limit: int, most: float, shape: tuple[int, int] = ROW_SHAPE, grid: tuple[int, int] = (12, 3)) -> None:
         self.limit, self.most, self.shape, self.grid, self.n, self.compared = limit, most, shape, grid, 0, 0
         self.thumbs, self.cells = np.zeros((16, *shape), np.int16), np.zeros((16, grid[0] * grid[1]), np.int64)
+        self.seen: dict[bytes, tuple[int | None, float, int]] = {}  # up to ``limit`` thumbs: the nearest, how far, of how many
 
     def _cells(self, one: np.ndarray) -> np.ndarray:
         (h, w), (cols, rows) = self.shape, self.grid
         return one.reshape(rows, h // rows, cols, w // cols).sum(axis=(1, 3), dtype=np.int64).ravel()
 
     def nearest(self, one: np.ndarray) -> int | None:
-        """The place of the nearest known thumb that is nearer than ``most``, the first on ties."""
-        pixels = self.shape[0] // self.grid[1] * (self.shape[1] // self.grid[0])
-        near = np.flatnonzero(np.abs(self.cells[: self.n] - self._cells(one)).max(axis=1, initial=0) < self.most * pixels)
-        self.compared += len(near)
-        if not len(near):
-            return None
-        far = similarity.cell_max_all(self.thumbs[near], one, self.grid)
-        best = int(far.argmin())
-        return int(near[best]) if far[best] < self.most else None
+        """The place of the nearest known thumb that is nearer than ``most``, the first on ties. A thumb seen before is compared only with those known since."""
+        pixels, key = self.shape[0] // self.grid[1] * (self.shape[1] // self.grid[0]), one.astype(np.int16, copy=False).tobytes()
+        best, least, since = self.seen.get(key, (None, self.most, 0))
+        if since < self.n:
+            near = since + np.flatnonzero(np.abs(self.cells[since : self.n] - self._cells(one)).max(axis=1, initial=0) < self.most * pixels)
+            self.compared += len(near)
+            if len(near):
+                far = similarity.cell_max_all(self.thumbs[near], one, self.grid)
+                k = int(far.argmin())
+                if far[k] < least:
+                    best, least = int(near[k]), float(far[k])
+            if since or len(self.seen) < self.limit:
+                self.seen[key] = best, least, self.n
+        return best
 
     def add(self, one: np.ndarray) -> bool:
         if self.n == self.limit:
@@ -134,12 +140,12 @@ def row_leaders(rows: DataFrame, limit: int = ROW_LIMIT, most: float = ROW_DISTA
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, known, names = None, Leaders(limit, most), []
-        for b in batches:
+        for b in (whole.slice(k, ROW_LIMIT) for whole in batches for k in range(0, whole.num_rows, ROW_LIMIT)):
             leaders = []
-            for s, at, thumb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            thumbs = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int16).reshape(-1, *ROW_SHAPE)
+            for s, at, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), thumbs, strict=True):
                 if s != segment:
                     segment, known, names = s, Leaders(limit, most), []
-                one = thumb.values.to_numpy(zero_copy_only=False).astype(np.int16).reshape(ROW_SHAPE)
                 best = known.nearest(one)
                 if best is not None:
                     leaders.append(names[best])

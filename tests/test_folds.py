@@ -90,3 +90,17 @@ def test_items_are_numbered_in_several_tasks(spark):
     df = spark.createDataFrame([(n, 1) for n in dict.fromkeys(names)], "name string, pp int").repartition(6)
     got = {r["name"]: r["id"] for r in dimension.number_items(df).collect()}
     assert got == {n: k + 1 for k, n in enumerate(sorted(got, key=lambda x: x.encode()))}
+
+
+def test_a_thumb_seen_before_is_compared_with_newer_ones_only():
+    """And has the leader that comparing all gives: the first of the nearest."""
+    known, shape = nearest.Leaders(8, 12.0), nearest.ROW_SHAPE
+    flat = [np.full(shape, v, np.int16) for v in (0, 11, 15, 22)]
+    assert known.nearest(flat[0]) is None and known.add(flat[0])
+    assert known.nearest(flat[1]) == 0 and known.compared == 1
+    for _ in range(50):
+        assert known.nearest(flat[1]) == 0
+    assert known.compared == 1
+    assert known.nearest(flat[2]) is None and known.add(flat[2])
+    assert [known.nearest(flat[1]) for _ in range(50)] == [1] * 50 and known.compared == 2  # 15 is nearer to 11 than 0 is
+    assert known.nearest(flat[3]) == 1
