@@ -40,8 +40,12 @@ def _best(pairs: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 
 
 def _probed(texts: DataFrame, index, answer: Callable, schema: str) -> DataFrame:
-    """The rows that ``answer(index, *row)`` gives for each row of ``texts``; the index is broadcast once."""
-    held = texts.sparkSession.sparkContext.broadcast(index)
+    """The rows that ``answer(index, *row)`` gives for each row of ``texts``; the index is broadcast once. Texts are small and take long: they are dealt
+    to tasks by number, where Spark would put some megabytes of them into one.
+    """
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast(index)
+    texts = texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,5 +118,6 @@ def entities_of_fragments(fragments: DataFrame, dim: DataFrame, k: int = 5) -> D
     each = joined.select("frame_id", F.lit(-1).alias("frag_no"), "raw").unionByName(frags)
     found = each.join(match_entities(each, dim, k), "raw").withColumn("len", F.length("name"))
     order = [F.desc("score"), F.desc("len"), "frag_no", "rank"]
-    once = found.withColumn("n", F.row_number().over(Window.partitionBy("frame_id", "id").orderBy(*order))).filter("n = 1").drop("rank")
+    # by frame first: both windows then find its rows in one task, without another exchange
+    once = found.repartition("frame_id").withColumn("n", F.row_number().over(Window.partitionBy("frame_id", "id").orderBy(*order))).filter("n = 1").drop("rank")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("score"), F.desc("len"), "frag_no", "id"))).filter(F.col("rank") <= k).select("frame_id", "rank", "id", "name", "score")

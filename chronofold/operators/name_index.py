@@ -15,6 +15,8 @@ import numpy as np
 FIRST, STEP = 32, 256
 #: Cells of one table of edit distances.
 CELLS = 1 << 20
+#: Strings whose characters' places are kept at a time.
+MATCHERS = 4096
 
 
 def _numbered(parts: Iterable[str]) -> list[tuple[str, int]]:
@@ -152,10 +154,16 @@ class Entities:
             self.forms.setdefault(r[4], []).append(k)
         self.whole, self.base = Postings([list(x) for x in self.norms]), Postings([list(x) for x in self.bases])
         self.compared = 0
+        self.matchers: dict[str, SequenceMatcher] = {}
 
     def _ratio(self, a: str, b: str) -> float:
         self.compared += 1
-        return SequenceMatcher(None, a, b).ratio()
+        if (held := self.matchers.get(b)) is None:  # what it knows of its second string is kept
+            if len(self.matchers) >= MATCHERS:
+                self.matchers.clear()
+            held = self.matchers[b] = SequenceMatcher(None, "", b)
+        held.set_seq1(a)
+        return held.ratio()
 
     def best(self, norm: str, k: int, least: float | None = None) -> list[tuple[int, str, float, float]]:
         """``id``, ``name``, ``score`` and ``whole`` (the ratio of the whole names) of the ``k`` best, of those that reach ``least``."""

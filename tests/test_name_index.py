@@ -6,6 +6,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from chronofold.functions import similarity
@@ -120,3 +121,10 @@ def test_joins_are_those_of_all_pairs(spark, monkeypatch):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     monkeypatch.setattr(fuzzy, "BROADCAST_ROWS", 150)
     assert sorted(map(str, fuzzy.match_items(observed, dim, 3, ascii_only=True).collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_are_dealt_by_number(spark):
+    """Few bytes of texts are many tasks' work, and each is answered once."""
+    texts = spark.range(400).select(F.concat(F.lit("t"), F.col("id")).alias("raw")).distinct()
+    got = fuzzy._probed(texts, 1, lambda index, raw: [(raw, TaskContext.get().partitionId())], "raw string, task int").collect()
+    assert len(got) == len({r["raw"] for r in got}) == 400 and len({r["task"] for r in got}) > 1
