@@ -60,6 +60,15 @@ def classify_by_templates(frames: DataFrame, templates: DataFrame, most: float =
     return best.withColumn("distance", F.col("best.d")).withColumn("kind", F.when(F.col("best.d") < most, F.col("best.kind"))).drop("best")
 
 
+#: Rows of frames that one task takes.
+FRAME_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, frame: str) -> DataFrame:
+    """``rows`` dealt to tasks by ``frame``, so many that a task's share doesn't grow with the input; what follows by frame needs no other exchange."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FRAME_ROWS)), frame)
+
+
 def nearest_box(results: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each result (``frame_id``, ``res_no``, ``cy``) goes to its frame's box (``box_no``, ``by``) of the nearest centre; the first on ties."""
     return results.join(boxes, "frame_id").groupBy("frame_id", "res_no").agg(F.min_by("box_no", F.struct(F.abs(F.col("cy") - F.col("by")), "box_no")).alias("box_no"))

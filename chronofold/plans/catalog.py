@@ -217,7 +217,7 @@ def template_kinds(spark, d):
 j AS (SELECT frame_id, res_no, box_no, row_number() OVER (PARTITION BY frame_id, res_no ORDER BY abs(cy - box_y), box_no) AS k FROM r JOIN b USING (frame_id)) SELECT frame_id, res_no, box_no FROM j WHERE k = 1""")
 def nearest_boxes(spark, d):
     """Results to the nearest box of their frame."""
-    li = t(spark, d, "lineitem")
+    li = nearest.dealt(t(spark, d, "lineitem"), "l_orderkey")
     r = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("res_no")).distinct().withColumn("cy", (F.col("frame_id") * 7 + F.col("res_no") * 31) % 100)
     b = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("box_no")).distinct().withColumn("by", F.col("box_no") * 15)
     return nearest.nearest_box(r, b)
@@ -229,7 +229,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY box_no) AS k,
 SELECT p.frame_id, res_no, box_no FROM p JOIN q ON p.frame_id = q.frame_id AND p.k = q.k AND p.n = q.n""")
 def zipped_boxes(spark, d):
     """By place in order, where a frame has as many results as boxes."""
-    li = t(spark, d, "lineitem")
+    li = nearest.dealt(t(spark, d, "lineitem"), "l_orderkey")
     r = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("res_no")).distinct()
     b = li.filter("l_quantity > 10").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_linenumber") + 3).alias("box_no")).distinct()
     return nearest.zip_boxes(r, b)

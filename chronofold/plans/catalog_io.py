@@ -414,7 +414,7 @@ j AS (SELECT p.frame_id, res_no, box_no, row_number() OVER (PARTITION BY p.frame
 SELECT * FROM z UNION ALL SELECT frame_id, res_no, box_no FROM j WHERE k = 1""")
 def assigned_boxes(spark, d):
     """By place where counts agree, else the nearest box."""
-    li = t(spark, d, "lineitem")
+    li = nearest.dealt(t(spark, d, "lineitem"), "l_orderkey")
     r = li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("res_no")).distinct().withColumn("cy", (F.col("frame_id") * 7 + F.col("res_no") * 31) % 100)
     b = li.filter("l_quantity > 10").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("line")).distinct().select("frame_id", (F.col("line") + 10).alias("box_no"), (F.col("line") * 15).alias("by"))
     return nearest.assign_boxes(r, b)

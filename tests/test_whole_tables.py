@@ -34,3 +34,11 @@ def test_pictures_are_shrunk_by_the_batch(monkeypatch):
     assert [len(x) for x in got] == [30000, 600, 0]
     for k, x, y, value in got[1].itertuples(index=False):
         assert value == (sum((k + a + 3 * b) * 7 % 256 for a in (2 * x, 2 * x + 1) for b in (2 * y, 2 * y + 1)) + 2) // 4
+
+
+def test_frames_are_dealt_by_number(spark, small, monkeypatch):
+    """A task's share of the lines is bounded, whatever the session's number of partitions."""
+    monkeypatch.setattr(catalog.nearest, "FRAME_ROWS", 500)
+    n = -(-catalog.t(spark, small, "lineitem").count() // 500)
+    plan = catalog.nearest_boxes(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and f"{n}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
